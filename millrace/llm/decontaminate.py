@@ -217,11 +217,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 SQL = r"""
 with i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-iw as (select item_id, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as at, w from i where len(w) > 0),
-windows as (select distinct item_id, n, array_to_string(list_slice(w, at, at + n - 1), ' ') as k from iw),
-dw as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as at, w from d, (select distinct n from windows) where len(w) >= n),
-hits as (select doc_id, at, dw.n, item_id from dw join windows on windows.n = dw.n and windows.k = array_to_string(list_slice(w, at, at + dw.n - 1), ' ')),
-covered as (select doc_id, count(distinct at + o) as n_hit from (select doc_id, at, unnest(range(0, n)) as o from hits) group by doc_id),
+iw as (select item_id, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as pos, w from i where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') as k from iw),
+dw as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as pos, w from d, (select distinct n from windows) where len(w) >= n),
+hits as (select doc_id, pos, dw.n, item_id from dw join windows on windows.n = dw.n and windows.k = array_to_string(list_slice(w, pos, pos + dw.n - 1), ' ')),
+covered as (select doc_id, count(distinct pos + o) as n_hit from (select doc_id, pos, unnest(range(0, n)) as o from hits) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated

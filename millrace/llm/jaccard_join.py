@@ -280,7 +280,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-s as (select distinct doc_id, array_to_string(list_slice(w, at, at + 4), ' ') as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as at from d where len(w) > 0)),
+s as (select distinct doc_id, array_to_string(list_slice(w, pos, pos + 4), ' ') as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as pos from d where len(w) > 0)),
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
 e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 80 * (x.n + y.n - o)),

@@ -224,10 +224,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-s as (select doc_id, unnest(range(1, len(w) - 18)) as at, w from d where len(w) >= 20),
-r as (select doc_id, at, row_number() over (partition by array_to_string(list_slice(w, at, at + 19), ' ') order by doc_id, at) as nth from s),
-gone as (select distinct doc_id, at + o as at from r, range(0, 20) t(o) where nth > 1),
-each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as at from d),
-kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by at) as t from each anti join gone using (doc_id, at) group by doc_id)
+s as (select doc_id, unnest(range(1, len(w) - 18)) as pos, w from d where len(w) >= 20),
+r as (select doc_id, pos, row_number() over (partition by array_to_string(list_slice(w, pos, pos + 19), ' ') order by doc_id, pos) as nth from s),
+gone as (select distinct doc_id, pos + o as pos from r, range(0, 20) t(o) where nth > 1),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as t from each anti join gone using (doc_id, pos) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
 """
