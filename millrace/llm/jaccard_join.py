@@ -103,8 +103,12 @@ def _prefixes(shingle: int, order):
     return run
 
 
+def _points_of(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets], pa.binary())
+
+
 def _described(shingle: int, order, bloom):
-    """For each document its set's size and key; its tokens, point and set as well if it has a prefix shingle that the filter knows."""
+    """For each document its set's size and key, and its prefix shingles that the filter knows; its point too if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=np.uint64)
@@ -115,9 +119,21 @@ def _described(shingle: int, order, bloom):
             ends = np.cumsum([len(p) for p in prefixes])
             tokens = [p[hit[e - len(p) : e]] for p, e in zip(prefixes, ends.tolist(), strict=True)]
             keys = [_key(s) for s in sets]
-            points = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() if len(t) else None for s, t in zip(sets, tokens, strict=True)]
-            kept = [s if len(t) else none for s, t in zip(sets, tokens, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(_signed(np.array([k[i] for k in keys], dtype=np.uint64)) for i in (0, 1)), _lists(tokens), pa.array(points, pa.binary()), _lists(kept)], ["doc_id", "n", "node", "check", "tokens", "point", "shingles"])
+            points = _points_of([s if len(t) else none for s, t in zip(sets, tokens, strict=True)])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()), *(_signed(np.array([k[i] for k in keys], dtype=np.uint64)) for i in (0, 1)), _lists(tokens), points], ["doc_id", "rid", "n", "node", "check", "tokens", "point"])
+
+    return run
+
+
+def _fetched(shingle: int, wanted):
+    """Node, point and set of the rows that the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid = batch.column("rid").to_numpy(zero_copy_only=False).view(np.uint64)
+            for part, texts in text_batches(iter([batch.take(pa.array(np.flatnonzero(wanted.value.hits(rid))))]), "text"):
+                sets = shingle_sets(texts, shingle)
+                yield pa.record_batch([part.column("rid"), _signed(np.array([_key(s)[0] for s in sets], dtype=np.uint64)), pa.array([len(s) for s in sets], pa.int64()), _points_of(sets), _lists(sets)], ["rid", "node", "n", "point", "shingles"])
 
     return run
 
@@ -213,8 +229,13 @@ def _verified(f: pd.DataFrame) -> pd.DataFrame:
 # ---- the join
 
 
+def _with_rid(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of both that names a row; wholly equal rows share it."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+
+
 def _described_docs(docs: DataFrame, shingle: int) -> DataFrame:
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     texts = docs.select("text")
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
     seen = sample.mapInArrow(_all_shingles(shingle), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
@@ -225,8 +246,8 @@ def _described_docs(docs: DataFrame, shingle: int) -> DataFrame:
     counts = texts.mapInArrow(_prefixes(shingle, order), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
     bloom = sc.broadcast(BloomFilter.build(counts.select("token"), "token"))
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, n long, node long, check long, tokens array<long>, point binary, shingles array<long>"
-    return materialise(docs.select("doc_id", "text").mapInArrow(_described(shingle, order, bloom), schema), "described")
+    schema = f"doc_id {key}, rid long, n long, node long, check long, tokens array<long>, point binary"
+    return materialise(_with_rid(docs).mapInArrow(_described(shingle, order, bloom), schema), "described")
 
 
 def _clusters(nodes: DataFrame) -> DataFrame:
@@ -241,17 +262,15 @@ def _clusters(nodes: DataFrame) -> DataFrame:
     return connected_components(glued.unionByName(large)).select("node", F.col("component").alias("cluster"))
 
 
-def links(described: DataFrame) -> DataFrame:
+def links(docs: DataFrame, described: DataFrame, shingle: int) -> DataFrame:
     """Edges (a, b) between nodes that connect all that is linked."""
-    held = described.where("size(tokens) > 0")
-    # equal sets are one node: of its rows, that of the least doc_id (any of equal ones)
-    held = held.withColumn("name", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    one = held.groupBy("node").agg(F.min("name").alias("name"))
-    nodes = held.join(one, ["node", "name"]).select("node", "n", "tokens", "point", "shingles").dropDuplicates(["node"])
-    nodes = materialise(nodes, "nodes")
-    clusters = materialise(_clusters(nodes.select("node", "n", "tokens", "point")), "clusters")
-    members = nodes.select("node", "n", "point", "shingles").join(clusters, "node")
-    size = nodes.select("node", "n").join(clusters, "node").groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8 + GROUPS * 4) / CHUNK_BYTES).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
+    # equal sets are one node, told by one of their rows
+    nodes = materialise(described.where("size(tokens) > 0").select("node", "rid", "n", "tokens", "point").dropDuplicates(["node"]), "nodes")
+    clusters = materialise(_clusters(nodes.select("node", "n", "tokens", "point")).join(nodes.select("node", "rid", "n"), "node"), "clusters")
+    wanted = docs.sparkSession.sparkContext.broadcast(BloomFilter.build(clusters, "rid"))
+    fetched = _with_rid(docs).mapInArrow(_fetched(shingle, wanted), "rid long, node long, n long, point binary, shingles array<long>")
+    members = fetched.dropDuplicates(["rid"]).join(clusters.select("rid", "cluster"), "rid").drop("rid")
+    size = clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8 + GROUPS * 4) / CHUNK_BYTES).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
     placed = members.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
@@ -266,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     described = _described_docs(docs, shingle)
     base = described.select("doc_id", "n", "node", "check")
     classes = base.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least"))
-    found = connected_components(materialise(links(described), "links"))
+    found = connected_components(materialise(links(docs, described, shingle), "links"))
     joined = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = joined.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = joined.join(whole, "component").select("node", "check", "n", "component_id")
