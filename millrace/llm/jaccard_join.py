@@ -10,8 +10,9 @@ what the R-tree prunes with: J >= 0.8 needs an overlap of 4/9 of the two sizes'
 One R-tree over a whole corpus can neither be held by one task nor be cut in parts by few coordinates, so:
 
 1. Sets with J >= 0.8 share one of the first n - ceil(0.8 n) + 1 shingles in any common order (prefix filter; exact). The order
-   puts frequent shingles last; which are frequent is estimated on a fixed fraction of the documents, which changes the
-   work only. A Bloom filter of bounded size keeps what is met once from being shuffled twice.
+   puts shingles that are met again last: a first count, over the prefixes by hash alone, tells them (at most MOST_FREQUENT,
+   by count; the others keep their place, which changes the work only). The second count is over the prefixes in that order.
+   A Bloom filter of bounded size keeps what is met once from being shuffled twice.
 2. Nodes that share such a shingle form a block; shingles with the same nodes are one block. In blocks of at most SMALL nodes
    the R-tree finds the pairs that the bound lets pass; larger blocks pass whole. What passes is glued into clusters.
 3. Each cluster gets an R-tree over its points. Pairs that pass are verified exactly on the sets, best bound first, unless
@@ -38,8 +39,8 @@ from millrace.llm.shared import BloomFilter, materialise
 from millrace.llm.words import gram_hashes, mix, text_batches, word_hashes
 
 GROUPS, LEAF, SMALL, CHUNK_BYTES = 128, 64, 64, 8 << 20
-#: One in SAMPLE documents tells which shingles are frequent (met in FREQUENT of them or more); at most MOST_FREQUENT are told apart.
-SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 100_000
+#: Repeated shingles that are told apart in the common order (16 bytes each in every worker).
+MOST_FREQUENT = 400_000
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -58,12 +59,14 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     k = n - (4 * n + 4) // 5 + 1
     if not len(frequent):
         return s[:k]
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    known = frequent[at] == s
-    plain = s[~known]
-    if len(plain) >= k:
-        return plain[:k]
-    return np.concatenate([plain, s[known][np.argsort(rank[at[known]], kind="stable")]])[:k]
+    for upto in (k + k // 8 + 4, n):  # mostly the first few tell
+        part = s[:upto]
+        at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)
+        known = frequent[at] == part
+        plain = part[~known]
+        if len(plain) >= k:
+            return plain[:k]
+    return np.concatenate([plain, part[known][np.argsort(rank[at[known]], kind="stable")]])[:k]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -80,14 +83,6 @@ def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([_signed(t), pa.array(c)], ["token", "c"])
 
 
-def _all_shingles(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_batches(batches, "text"):
-            yield _counted(shingle_sets(texts, shingle))
-
-    return run
-
-
 def _key(s: np.ndarray) -> tuple[int, int]:
     """Two hashes of a set."""
     a = mix(s)
@@ -104,7 +99,11 @@ def _prefixes(shingle: int, order):
 
 
 def _points_of(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets], pa.binary())
+    out = []
+    for s in sets:
+        counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+        out.append(counts.astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes())
+    return pa.array(out, pa.binary())
 
 
 def _described(shingle: int, order, bloom):
@@ -194,7 +193,7 @@ class Links:
 
 
 def _points(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u4").reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(p, dtype="<u2" if len(p) == 2 * GROUPS else "<u4").astype(np.int32) for p in column])
 
 
 def _passing(f: pd.DataFrame) -> pd.DataFrame:
@@ -237,13 +236,17 @@ def _with_rid(docs: DataFrame) -> DataFrame:
 def _described_docs(docs: DataFrame, shingle: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     texts = docs.select("text")
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    seen = sample.mapInArrow(_all_shingles(shingle), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    top = np.array(seen.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).collect(), dtype=np.int64).reshape(-1, 2)
-    frequent = top[:, 0].copy().view(np.uint64)
-    by = np.argsort(frequent)
-    order = sc.broadcast((frequent[by], top[by, 1]))
-    counts = texts.mapInArrow(_prefixes(shingle, order), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
+    none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+    def repeated(order) -> DataFrame:
+        return texts.mapInArrow(_prefixes(shingle, sc.broadcast(order)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
+
+    top = repeated(none).orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).toArrow()
+    frequent, rank = (top.column(c).to_numpy() for c in ("token", "c"))
+    by = np.argsort(frequent.view(np.uint64))
+    order = (frequent.view(np.uint64)[by], rank[by])
+    counts = repeated(order)
+    order = sc.broadcast(order)
     bloom = sc.broadcast(BloomFilter.build(counts.select("token"), "token"))
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, rid long, n long, node long, check long, tokens array<long>, point binary"
