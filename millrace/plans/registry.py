@@ -1,6 +1,576 @@
-"""All queries of the library but the training-data ones, and their SQL."""
+"""All queries of the library but the training-data ones, and the SQL that each is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import columns as C
+from millrace.operators import clean as K
+from millrace.operators import profile as P
+from millrace.operators import relate as R
+from millrace.plans import intent as I
+from millrace.sources import files as S
+from millrace.sources import sinks as W
+from millrace.sources.scratch import scratch
+from millrace.streaming import runs as T
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- scans and sinks
+
+
+@query("select * from nation")
+def scan_csv(t):
+    path = scratch(t.spark, "csv")
+    t.nation.write.option("header", True).option("escape", '"').csv(path)
+    return S.read_csv(t.spark, path, t.nation.schema)
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F'")
+def scan_parquet(t):
+    return t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select event_id, user_id, event_type, value from events")
+def scan_json(t):
+    path = scratch(t.spark, "json")
+    e = t.events.select("event_id", "user_id", "event_type", "value")
+    e.write.json(path)
+    return S.read_json(t.spark, path, e.schema)
+
+
+@query("select c_custkey, c_name from customer order by c_custkey limit 5")
+def read_sample(t):
+    return t.customer.orderBy("c_custkey").limit(5).select("c_custkey", "c_name")
+
+
+@query("select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(l_quantity as bigint) as l_quantity, l_shipdate::date as l_shipdate, cast(null as varchar) as l_note from lineitem")
+def load_with_schema(t):
+    spec = (K.ColumnSpec("l_orderkey", "bigint"), K.ColumnSpec("l_linenumber", "LONG"), K.ColumnSpec("l_quantity", "bigint"), K.ColumnSpec("l_shipdate", "date"), K.ColumnSpec("l_note", "VARCHAR(255)"))
+    return K.to_schema(t.lineitem, spec)
+
+
+@query("select doc_id, md5(text) as md5, sha256(text) as sha256, sha1(text) as sha1 from documents")
+def checksum(t):
+    return t.documents.select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"))
+
+
+@query("select event_id, coalesce(json_valid(props), false) as is_json from events")
+def json_validity(t):
+    return t.events.select("event_id", F.coalesce(S.valid_json(F.col("props")), F.lit(False)).alias("is_json"))
+
+
+@query("with f as (select p_partkey, case p_partkey % 3 when 0 then 'csv' when 1 then 'txt' else 'json' end as ext, p_partkey * 1000000 % 120000000 as n from part) select p_partkey, ext <> 'txt' and n >= 1 and n <= 104857600 as valid, concat_ws(',', case when ext = 'txt' then 'unsupported extension' end, case when n < 1 then 'too small' end, case when n > 104857600 then 'too large' end) as errors, case when n > 52428800 and n <= 104857600 then 'large file' else '' end as warnings from f")
+def file_checks(t):
+    files = t.part.select("p_partkey", F.concat(F.lit("f."), F.element_at(F.array(F.lit("csv"), F.lit("txt"), F.lit("json")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("file_name"), (F.col("p_partkey") * 1_000_000 % 120_000_000).alias("length"))
+    checked = S.file_checks(files)
+    return checked.select("p_partkey", "valid", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query("select p_partkey, round((p_partkey * 1000000) / (5 * 1024 * 1024 * case p_partkey % 3 when 0 then 0.8 when 1 then 1.0 else 2.0 end), 3) as seconds from part")
+def ingest_estimate(t):
+    ext = F.element_at(F.array(F.lit("csv"), F.lit("json"), F.lit("parquet")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return t.part.select("p_partkey", F.round(S.ingest_seconds(F.col("p_partkey") * 1_000_000, ext), 3).alias("seconds"))
+
+
+@query("select * from supplier union all select * from supplier where s_suppkey % 2 = 0")
+def write_append(t):
+    path = scratch(t.spark, "append")
+    t.supplier.write.parquet(path)
+    t.supplier.where("s_suppkey % 2 = 0").write.mode("append").parquet(path)
+    return t.spark.read.schema(t.supplier.schema).parquet(path)
+
+
+@query("select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus <> 'F' union all select o_orderkey, o_totalprice + 1, o_orderstatus from orders where o_orderstatus = 'F'")
+def write_overwrite_partitions(t):
+    path, o = scratch(t.spark, "parts"), t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    W.write_partitioned(o, path, ["o_orderstatus"])
+    W.overwrite_partitions(o.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1), path, ["o_orderstatus"])
+    return t.spark.read.schema(o.schema).parquet(path)
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag from lineitem where l_returnflag = 'R'")
+def write_partitioned(t):
+    path, df = scratch(t.spark, "flags"), t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    W.write_partitioned(df, path, ["l_returnflag"])
+    return t.spark.read.schema(df.schema).parquet(path).where("l_returnflag = 'R'")
+
+
+@query("select c_custkey, c_name from customer")
+def write_validated(t):
+    return W.validated(t.customer, ["c_custkey", "c_name", "c_missing"])[0]
+
+
+@query("select count(*) as expected, count(*) filter (o_orderkey % 50 <> 0) as written, abs(count(*) filter (o_orderkey % 50 <> 0) - count(*)) <= 0.05 * count(*) as valid from orders")
+def write_validation(t):
+    return W.within(t.orders, t.orders.where("o_orderkey % 50 <> 0"))
+
+
+@query(" union all ".join(f"select '{x}' as table_name, count(*) as row_count, cast((select count(*) from information_schema.columns c where c.table_name = '{x}') as integer) as column_count from {x}" for x in TABLES))
+def profile_tables(t):
+    return P.profile_tables({x: getattr(t, x) for x in TABLES})
+
+
+# ---- scalar functions
+
+_COLS = {
+    "col_trim": ("part", ["p_partkey"], {"v": (lambda: F.trim(F.concat(F.lit("  "), "p_name", F.lit(" "))), "trim('  ' || p_name || ' ')")}),
+    "col_case": ("customer", ["c_custkey"], {"up": (lambda: F.upper("c_mktsegment"), "upper(c_mktsegment)"), "low": (lambda: F.lower("c_name"), "lower(c_name)")}),
+    "col_strip_special": ("part", ["p_partkey"], {"v": (lambda: C.strip_special(F.col("p_brand")), r"regexp_replace(p_brand, '[^\w\s]', '', 'g')")}),
+    "col_nonnegative": ("customer", ["c_custkey"], {"v": (lambda: C.nonnegative(F.col("c_acctbal")), "case when c_acctbal < 0 then 0 else c_acctbal end")}),
+    "col_clamp": ("lineitem", ["l_orderkey", "l_linenumber"], {"v": (lambda: C.clamp(F.col("l_quantity"), 5.0, 40.0), "case when l_quantity < 5 then 5 when l_quantity > 40 then 40 else l_quantity end")}),
+    "col_parse_date": ("orders", ["o_orderkey"], {"v": (lambda: C.parse_date(F.date_format("o_orderdate", "dd/MM/yyyy"), "dd/MM/yyyy"), "o_orderdate::date")}),
+    "empty_to_null": ("customer", ["c_custkey"], {"v": (lambda: C.empty_to_null(F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))), "nullif(case when c_custkey % 3 = 0 then '' else c_name end, '')")}),
+    "standardize_values": ("orders", ["o_orderkey"], {"v": (lambda: C.standardised(F.col("o_orderpriority"), {"1-URGENT": "high", "2-HIGH": "high", "high": "HIGH"}), "case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'HIGH' else o_orderpriority end")}),
+    "nan_to_null": ("lineitem", ["l_orderkey", "l_linenumber"], {"v": (lambda: C.nan_to_null(F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_tax"))), "case when l_linenumber = 1 then null else l_tax end")}),
+    "normalize_name": ("part", ["p_partkey"], {"v": (lambda: C.normalised_name(F.concat(F.lit(" "), "p_name", F.lit("-#1.csv"))), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(' ' || p_name || '-#1.csv')), '\\.(csv|xlsx|xls|parquet|json)$', ''), '[\\s.-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')")}),
+    "clean_table_name": ("part", ["p_partkey"], {"v": (lambda: C.table_name(F.concat((F.col("p_partkey") % 2).cast("string"), F.lit(" "), "p_brand")), "'tbl_' || regexp_replace(replace(lower((p_partkey % 2) || ' ' || p_brand), ' ', '_'), '[^a-z0-9_]', '', 'g')")}),
+    "pretty_label": ("customer", ["c_custkey"], {"v": (lambda: C.pretty(F.lit("total_sales")), "'Total Sales'")}),
+    "humanize": ("orders", ["o_orderkey"], {"v": (lambda: C.duration(F.col("o_orderkey")), "case when o_orderkey >= 60 then (o_orderkey // 60) || 'm ' || (o_orderkey % 60) || 's' else o_orderkey || 's' end")}),
+    "json_path_coalesce": ("events", ["event_id"], {"v": (lambda: F.coalesce(F.get_json_object("props", "$.title"), F.lit("Untitled")), "coalesce(json_extract_string(props, '$.title'), 'Untitled')")}),
+}
+
+
+def _column_query(table: str, keys: list[str], made: dict):
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, *(f().alias(k) for k, (f, _) in made.items()))
+
+
+for _name, (_table, _keys, _made) in _COLS.items():
+    QUERIES[_name] = _column_query(_table, _keys, _made)
+    ORACLE_SQL[_name] = f"select {', '.join(_keys)}, {', '.join(f'{sql} as {k}' for k, (_, sql) in _made.items())} from {_table}"
+
+
+@query("select n_nationkey, n_name || ' ' || r_name as label from nation join region on n_regionkey = r_regionkey")
+def computed_concat(t):
+    j = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("n_nationkey", C.concatenated(["n_name", "r_name", "nothing"], j.columns).alias("label"))
+
+
+_CUSTOMER = K.EntitySpec("customer", (K.ColumnSpec("c_custkey", "bigint", False), K.ColumnSpec("c_name", rules={"trim": True, "case": "upper"}), K.ColumnSpec("c_acctbal", "double", False, rules={"no_negatives": True, "max": 9000.0}), K.ColumnSpec("c_mktsegment", rules={"standardize": {"BUILDING": "construction"}})), {"label": ("c_name", "c_mktsegment")})
+
+
+@query("select c_custkey, upper(trim(c_name)) as c_name, case when c_acctbal < 0 then 0.0 when c_acctbal > 9000 then 9000.0 else c_acctbal end as c_acctbal, c_mktsegment, upper(trim(c_name)) || ' ' || c_mktsegment as label from customer")
+def transform_entity(t):
+    return K.transform_entity(t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), _CUSTOMER)
+
+
+@query("select distinct c_custkey, nullif(case when c_custkey % 5 = 0 then '' else c_name end, '') as c_name, coalesce(case when c_custkey % 7 = 0 then null else c_acctbal end, 0.0) as c_acctbal, case when c_mktsegment = 'BUILDING' then 'construction' else c_mktsegment end as c_mktsegment from customer")
+def clean_entity(t):
+    dirty = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment")
+    return K.clean_entity(dirty.unionByName(dirty), _CUSTOMER)
+
+
+@query("select distinct l_orderkey, l_returnflag, l_linestatus from lineitem")
+def drop_duplicates(t):
+    return t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus").dropDuplicates()
+
+
+@query("select o_orderkey, x from (select case when o_orderkey % 4 = 0 then null else o_orderkey end as o_orderkey, case when o_orderkey % 4 = 0 then null else o_orderstatus end as x from orders) where o_orderkey is not null or x is not null")
+def drop_all_null(t):
+    keep = F.col("o_orderkey") % 4 != 0
+    return t.orders.select(F.when(keep, F.col("o_orderkey")).alias("o_orderkey"), F.when(keep, F.col("o_orderstatus")).alias("x")).dropna(how="all")
+
+
+@query("select o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') as status from orders")
+def fill_defaults(t):
+    df = t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"))
+    return K.fill_defaults(df, (K.ColumnSpec("status", nullable=False, default_value="none"),))
+
+
+@query("select distinct s_suppkey, trim(s_name) as s_name, coalesce(case when s_suppkey % 3 = 0 then null else s_nationkey end, 0) as s_nationkey from supplier")
+def clean_and_prepare(t):
+    df = t.supplier.select("s_suppkey", F.concat("s_name", F.lit(" ")).alias("s_name"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("s_nationkey"))
+    return K.clean_and_prepare(df.unionByName(df), {"s_nationkey": 0})
+
+
+@query("select o_orderkey, o_totalprice, case when o_orderstatus = 'O' then 'open' else o_orderstatus end as o_orderstatus, o_totalprice + o_custkey as total from orders where o_totalprice > 100000 and o_orderpriority <> '5-LOW'")
+def rule_chain(t):
+    rules = [{"type": "filter", "column": "o_totalprice", "operator": "greater_than", "value": 100000}, {"type": "filter", "column": "o_orderpriority", "operator": "not_equals", "value": "5-LOW"}, {"type": "replace", "column": "o_orderstatus", "old": "O", "new": "open"}, {"type": "calculate", "target": "total", "a": "o_totalprice", "b": "o_custkey"}]
+    return K.apply_rules(t.orders, rules).select("o_orderkey", "o_totalprice", "o_orderstatus", "total")
+
+
+# ---- filters
+
+_FILTERS = {
+    "filter_equals": ("orders", "o_orderstatus", "equals", "F", "o_orderstatus = 'F'"),
+    "filter_not_equals": ("orders", "o_orderstatus", "not_equals", "F", "o_orderstatus <> 'F'"),
+    "filter_gt": ("orders", "o_totalprice", "greater_than", 150000, "o_totalprice > 150000"),
+    "filter_lt": ("orders", "o_totalprice", "less_than", 50000, "o_totalprice < 50000"),
+    "filter_contains": ("part", "p_name", "contains", "e", "contains(p_name, 'e')"),
+    "filter_not_null": ("part", "p_brand", "not_null", None, "p_brand is not null"),
+    "filter_is_null": ("part", "p_brand", "is_null", None, "p_brand is null"),
+}
+
+
+def _filter_query(table, column, op, value):
+    return lambda spark, sf_dir: K.rule_filter(spark.read.parquet(f"{sf_dir}/{table}.parquet"), column, op, value)
+
+
+for _name, (_table, _column, _op, _value, _sql) in _FILTERS.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _filter_query(_table, _column, _op, _value), f"select * from {_table} where {_sql}"
+
+
+@query("select c_custkey, c_mktsegment from customer where lower(c_mktsegment) = 'building' and cast(c_nationkey as varchar) = '3'")
+def filter_ci(t):
+    return K.filter_equal_ci(t.customer, {"c_mktsegment": "Building", "c_nationkey": 3}).select("c_custkey", "c_mktsegment")
+
+
+@query("select 'l_discount' as column_name, count(*) filter (l_discount < 0.02 or l_discount > 0.08) as violations from lineitem union all select 'l_quantity', count(*) filter (l_quantity < 1 or l_quantity > 45) from lineitem")
+def range_check(t):
+    return K.range_violations(t.lineitem, {"l_discount": (0.02, 0.08), "l_quantity": (1, 45)})
+
+
+@query("select o_orderkey from orders where o_custkey = 7 or o_orderstatus = 'O'")
+def filter_visibility(t):
+    return t.orders.where((F.col("o_custkey") == 7) | (F.col("o_orderstatus") == "O")).select("o_orderkey")
+
+
+@query("select p_partkey, p_name from part where p_name ilike '%an%'")
+def search_ilike(t):
+    return t.part.where(F.col("p_name").ilike("%an%")).select("p_partkey", "p_name")
+
+
+@query("select event_id from events where ts < timestamp '2024-01-15 00:00:00'")
+def retention_filter(t):
+    return t.events.where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id")
+
+
+# ---- joins
+
+
+@query("select c.*, cast(count(o_orderkey) as bigint) as n_orders from customer c left join orders on c_custkey = o_custkey group by all")
+def join_left_count(t):
+    return R.count_related(t.customer, t.orders, "c_custkey", "o_custkey", "o_orderkey", "n_orders")
+
+
+@query("select l_orderkey, l_linenumber, p_brand from lineitem join part on l_partkey = p_partkey")
+def join_related(t):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey)")
+def anti_unused_parts(t):
+    return t.part.join(t.lineitem, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
+
+
+@query("select s_suppkey from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey)")
+def semi_used_suppliers(t):
+    return t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey")
+
+
+@query("select r_name, count(*) as customers from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey group by r_name")
+def sql_passthrough_join(t):
+    return I.pass_through(t.spark, "select r_name, count(*) as customers from {region} join {nation} on r_regionkey = n_regionkey join {customer} on n_nationkey = c_nationkey group by r_name", {x: getattr(t, x) for x in ("region", "nation", "customer")})
+
+
+# ---- profiles
+
+
+def _profile_sql(table: str, columns: list[str]) -> str:
+    return " union all ".join(f"select '{c}' as column_name, {i} as ordinal, count(*) as total, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count, round((count(*) - count({c})) * 100.0 / count(*), 2)::double as null_pct from {table}" for i, c in enumerate(columns))
+
+
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query(_profile_sql("orders", _ORDERS))
+def profile_columns(t):
+    return P.profile_columns(t.orders.select(_ORDERS))
+
+
+@query(" union all ".join(f"select '{c}' as column_name, {i} as ordinal, count(*) as total, round(min({c})::double, 4) as min_value, round(max({c})::double, 4) as max_value, round(avg({c})::double, 4) as mean_value from lineitem" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount"))))
+def profile_numeric(t):
+    df = P.profile_numeric(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount"))
+    return df.select("column_name", "ordinal", "total", *(F.round(c, 4).alias(c) for c in ("min_value", "max_value", "mean_value")))
+
+
+@query("select 'o_orderkey' as column_name, 'integer' as inferred_type union all select 'o_totalprice', 'float' union all select 'o_orderdate', 'datetime' union all select 'o_orderpriority', 'string'" )
+def infer_types(t):
+    return P.infer_types(t.orders.select(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority"))
+
+
+@query("select 'c_name' as column_name, count(*) as total, 0 as ordinal, count(*) filter (c_custkey % 5 = 0) as null_count, count(*) filter (c_custkey % 5 = 1) as blank_count, count(distinct case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then ' ' else c_name end) as unique_count, round(count(*) filter (c_custkey % 5 = 0) * 100.0 / count(*), 2)::double as null_pct, round(count(*) filter (c_custkey % 5 = 1) * 100.0 / count(*), 2)::double as blank_pct from customer")
+def quality_stats(t):
+    k = F.col("c_custkey") % 5
+    return P.quality_stats(t.customer.select(F.when(k == 1, " ").when(k != 0, F.col("c_name")).alias("c_name")))
+
+
+@query("select 'a' as column_name, round(count(*) filter (c_custkey % 20 <> 0) * 100.0 / count(*), 2)::double as null_pct, 'error' as verdict from customer union all select 'b', round(count(*) filter (c_custkey % 3 <> 0) * 100.0 / count(*), 2)::double, 'warning' from customer union all select 'c', 0.0, 'ok'")
+def quality_verdict(t):
+    return P.quality_verdict(t.customer.select(F.when(F.col("c_custkey") % 20 == 0, 1).alias("a"), F.when(F.col("c_custkey") % 3 == 0, 1).alias("b"), F.col("c_name").alias("c")))
+
+
+@query("select 'o_orderkey' as column_name, 0::bigint as violations, true as is_valid union all select 'late', count(*) filter (o_orderstatus = 'F'), count(*) filter (o_orderstatus = 'F') = 0 from orders")
+def constraint_violations(t):
+    return P.constraint_violations(t.orders.withColumn("late", F.nullif("o_orderstatus", F.lit("F"))), ["o_orderkey", "late"])
+
+
+@query("select column_name, cast(rank as integer) as rank, value from (select 'c_name' as column_name, row_number() over (order by c_custkey) as rank, c_name as value from customer union all select 'c_mktsegment', row_number() over (order by c_custkey), c_mktsegment from customer) where rank <= 5")
+def column_samples(t):
+    return P.column_samples(t.customer, ["c_name", "c_mktsegment"], ["c_custkey"])
+
+
+@query("select (select count(*) from orders) as rows_before, count(*) as rows_after, (select count(*) from orders) - count(*) as rows_removed, 1 as columns_added, 0 as columns_removed from orders where o_totalprice > 1000")
+def transformation_summary(t):
+    return K.transformation_summary(t.orders, t.orders.where("o_totalprice > 1000").withColumn("x", F.lit(1)))
+
+
+# ---- aggregates
+
+
+def _agg(name: str, fn: str):
+    f = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[fn]
+    QUERIES[name] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg((F.round(f("l_extendedprice"), 2) if fn != "count" else f("l_extendedprice")).alias("v"))
+    ORACLE_SQL[name] = f"select l_returnflag, {'round(' if fn != 'count' else ''}{fn}(l_extendedprice){', 2)' if fn != 'count' else ''} as v from lineitem group by l_returnflag"
+
+
+for _fn in ("sum", "avg", "min", "max", "count"):
+    _agg(f"agg_{_fn}", _fn)
+
+
+@query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as qty, count(*) as n from lineitem group by all")
+def agg_multi_dim(t):
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.count("*").alias("n"))
+
+
+@query("select l_linestatus, count(*) as visits from lineitem group by l_linestatus")
+def agg_fallback_count(t):
+    return I.run_intent(t.lineitem, I.Intent(("visits",), ("l_linestatus",)))
+
+
+@query("select round(sum(o_totalprice), 2) as o_totalprice from orders")
+def agg_global(t):
+    return I.run_intent(t.orders, I.Intent(("o_totalprice",))).select(F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query("select o_orderkey, coalesce(string_agg(l_linenumber || ':' || cast(l_quantity as integer), ',' order by l_linenumber, l_quantity), '') as items from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+def collect_structs(t):
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("s"))
+    text = F.concat_ws(",", F.transform("s", lambda x: F.concat_ws(":", x["l_linenumber"], x["q"])))
+    return t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce(text, F.lit("")).alias("items"))
+
+
+@query("select event_type, count(*) as n, round(sum(value), 2) as total, round(max(value), 4) as largest, round(min(value), 4) as smallest from events group by event_type")
+def file_stats_by_type(t):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.max("value"), 4).alias("largest"), F.round(F.min("value"), 4).alias("smallest"))
+
+
+@query("select case when d < 1 then '<1d' when d < 7 then '1-7d' when d < 30 then '7-30d' else '>30d' end as bucket, count(*) as n from (select date_diff('second', ts, timestamp '2024-02-01 00:00:00') / 86400.0 as d from events) group by 1")
+def age_buckets(t):
+    d = F.expr("timestampdiff(SECOND, ts, timestamp_ntz'2024-02-01 00:00:00')") / 86400.0
+    return t.events.groupBy(F.when(d < 1, "<1d").when(d < 7, "1-7d").when(d < 30, "7-30d").otherwise(">30d").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as customers, count(*) filter (c_acctbal >= 8000) as high, count(*) filter (c_acctbal >= 5000 and c_acctbal < 8000) as medium, count(*) filter (c_acctbal < 5000) as low, round(avg(c_acctbal), 3) as mean from customer")
+def mapping_stats(t):
+    b = F.col("c_acctbal")
+    return t.customer.agg(F.count("*").alias("customers"), F.count_if(b >= 8000).alias("high"), F.count_if((b >= 5000) & (b < 8000)).alias("medium"), F.count_if(b < 5000).alias("low"), F.round(F.avg(b), 3).alias("mean"))
+
+
+@query("select count(distinct o_orderpriority) as categories, max(length(o_orderpriority)) as longest, count(distinct o_orderpriority) > 10 or max(length(o_orderpriority)) > 15 as rotate, count(distinct o_orderpriority) > 30 as truncate_labels from orders")
+def axis_stats(t):
+    return t.orders.agg(F.count_distinct("o_orderpriority").alias("categories"), F.max(F.length("o_orderpriority")).alias("longest")).select("*", ((F.col("categories") > 10) | (F.col("longest") > 15)).alias("rotate"), (F.col("categories") > 30).alias("truncate_labels"))
+
+
+# ---- rankings, caps, sets
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as n from lineitem) where n = 1")
+def best_match(t):
+    return R.latest(t.lineitem, ["l_orderkey"], [F.desc("l_extendedprice"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("select l_suppkey, l_orderkey, l_linenumber, cast(rank as integer) as rank from (select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber) as rank from lineitem where l_quantity > 20) where rank <= 3")
+def top3_suggestions(t):
+    return R.top_k(t.lineitem.where("l_quantity > 20"), ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def latest_metadata(t):
+    return R.latest(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("select s_suppkey, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as idx from supplier")
+def row_index(t):
+    return t.supplier.select("s_suppkey", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).alias("idx"))
+
+
+@query("select l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem where l_returnflag <> 'R' group by l_partkey order by revenue desc, l_partkey limit 10")
+def top10_parts_by_revenue(t):
+    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    return t.lineitem.where("l_returnflag <> 'R'").groupBy("l_partkey").agg(revenue).orderBy(F.desc("revenue"), "l_partkey").limit(10)
+
+
+@query("select l_partkey, round(sum(l_quantity), 2) as qty from lineitem group by l_partkey order by qty desc, l_partkey limit 100")
+def chart_topn_bar(t):
+    return R.chart_rows(t.lineitem.groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("qty")), "bar", "qty", "l_partkey")
+
+
+@query("select l_orderkey, round(sum(l_quantity), 2) as qty from lineitem group by l_orderkey order by qty desc, l_orderkey limit 1000")
+def chart_topn_scatter(t):
+    return R.chart_rows(t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 2).alias("qty")), "scatter", "qty", "l_orderkey")
+
+
+@query("select o_orderkey, (select count(*) from orders) > 1000 as truncated from orders order by o_orderkey limit 1000")
+def capped_result(t):
+    rows, truncated = R.capped(t.orders.select("o_orderkey").orderBy("o_orderkey"), 1000)
+    return rows.withColumn("truncated", F.lit(truncated))
+
+
+@query("select c_custkey as id, c_name as name from customer union all select s_suppkey, s_name from supplier")
+def union_files(t):
+    return K.union_by_name([t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))])
+
+
+@query("select distinct l_shipdate::date as d from lineitem")
+def distinct_values(t):
+    return t.lineitem.select(F.to_date("l_shipdate").alias("d")).distinct()
+
+
+@query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
+def columns_intersect(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select(F.col("s_nationkey").alias("k")))
+
+
+@query("select n_nationkey as k from nation except all select c_nationkey from customer")
+def columns_except(t):
+    return t.nation.select(F.col("n_nationkey").alias("k")).exceptAll(t.customer.select(F.col("c_nationkey").alias("k")))
+
+
+# ---- discovery
+
+_KEYS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "supplier": ["s_suppkey", "s_nationkey"]}
+
+
+def _catalog(t) -> DataFrame:
+    return P.column_catalog({k: getattr(t, k).select(v).withColumnsRenamed({c: c[2:] for c in v}) for k, v in _KEYS.items()})
+
+
+def _catalog_sql() -> str:
+    kind = lambda c: "string" if c.endswith(("segment", "status")) else "int" if c.endswith("nationkey") else "bigint"
+    return " union all ".join(f"select '{k}' as table_name, '{c[2:]}' as column_name, {i} as ordinal, '{kind(c)}' as data_type, count(*) as total, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count from {k}" for k, v in _KEYS.items() for i, c in enumerate(v))
+
+
+@query(_catalog_sql())
+def column_catalog(t):
+    return _catalog(t)
+
+
+@query(f"with c as ({_catalog_sql()}) select a.table_name as from_table, b.table_name as to_table, a.column_name, round(0.4 + case when a.data_type = b.data_type then 0.3 else 0 end + case when a.column_name like '%id%' then 0.2 else 0 end + case when a.distinct_count / greatest(b.distinct_count, 1) > 2 then 0.1 else 0 end, 2)::double as confidence, case when a.distinct_count / greatest(b.distinct_count, 1) > 2 then 'many_to_one' when a.distinct_count / greatest(b.distinct_count, 1) < 0.5 then 'one_to_many' else 'many_to_many' end as relation from c a join c b on a.column_name = b.column_name and a.table_name < b.table_name")
+def rel_common_columns(t):
+    return R.common_columns(_catalog(t))
+
+
+@query(f"with c as ({_catalog_sql()}), k as (select table_name, column_name, ordinal, cast(case when column_name = 'id' then 0 when column_name like '%\\_id' escape '\\' then 1 when column_name like '%id%' then 2 else 3 end as integer) as kind from c where column_name like '%id%' or (distinct_count > 0.95 * total and null_count = 0)) select table_name, column_name, kind, cast(row_number() over (partition by table_name order by kind, ordinal) as integer) as rank from k")
+def pk_candidates(t):
+    return R.key_candidates(_catalog(t))
+
+
+@query(f"with c as ({_catalog_sql()}) select table_name, column_name, data_type, null_count > 0 as nullable, distinct_count = total and null_count = 0 as is_unique from c")
+def column_definitions(t):
+    return R.column_definitions(_catalog(t))
+
+
+@query(None)
+def name_similarity(t):
+    a = t.part.select(C.normalised_name(F.col("p_name")).alias("entity")).distinct().withColumn("k", F.substring("entity", 1, 4))
+    b = t.part.select(C.normalised_name(F.concat("p_name", F.lit("_data.csv"))).alias("file")).distinct().withColumn("k", F.substring("file", 1, 4))
+    return a.join(b, "k").select("entity", "file", F.round(R.similarity(F.col("entity"), F.col("file")), 6).alias("score"))
+
+
+# ---- requests, shapes
+
+
+@query("select c_mktsegment, round(sum(l_extendedprice), 2) as l_extendedprice from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where lower(o_orderstatus) = 'f' group by c_mktsegment")
+def intent_revenue_by_segment(t):
+    relations = (I.Relation(t.orders, "l_orderkey", "o_orderkey"), I.Relation(t.customer, "o_custkey", "c_custkey"))
+    out = I.run_intent(t.lineitem, I.Intent(("l_extendedprice",), ("c_mktsegment",), {"o_orderstatus": "f"}, order_by="l_extendedprice"), relations)
+    return out.select("c_mktsegment", F.round("l_extendedprice", 2).alias("l_extendedprice"))
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def sql_passthrough(t):
+    return I.pass_through(t.spark, "select event_type, count(*) as n from {events} group by event_type", {"events": t.events})
+
+
+@query("select o_orderkey, o_orderstatus || ' ' || o_orderpriority as label from orders")
+def category_labels(t):
+    return t.orders.select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("label"))
+
+
+@query("select c_mktsegment, c_custkey, c_name, n_orders from (select c_custkey, c_name, c_mktsegment, count(o_orderkey) as n_orders from customer left join orders on c_custkey = o_custkey where c_name ilike '%1%' group by all)")
+def nested_preview(t):
+    found = t.customer.where(F.col("c_name").ilike("%1%"))
+    return R.count_related(found, t.orders, "c_custkey", "o_custkey", "o_orderkey", "n_orders").select("c_mktsegment", "c_custkey", "c_name", "n_orders")
+
+
+# ---- runs and streams
+
+
+def _as_files(t, table: str) -> str:
+    """The table as a folder of files, as a stream takes them in."""
+    path = scratch(t.spark, table)
+    getattr(t, table).write.parquet(path)
+    return path
+
+
+@query("select event_id, case when event_type like '%error%' then 'failed' when event_type = 'purchase' then 'completed' when event_type = 'signup' then 'started' else 'running' end as status from events")
+def status_classify(t):
+    return t.events.select("event_id", T.status(F.col("event_type")).alias("status"))
+
+
+@query("select user_id, count(*) as events, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type = 'purchase') as completed, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as duration_s, case when count(*) filter (event_type = 'error') > 0 then 'failed' when count(*) filter (event_type = 'purchase') > 0 then 'success' else 'running' end as state from events group by user_id")
+def run_rollup(t):
+    return T.run_rollup(t.events, "user_id", "ts", "event_type").drop("started_at", "ended_at")
+
+
+@query("select user_id, event_type, round(arg_max(value, {'t': ts, 'e': event_id}), 4) as value from events group by user_id, event_type")
+def stream_latest_status(t):
+    out = scratch(t.spark, "latest")
+    T.stream_latest(t.spark, _as_files(t, "events"), t.events.schema, ["user_id", "event_type"], "ts", "value", "event_id", out, scratch(t.spark, "state"))
+    return t.spark.read.parquet(out).select("user_id", "event_type", F.round("value", 4).alias("value"))
+
+
+@query("select event_id, upper(event_type) as event_type, value from events where value > 10")
+def stream_ingest(t):
+    out = scratch(t.spark, "ingest")
+    T.stream_files(t.spark, _as_files(t, "events"), t.events.schema, lambda d: d.where("value > 10").select("event_id", F.upper("event_type").alias("event_type"), "value"), out, scratch(t.spark, "offsets"))
+    return t.spark.read.schema("event_id long, event_type string, value double").parquet(out).select("event_id", "event_type", "value")
+
+
+@query("select s_suppkey, upper(s_name) as s_name, 0 as part from supplier where s_suppkey % 2 = 0 union all select s_suppkey, upper(s_name), 1 from supplier where s_suppkey % 2 = 1")
+def ingest_job(t):
+    """Read two files of an entity, enforce its schema, transform, clean, unite, write and read back."""
+    spec = K.EntitySpec("supplier", (K.ColumnSpec("s_suppkey", "bigint", False), K.ColumnSpec("s_name", "varchar(50)", rules={"trim": True, "case": "upper"}), K.ColumnSpec("part", "int", False)))
+    frames = []
+    for i in (0, 1):
+        path = scratch(t.spark, "in")
+        t.supplier.where(f"s_suppkey % 2 = {i}").select("s_suppkey", "s_name", F.lit(i).alias("part")).write.option("header", True).csv(path)
+        frames.append(K.clean_entity(K.transform_entity(K.to_schema(S.read_csv(t.spark, path, "s_suppkey string, s_name string, part string"), spec.columns), spec), spec))
+    out = scratch(t.spark, "entity")
+    K.union_by_name(frames).write.parquet(out)
+    return t.spark.read.parquet(out)
