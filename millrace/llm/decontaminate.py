@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.words import text_batches, word_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
@@ -187,7 +188,7 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if text is not None and spans:
-                at = [m.span() for m in WORD.finditer(text)]
+                at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
                 kept, done = [], 0
                 for s, e in zip(spans[::2], spans[1::2], strict=True):
                     kept.append(text[done : at[s][0]])

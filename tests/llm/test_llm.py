@@ -1,0 +1,395 @@
+"""The training-data operators: edge cases of each, and brute force where SQL can't tell the result."""
+
+import glob
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+
+from millrace.llm import components, decontaminate, html_extract, jaccard_join, quality, secret_scan, sentencepiece_codec, shared, substring_dedup, token_counts, url_filter, warc
+from millrace.llm.registry import ORACLE_SQL, QUERIES
+from millrace.llm.unigram import Vocabulary, default_model, vocabulary
+
+DIR = "/root/testdata/sf0.001"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+LONG = " ".join(WORDS * 3)
+ODD = [(1, None, "x", 1), (2, "", None, 2), (3, "one two three", "x", 3), (3, "one two three", "x", 3), (None, LONG, "x", 4), (5, LONG, "x", 5), (6, LONG.replace("alpha", "ALPHA"), "y", 6), (7, "w" * 5000, None, 7), (8, " \t\n ", "z", None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with nulls, empty and long texts, repeated rows, and columns whose names clash with the operators' own."""
+    return spark.createDataFrame(ODD, "doc_id long, text string, tokens string, n int")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, row string, failed int")
+
+
+# ---- against SQL
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return con
+
+
+def rows(table, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(str(r[i]) for i in order) for r in table)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(spark, duck, name):
+    df, want = QUERIES[name](spark, DIR), duck.sql(ORACLE_SQL[name])
+    assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
+
+
+# ---- 1 and 4
+
+
+@pytest.fixture(scope="module")
+def library(tmp_path_factory):
+    """The SentencePiece library's own unigram encoder on the same pieces; pieces scored -1e9 get a score that float32 can add."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(default_model(), "rb").read())
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        if p.score < -1e6:
+            p.score = -31750.0
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path), sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+def test_encoding_and_counts_equal_the_library(library):
+    path, sp = library
+    v = Vocabulary(path)
+    stretches, count = sentencepiece_codec.Stretches(v), token_counts.counter(v)
+    rng = random.Random(1)
+    for _ in range(1500):
+        text = "".join(rng.choice(["the", "of", " ", "  ", "er", "tion", "\n", "ß", "漢", "é", "X", "12", "!", "    ", "🙂", "\t"]) for _ in range(rng.randint(1, 24)))
+        ids = np.frombuffer(stretches.encode(v.normalise(text)), dtype="<i4").tolist()
+        assert ids == sp.encode(text), text
+        assert sum(count(s) for s in v.segment.findall(v.normalise(text))) == len(ids), text
+
+
+@pytest.mark.parametrize("chunk,fan", [(7, 2), (20, 3), (50, 64)])
+def test_chunks_give_the_same_ids(spark, odd, chunk, fan):
+    more = spark.createDataFrame([(20, "the  of " * 30 + "qqq" * 60), (21, "漢字かな" * 30), (22, " " * 200), (23, "tion" * 100 + "\n\n" + "er" * 77)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(more)
+    key = lambda r: (str(r.doc_id), r.tkey, list(r.ids))
+    assert sorted(map(key, sentencepiece_codec.encode(docs, chunk=chunk, fan=fan).collect())) == sorted(map(key, sentencepiece_codec.encode(docs).collect()))
+
+
+def test_max_plus_product_is_associative():
+    rng = np.random.default_rng(0)
+    a, b, c = rng.integers(-9, 9, (3, 5, 5)).astype(float)
+    assert (sentencepiece_codec.product(sentencepiece_codec.product(a, b), c) == sentencepiece_codec.product(a, sentencepiece_codec.product(b, c))).all()
+
+
+def test_round_trip(odd, none):
+    got = sentencepiece_codec.encoded_and_decoded(odd).collect()
+    assert len(got) == len(ODD) and all(r.round_trip for r in got)
+    assert sentencepiece_codec.encoded_and_decoded(none).count() == 0
+
+
+def test_token_counts(odd, none):
+    want = {(str(r.doc_id), r.n_tokens) for r in sentencepiece_codec.encoded_and_decoded(odd).collect()}
+    got = token_counts.count_tokens(odd).collect()
+    assert len(got) == len(ODD) and {(str(r.doc_id), r.n_tokens) for r in got} == want
+    assert token_counts.count_tokens(none).count() == 0
+
+
+# ---- 2
+
+
+def test_warc_edges(spark):
+    big = "<p>" + "x" * 2000
+    pages = spark.createDataFrame([(1, "http://a", big, 0), (2, "http://b\r\n", big, 0), (3, None, None, 0), (4, "u", "small", 0), (5, "u", "small", 0), (None, "u", big, 0), (2, "http://b\r\n", big, 0)], "page_id long, url string, html string, digest int")
+    path = shared.shared_path(spark, "warc-test")
+    manifest = warc.write_archives(warc.plan_records(pages), path)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolved(warc.read_archives(spark, path, manifest)).collect()), key=str)
+    n = len(big)
+    assert got == sorted([(1, "revisit", 2, n), (2, "response", None, n), (2, "response", None, n), (3, "response", None, 0), (4, "response", None, 5), (5, "response", None, 5), (None, "revisit", 2, n)], key=str)
+
+
+def test_warc_round_trip_and_damage():
+    records = [warc.record_bytes(i, "http://x", b"<html>%d</html>" % i * 30, hashlib.sha1(b"<html>%d</html>" % i * 30).hexdigest(), None) for i in range(40)]
+    archive = warc.pack(records)
+    assert list(warc.records_of(archive)) == records
+    assert [warc.parse(r)["page_id"] for r in records] == list(range(40))
+    for bad in (archive[:-3], archive[:20], b"", archive[:200] + b"\0\0\0\0" + archive[204:]):
+        with pytest.raises(Exception):  # noqa: B017
+            [warc.parse(r) for r in warc.records_of(bad)]
+    for old, new in ((b"Content-Length: ", b"Content-Length: 9"), (b"WARC/1.1", b"WARC/9.9"), (b"<html>", b"<HTML>"), (b"WARC-Date", b"Date")):
+        with pytest.raises(ValueError):
+            warc.parse(records[0].replace(old, new, 1))
+
+
+# ---- 3
+
+
+def test_secret_patterns():
+    text = 'x password: abc token = "abcdef12" API_KEY=zzzzzz AKIA' + "A" * 16 + " AKIAAAA " + "0123456789abcdef" * 2 + " ſecret=abcdefgh"
+    kinds = [(k, text[s:e]) for k, s, e in secret_scan.base_findings(text)]
+    assert kinds == [("assign", 'token = "abcdef12'), ("assign", "API_KEY=zzzzzz"), ("access", "AKIA" + "A" * 16), ("hex", "0123456789abcdef" * 2)]
+
+
+def test_network_held_out():
+    net = secret_scan.trained()
+    x, y = secret_scan.examples(2000, 99)
+    hit = net.probability(x) >= net.threshold
+    assert hit[y > 0].mean() > 0.95 and hit[y == 0].mean() < 0.02
+
+
+def test_secret_scan_brute_force(spark):
+    import duckdb
+
+    got = {r.doc_id: r for r in QUERIES["op3_secret_scan"](spark, DIR).collect()}
+    for doc_id, text in duckdb.sql(f"select doc_id, text from '{DIR}/documents.parquet'").fetchall():
+        base = []
+        for kind, pattern, least in (("assign", secret_scan.ASSIGN, 0), ("access", secret_scan.ACCESS, 20), ("hex", re.compile("[0-9a-f]+"), 24)):
+            base += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k in [("assign", "access", "hex").index(kind)] for m in pattern.finditer(text) if (len(m[2]) >= 6 if kind == "assign" else m.end() - m.start() >= least)]
+        assert got[doc_id].base_sha256 == hashlib.sha256(",".join(x for *_, x in sorted(base)).encode()).hexdigest()
+
+
+def test_redaction(spark, odd, none):
+    docs = spark.createDataFrame([(1, "é token=abcdefgh, end", 21), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == [(1, "é [secret], end", 15), (2, None, None), (3, "clean", 5)]
+    assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(odd).count() == len(ODD)
+    assert secret_scan.redact(none).count() == 0
+
+
+# ---- 5
+
+
+def test_decontamination_edges(spark, odd, none):
+    bench = spark.createDataFrame([(1, " ".join(WORDS[:15])), (2, "One, two"), (3, None), (None, "iota kappa"), (1, " ".join(WORDS[:15]))], "item_id long, text string")
+    got = {(r["row"]["doc_id"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontaminate.judged(decontaminate.find_contamination(odd, bench)).collect()}
+    assert {(1, 0, (), False), (2, 0, (), False), (3, 2, ("2",), True), (5, 45, ("1",), True), (7, 0, (), False), (8, 0, (), False)} <= got
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns
+    assert decontaminate.decontaminate(none, bench).count() == 0
+    assert decontaminate.decontaminate(odd, bench.limit(0)).count() == len(ODD)
+    blocks = decontaminate.judged(decontaminate.find_contamination(odd, bench, block_chars=20))
+    assert {(r["row"]["doc_id"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in blocks.collect()} == got
+
+
+def test_cutting_spans(spark):
+    bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " * 40 + "Red, GREEN blue! b")], "doc_id long, text string")
+    assert decontaminate.decontaminate(docs, bench, per=2, cut=True).first()["clean_text"] == "a " * 40 + "! b"
+
+
+# ---- 6
+
+
+def brute_repeats(docs, window):
+    seen, out = set(), {}
+    for doc_id, text in docs:
+        words = (text or "").encode().split()
+        gone = [False] * len(words)
+        for i in range(len(words) - window + 1):
+            k = tuple(words[i : i + window])
+            if k in seen:
+                gone[i : i + window] = [True] * window
+            seen.add(k)
+        out[doc_id] = (len(words), sum(gone), b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())
+    return out
+
+
+def test_substring_dedup_incremental(spark):
+    rng = random.Random(4)
+    passages = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(15, 60))) for _ in range(12)]
+    docs = [(i, " ".join(rng.choice(passages) if rng.random() < 0.5 else " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 6)))) for i in range(120)]
+    docs[7] = (7, None)
+    docs[9] = (9, "one one " * 60)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark, max_runs=2)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(substring_dedup.by_doc_id(df, 5), index).collect()}
+    assert got == brute_repeats(docs, 20)
+    assert len(index.runs) <= 2  # compacted
+
+
+def test_substring_dedup_edges(spark, odd, none):
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup([odd], substring_dedup.FingerprintIndex(spark)).collect()), key=str)
+    assert len(got) == len(ODD)
+    assert {(1, 0, 0), (5, 72, 48), (None, 72, 72)} <= set(got)
+    assert substring_dedup.dedup(substring_dedup.by_doc_id(none, 2), substring_dedup.FingerprintIndex(spark)).count() == 0
+
+
+# ---- 7
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (5, 5), (None, 3)] + [(200, k) for k in range(201, 260)]
+    got = dict((r.node, r.component) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, **{k: 200 for k in range(200, 260)}}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_url_edges(spark):
+    link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head>'
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/x", None, "c"), (2, "http://b.org/1", link("http://a.net/x"), "c"), (3, "http://b.org/2", '<META http-equiv=refresh content="0; url=/1">', ""), (4, "http://c.org/fr/1", link("http://b.org/1"), ""),
+            (5, None, None, None), (6, "no scheme", "", ""), (7, "HTTP://D.org/1?q#f", link("http://z.net/q"), ""), (8, "http://d.org/1/", None, ""), (9, "http://x.Example.NET/en/1", None, ""), (10, "http://net", None, ""), (1, "http://a.net/x", None, "c"),
+        ],
+        "page_id long, url string, html string, component string",
+    )
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()}
+    assert got[1] == ("a.net", "/x", "net/", "block")
+    assert got[2][3] == got[3][3] == "allow"  # the class holds an explicitly allowed page
+    assert got[4] == ("c.org", "/fr/1", "org/fr/", "allow")
+    assert got[5] == ("", "", None, "allow") == got[6]
+    assert got[7] == ("d.org", "/1", None, "block") and got[8] == ("d.org", "/1/", None, "block")
+    assert got[9] == ("x.example.net", "/en/1", "example.net/en/", "allow")
+    assert got[10] == ("net", "", None, "allow")
+    assert url_filter.judge(pages).count() == 11 and url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_native_plans(spark):
+    for name in ("op7_url_filter", "op8_quality_rules"):
+        assert not re.search("Python|Arrow|Pandas", QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString())
+
+
+# ---- 8
+
+
+def test_quality_edges(spark, odd, none):
+    got = [(r["row"]["doc_id"], r["n_words"], r["n_repeat_words"], r["failed"]) for r in quality.report(odd).collect()]
+    assert {(1, 0, 0), (2, 0, 0), (3, 3, 0), (5, 72, 72), (7, 1, 0), (8, 0, 0)} <= {g[:3] for g in got}
+    assert all(g[3] for g in got)
+    kept = quality.keep_good(odd.unionByName(spark.createDataFrame([(50, " ".join(f"w{i}" for i in range(60)), "t", 1)], odd.schema)))
+    assert kept.columns == odd.columns and [r.doc_id for r in kept.collect()] == [50]
+    assert quality.keep_good(none).count() == 0 and quality.report(none).count() == 0
+
+
+def test_any_order_gives_the_same_verdict(odd):
+    for rules in (list(quality.RULES), list(reversed(quality.RULES))):
+        assert {(r["row"]["doc_id"], r["failed"] is None) for r in quality.cascade(odd, rules).collect()} == {(d[0], False) for d in ODD}
+
+
+# ---- 9
+
+
+def test_html_held_out():
+    rng, model, same = np.random.default_rng(4321), html_extract.trained(), 0
+    for _ in range(150):
+        source = html_extract.labelled_page(rng)
+        page = html_extract.Page(source)
+        keep = ["data-keep" in a for a in page.attrs]
+        keep[0] = True
+        same += html_extract.text_of(page, keep) == html_extract.extract(source, model)
+    assert same >= 140
+
+
+def test_html_edges(spark):
+    model = html_extract.trained()
+    page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=/a>A</a></li></ul></nav><!-- <p>no</p> --><article><h1>Head &amp; line</h1><p>One  two\n three four five, six.<br>seven &eacute;<p>Next paragraph is here, and goes on.</article><footer>&copy; x</footer>'
+    assert html_extract.extract(page, model) == "Head & line\nOne two three four five, six. seven é\nNext paragraph is here, and goes on."
+    for odd in ("", "<", "<<<>>>", "</p></div>", "<p", "<a href='x", "<table><tr><td>x", "<script>", "<div>" * 3000, "plain"):
+        html_extract.extract(odd, model)
+    pages = spark.createDataFrame([(1, None, None, 1), (2, "u", page, 2), (2, "u", page, 2)], "page_id long, url string, html string, text int")
+    got = html_extract.extract_text(pages).collect()
+    assert len(got) == 3 and got[0].text == "" and got[1].text == got[2].text != ""
+    assert html_extract.extract_text(pages.limit(0)).count() == 0
+
+
+def test_children_follow_parents():
+    assert html_extract.decoded([-1, 0, 1, 0, 3], [1.0, -1.0, 5.0, 1.0, 1.0]) == [True, False, False, True, True]
+
+
+# ---- 10
+
+
+def brute_classes(docs):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for doc_id, text in docs:
+        w = (text or "").translate(low).encode().split()
+        sets[doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    least = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if a < b and least[a] != least[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+    return {d: (len(sets[d]), least[d]) for d in sets}
+
+
+def test_jaccard_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [[rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(rng.randint(1, 90))] for _ in range(15)]
+    docs = []
+    for i in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        docs.append((i, " ".join(words)))
+    docs += [(500, None), (501, ""), (502, "a b"), (503, "A  B"), (504, "a b c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_classes(docs)
+    for small, chunk in ((64, 8 << 20), (3, 6000)):  # the second deals large blocks and tiles
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", chunk)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == want
+
+
+def test_jaccard_edges(odd, none):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(odd).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (None, 24, 5), (5, 24, 5), (6, 24, 5), (7, 1, 7), (8, 0, 8)], key=str)
+    assert jaccard_join.near_duplicates(none).count() == 0
+
+
+# ---- the pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
+    kept = shared.materialise(c.quality(spark, docs, DIR), "t")
+    report = {r["row"]["doc_id"]: r["failed"] for r in quality.report(docs).collect()}
+    assert set(text(kept)) == {d for d, f in report.items() if f is None} and kept.columns == docs.columns
+    once = shared.materialise(c.one_of_each_group(spark, kept, DIR), "t")
+    assert set(text(once)) == {d for d, (_, k) in brute_classes(list(text(kept).items())).items() if d == k} and once.columns == docs.columns
+    clean = shared.materialise(c.decontaminated(spark, once, DIR), "t")
+    bad = {r.doc_id for r in QUERIES["op5_benchmark_decontamination"](spark, DIR).where("contaminated").collect()}
+    assert set(text(clean)) == set(text(once)) - bad and clean.columns == docs.columns
+    safe = shared.materialise(c.without_secrets(spark, clean, DIR), "t")
+    assert set(text(safe)) == set(text(clean)) and not any(secret_scan.base_findings(t) for t in text(safe).values())
+    last = c.tokens(spark, safe, DIR).collect()
+    assert len(last) == safe.count() and all(r.round_trip for r in last)
+    assert {r.doc_id: r.n_tokens for r in c.run(spark, DIR).collect()} == {r.doc_id: r.n_tokens for r in last}
+
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(1, None, "s"), (None, LONG, "s"), (None, LONG, "s"), (3, LONG, None), (3, LONG, None), (4, LONG, "s")], "doc_id long, text string, source string")
+    once = c.one_of_each_group(spark, docs, DIR)
+    assert sorted((str(r.doc_id), r.text) for r in once.collect()) == sorted([("1", None), ("None", LONG), ("3", LONG)], key=lambda x: (x[0], str(x[1])))
+    for _, stage in c.STAGES:
+        stage(spark, docs, DIR).count()
+        stage(spark, docs.limit(0), DIR).count()
+
+
+def test_vocabulary_is_read_once():
+    assert vocabulary(default_model()) is vocabulary(default_model())
