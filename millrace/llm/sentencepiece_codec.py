@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import materialise
 from millrace.llm.unigram import SPACE, Vocabulary, default_model, vocabulary
 
-KEPT = 300_000
+KEPT = 150_000
 NONE = float("-inf")
 
 
@@ -273,19 +273,6 @@ def _encode_giant(docs: DataFrame, model_file: str, chunk: int, fan: int) -> Dat
     return traced.groupBy(*on).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model_file: str | None = None, chunk: int = 32_768, fan: int = 64) -> DataFrame:
-    """(doc_id, text) to (doc_id, tkey, ids), one row per row; tkey is the text's xxhash64."""
-    model_file = model_file or default_model()
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tkey long, ids array<int>"
-    short = docs.where(F.length("text") <= chunk).mapInArrow(_encode_short(model_file), schema)
-    giant = docs.where(F.length("text") > chunk)
-    done = _encode_giant(giant, model_file, chunk, fan)
-    rows = giant.select("doc_id", "tkey").alias("r")
-    joined = rows.join(done.alias("d"), F.expr("r.doc_id <=> d.doc_id and r.tkey = d.tkey")).select("r.doc_id", "r.tkey", "d.ids")
-    return short.unionByName(joined)
-
-
 def _decode(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt = vocabulary(model_file).spelt
@@ -301,6 +288,29 @@ def _decode(model_file: str):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
+
+
+def _schema(docs: DataFrame, more: str = "") -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tkey long, ids array<int>{more}"
+
+
+def _giant_rows(docs: DataFrame, model_file: str, chunk: int, fan: int) -> DataFrame:
+    """doc_id, tkey and ids of the rows with texts of more than chunk characters."""
+    giant = docs.where(F.length("text") > chunk)
+    done = _encode_giant(giant, model_file, chunk, fan)
+    joined = giant.select("doc_id", "tkey").alias("r").join(done.alias("d"), F.expr("r.doc_id <=> d.doc_id and r.tkey = d.tkey"))
+    return joined.select("r.doc_id", "r.tkey", "d.ids")
+
+
+def encode(docs: DataFrame, model_file: str | None = None, chunk: int = 32_768, fan: int = 64) -> DataFrame:
+    """(doc_id, text) to (doc_id, tkey, ids), one row per row; tkey is the text's xxhash64."""
+    model_file, docs = model_file or default_model(), _keyed(docs)
+    short = docs.where(F.length("text") <= chunk).mapInArrow(_encode_short(model_file), _schema(docs))
+    return short.unionByName(_giant_rows(docs, model_file, chunk, fan))
+
+
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     """(doc_id, tkey, ids) to the same with text."""
     encoded = encoded.select("doc_id", "tkey", "ids")
@@ -308,11 +318,19 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     return encoded.mapInArrow(_decode(model_file or default_model()), schema)
 
 
-def encoded_and_decoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
+def _both(model_file: str):
+    """Encoding and decoding of a short document in one Python worker."""
+    encoder, decoder = _encode_short(model_file), _decode(model_file)
+    return lambda batches: decoder(encoder(batches))
+
+
+def encoded_and_decoded(docs: DataFrame, model_file: str | None = None, chunk: int = 32_768, fan: int = 64) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, and round_trip: whether the ids decode to the text (U+2581 as a space)."""
     # tkey travels with the ids: the decoded text must hash to it, unless the text itself holds U+2581
-    plain = docs.select("doc_id", F.translate(F.col("text"), SPACE, " ").alias("text"))
-    out = decode(encode(plain, model_file), model_file)
+    model_file = model_file or default_model()
+    docs = _keyed(docs.select("doc_id", F.translate(F.col("text"), SPACE, " ").alias("text")))
+    short = docs.where(F.length("text") <= chunk).mapInArrow(_both(model_file), _schema(docs, ", text string"))
+    out = short.unionByName(decode(_giant_rows(docs, model_file, chunk, fan), model_file))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("text") == F.col("tkey")).alias("round_trip"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.unigram import Vocabulary, default_model, vocabulary
 
-KEPT = 400_000
+KEPT = 250_000
 
 
 def counter(v: Vocabulary):

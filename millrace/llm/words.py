@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -85,12 +86,16 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about most_bytes of text each (one longer text is a slice of its own), texts as UTF-8; null is empty."""
     for batch in batches:
-        texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(column).cast(pa.large_binary())] if batch.num_rows else []
         begin = size = 0
-        for i, t in enumerate(texts):
-            if i > begin and size + len(t) > most_bytes:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > begin and size + n > most_bytes:
+                yield _slice(batch, column, begin, i)
                 begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            size += n
+        if begin < batch.num_rows:
+            yield _slice(batch, column, begin, batch.num_rows)
+
+
+def _slice(batch: pa.RecordBatch, column: str, begin: int, end: int) -> tuple[pa.RecordBatch, list[bytes]]:
+    part = batch.slice(begin, end - begin)
+    return part, [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(column)]
