@@ -27,9 +27,9 @@ and takes its class's least id. Rows that share a doc_id are judged by their tex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,9 @@ from millrace.llm.components import connected_components
 from millrace.llm.shared import BloomFilter, materialise
 from millrace.llm.words import gram_hashes, mix, text_batches, word_hashes
 
+if TYPE_CHECKING:  # else only tasks that use it load pandas
+    import pandas as pd
+
 GROUPS, LEAF, SMALL, CHUNK_BYTES = 128, 64, 64, 8 << 20
 #: Repeated shingles that are told apart in the common order (16 bytes each in every worker).
 MOST_FREQUENT = 400_000
@@ -198,6 +201,8 @@ def _points(column: pd.Series) -> np.ndarray:
 
 def _passing(f: pd.DataFrame) -> pd.DataFrame:
     """Of blocks of few nodes, the edges that glue what the bound lets pass."""
+    import pandas as pd
+
     out = []
     for _, block in f.groupby("block", sort=False):
         node, links = block["node"].to_numpy(), Links(len(block))
@@ -208,6 +213,8 @@ def _passing(f: pd.DataFrame) -> pd.DataFrame:
 
 def _verified(f: pd.DataFrame) -> pd.DataFrame:
     """Links that connect what is linked, from the nodes of one or more tiles with their sets."""
+    import pandas as pd
+
     out = []
     for (_, i0, j0), tile in f.groupby(["cluster", "i", "j"], sort=False):
         if len(tile) < 2:

@@ -25,9 +25,9 @@ in pieces, comes back as a space.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import materialise
 from millrace.llm.unigram import SPACE, Vocabulary, default_model, vocabulary
 
-KEPT = 150_000
+if TYPE_CHECKING:  # else only tasks that use it load pandas
+    import pandas as pd
+
+KEPT = 100_000
 NONE = float("-inf")
 
 
@@ -171,6 +174,8 @@ def _matrix(m: bytes) -> np.ndarray:
 
 
 def _combine(f: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
     f = f.sort_values("no")
     total = _matrix(f["m"].iloc[0])
     for m in f["m"].iloc[1:]:
@@ -207,6 +212,8 @@ def _origins(model_file: str):
 
 def _compose(f: pd.DataFrame) -> pd.DataFrame:
     """The group's map from its last chunk's right state to its first chunk's left state."""
+    import pandas as pd
+
     f = f.sort_values("no", ascending=False)
     total = None
     for x in f["origin"]:

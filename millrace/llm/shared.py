@@ -52,15 +52,17 @@ def _remove_all() -> None:
 
 
 class BloomFilter:
-    """Two-probe bit table over 64-bit keys. Its size is fixed by log2_bits (2**28 bits are 32 MB), whatever the number
-    of keys, so that it can be broadcast; more keys only mean more false hits, which the exact join that follows drops."""
+    """Two-probe bit table over 64-bit keys, of 24 bits for each key but at most 2**most_log2_bits in all (2**28 bits are 32 MB), so
+    that it can be broadcast; keys beyond that only mean more false hits, which the exact join that follows drops."""
 
     def __init__(self, words: np.ndarray, log2_bits: int):
         self.words, self.log2_bits = words, log2_bits
 
     @classmethod
-    def build(cls, keys: DataFrame, column: str, log2_bits: int = 28) -> "BloomFilter":
+    def build(cls, keys: DataFrame, column: str, most_log2_bits: int = 28) -> "BloomFilter":
         """Spark sets the bits (bitmap_construct_agg, 4 KB for each of 2**(log2_bits-15) buckets); only the table comes to the driver."""
+        keys = materialise(keys.select(column), "keys")
+        log2_bits = min(most_log2_bits, max(20, (24 * keys.count()).bit_length()))
         mask = (1 << log2_bits) - 1
         k = F.col(column)
         probes = keys.select(F.explode(F.array(k.bitwiseAND(mask), F.shiftrightunsigned(k, 64 - log2_bits))).alias("p")).select((F.col("p") + 1).alias("p"))
