@@ -15,7 +15,8 @@ In matrices only the stretches at the two borders are worked out where no piece
 chunk (such as before a space): all paths pass through that place. A chunk without such a place gets the full matrix,
 one pass for each left state.
 
-Short documents are encoded in the scan itself. Stretches met before are kept in a bounded table per task.
+Short documents are encoded in the scan itself, many at a time: their distinct stretches between such places go through the same
+max-plus steps together.
 
 Null or empty texts have no ids. Rows that share doc_id and text get the same ids, one output row each. Other columns
 are ignored. `decode` joins the pieces' text; it gives back the text exactly, except that U+2581, which stands for a space
@@ -25,57 +26,59 @@ in pieces, comes back as a space.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import materialise
+from millrace.llm.stretches import Trie, segmented, take_ranges
 from millrace.llm.unigram import SPACE, Vocabulary, default_model, vocabulary
+from millrace.llm.words import text_batches
 
 if TYPE_CHECKING:  # else only tasks that use it load pandas
     import pandas as pd
 
-KEPT = 100_000
 NONE = float("-inf")
 
 
 class Stretches:
-    """Ids of stretches of text as little-endian int32 bytes, with a bounded table of those met before."""
+    """Ids of texts by way of their stretches, which no piece reaches across; each distinct stretch of a call is worked out once."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.kept = v, {}
+        self.v, self.trie = v, Trie(v)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (one place more than texts)."""
+        find, found, bounds = self.v.segment.findall, [], [0]
+        for t in texts:
+            found += find(t)
+            bounds.append(len(found))
+        d = pa.array(found, pa.large_string()).dictionary_encode()
+        ids, begins = segmented(self.trie, d.dictionary.to_pylist())
+        taken, count = take_ranges(ids, begins, d.indices.to_numpy())
+        return taken, np.concatenate(([0], np.cumsum(count)))[bounds]
 
     def encode(self, text: str) -> bytes:
-        kept, get, out = self.kept, self.kept.get, []
-        for s in self.v.segment.findall(text):
-            ids = get(s)
-            if ids is None:
-                ids = self.v.encode_segment(s)
-                if len(s) < 64:
-                    kept[s] = ids
-            out.append(ids)
-        if len(kept) > KEPT:
-            kept.clear()
-        return b"".join(out)
+        return self.encode_all([text])[0].astype("<i4").tobytes()
 
 
-def _ids(parts: list[bytes]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+@lru_cache(maxsize=4)
+def stretches_of(model_file: str) -> Stretches:
+    return Stretches(vocabulary(model_file))
 
 
 def _encode_short(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
-        stretches = Stretches(v)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = _ids([stretches.encode(v.normalise(t.as_py() or "")) for t in part.column("text")])
-                yield pa.record_batch([part.column("doc_id"), part.column("tkey"), ids], ["doc_id", "tkey", "ids"])
+        stretches = stretches_of(model_file)
+        for part, texts in text_batches(batches, "text", 2 << 20):
+            ids, ends = stretches.encode_all([stretches.v.normalise(t.decode()) for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.record_batch([part.column("doc_id"), part.column("tkey"), lists], ["doc_id", "tkey", "ids"])
 
     return run
 
@@ -239,21 +242,24 @@ def _suffixes(order: str):
 
 def _backtrace(model_file: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(model_file)
-        stretches = Stretches(v)
-        for f in frames:
-            out = []
+        stretches = stretches_of(model_file)
+        v = stretches.v
+        for f in (f.iloc[at : at + 64] for f in frames for at in range(0, len(f), 64)):
+            ends, inner = [], []
             for s, size, left, right in zip(f["s"], f["size"], f["left"], f["right"], strict=True):
                 cut, entries = borders(v, s, size), list(np.frombuffer(left))
                 if cut is not None and cut[1] <= size:
                     first, last = cut
                     _, back = reach(v, s[:first], entries, 0, first, size)
                     _, end = reach(v, s, [0.0], last, size, size)
-                    ids = np.array(v.ids_back(s, back, first)[0], dtype="<i4").tobytes() + stretches.encode(s[first:last]) + np.array(v.ids_back(s, end, size + right, last)[0], dtype="<i4").tobytes()
+                    ends.append((v.ids_back(s, back, first)[0], v.ids_back(s, end, size + right, last)[0]))
+                    inner.append(s[first:last])
                 else:
                     _, back = reach(v, s, entries, 0, size, size)
-                    ids = np.array(v.ids_back(s, back, size + right)[0], dtype="<i4").tobytes()
-                out.append(np.frombuffer(ids, dtype="<i4"))
+                    ends.append((v.ids_back(s, back, size + right)[0], []))
+                    inner.append("")
+            ids, at = stretches.encode_all(inner)
+            out = [np.concatenate([np.array(a, dtype="<i4"), ids[at[i] : at[i + 1]], np.array(b, dtype="<i4")]) for i, (a, b) in enumerate(ends)]
             yield f[["doc_id", "tkey", "no"]].assign(ids=out)
 
     return run
@@ -280,17 +286,30 @@ def _encode_giant(docs: DataFrame, model_file: str, chunk: int, fan: int) -> Dat
     return traced.groupBy(*on).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `most` ids each."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _decode(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = vocabulary(model_file).spelt
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = []
-                for ids in part.column("ids"):
-                    text = b"".join([spelt[i] for i in ids.values.to_pylist()]).decode(errors="replace") if ids.is_valid else ""
-                    out.append(text[1:] if text.startswith(" ") else text)
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "tkey", "ids")), pa.array(out, pa.string())], ["doc_id", "tkey", "ids", "text"])
+        spelt = pa.array(vocabulary(model_file).spelt, pa.large_binary())
+        for part in _slices(batches):
+            # the taken pieces lie one after the other in one buffer, so a text is a range of it
+            lists = part.column("ids")
+            taken = spelt.take(lists.flatten())
+            _, offsets, data = taken.buffers()
+            joined, place = data.to_pybytes() if data else b"", np.frombuffer(offsets, dtype="<i8")
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = place[np.concatenate(([0], np.cumsum(count))).astype(np.int64)].tolist()
+            texts = [joined[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(ends, ends[1:])]
+            yield pa.record_batch([*(part.column(c) for c in ("doc_id", "tkey", "ids")), pa.array(texts, pa.string())], ["doc_id", "tkey", "ids", "text"])
 
     return run
 
