@@ -574,3 +574,6 @@ def ingest_job(t):
     out = scratch(t.spark, "entity")
     K.union_by_name(frames).write.parquet(out)
     return t.spark.read.parquet(out)
+
+
+from millrace.plans import metadata_queries  # noqa: E402, F401  registers its queries here
