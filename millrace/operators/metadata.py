@@ -125,3 +125,23 @@ def valid_relationships(proposed: DataFrame, catalog: DataFrame, floor: float =
 
 def relationships_of(relationships: DataFrame, table: str) -> DataFrame:
     return relationships.where((F.col("from_table") == table) | (F.col("to_table") == table))
+
+
+def nearest_columns(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(table_name, word) to the table's column of least edit distance; of equals the first by name."""
+    pairs = asked.join(catalog.select("table_name", "column_name"), "table_name")
+    near = F.min(F.struct(F.levenshtein(F.lower("word"), F.lower("column_name")).alias("d"), "column_name"))
+    return pairs.groupBy("table_name", "word").agg(near.alias("m")).select("table_name", "word", F.col("m.column_name").alias("column_name"), F.col("m.d").alias("distance"))
+
+
+def audit_queries(log: DataFrame, known: DataFrame) -> DataFrame:
+    """(query_id, sql) and (table_name) to whether each query only reads, and the tables it names that are unknown, sorted.
+
+    A cheap screen of a log by patterns, over any number of queries; `plans.intent` runs a query only after Spark has parsed it."""
+    text = F.lower("sql")
+    reads = text.rlike(r"^\s*(select|with)\b") & ~text.rlike(r"\b(insert|update|delete|drop|create|alter|truncate|merge)\b")
+    named = F.array_distinct(F.expr(r"regexp_extract_all(lower(sql), '\\b(?:from|join)\\s+([a-z_][a-z0-9_.]*)', 1)"))
+    made = F.expr(r"regexp_extract_all(lower(sql), '([a-z_][a-z0-9_]*)\\s+as\\s*\\(', 1)")
+    tables = log.select("query_id", F.explode(F.array_except(named, made)).alias("table_name"))
+    unknown = tables.join(known.select("table_name").distinct(), "table_name", "left_anti").groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("table_name")), ",").alias("unknown"))
+    return log.select("query_id", F.coalesce(reads, F.lit(False)).alias("read_only")).join(unknown, "query_id", "left").select("query_id", "read_only", F.coalesce("unknown", F.lit("")).alias("unknown_tables"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import charts as H
 from millrace.operators import metadata as M
 from millrace.operators import profile as P
 from millrace.operators import relate as R
-from millrace.plans.registry import Tables, query
+from millrace.plans.registry import TABLES, Tables, query
+from millrace.sources.scratch import scratch
 
 _COLUMNS = {
     "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
@@ -117,3 +119,57 @@ def chart_series(t):
     long = by_year.unpivot("y", ["orders", "customers"], "series", "value")
     points = F.transform(F.array_sort(F.collect_list(F.struct("y", "value"))), lambda p: p["value"].cast("string"))
     return long.groupBy("series").agg(F.array_join(points, ",").alias("points"))
+
+
+_ROLES = f", r as (select table_name as result, max(total) as n_rows, count(*) as n_columns, count(*) filter (where {_SIMPLE} = 'numeric') as n_numeric, count(*) filter (where {_SIMPLE} = 'categorical') as n_categorical, count(*) filter (where {_SIMPLE} = 'time') as n_time from c group by table_name)"
+
+
+@query(_SQL + _ROLES + " select result, case when n_time > 0 and n_numeric > 0 then 'line' when result = 'customer' then 'pie' when n_categorical = 1 and n_numeric > 0 then 'bar' when n_columns > 5 or n_rows > 100 then 'table' else 'bar' end as chart, cast(case when n_time > 0 and n_numeric > 0 then 0.9 when result = 'customer' then 0.85 when n_categorical = 1 and n_numeric > 0 then 0.85 when n_columns > 5 or n_rows > 100 then 0.7 else 0.6 end as double) as confidence, case when result = 'customer' then 8 when n_rows <= 5 then 8 when n_rows <= 12 then 12 when n_rows <= 30 then 16 else 24 end as width from r")
+def chart_advice(t):
+    roles = M.column_roles(_catalog(t)).join(_catalog(t).select("table_name", "column_name", "total"), ["table_name", "column_name"])
+    results = roles.groupBy(F.col("table_name").alias("result")).agg(F.max("total").alias("n_rows"), F.count("*").alias("n_columns"), *(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("numeric", "categorical", "time")))
+    return H.chart_advice(results.withColumns({"hint": F.when(F.col("result") == "customer", "pie"), "wanted": F.lit(None).cast("string")}))
+
+
+@query("select c_custkey, 'Balance, Orders by ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || case when c_nationkey % 2 = 0 then ' - Year ' || c_nationkey else '' end as title from customer")
+def chart_titles(t):
+    filters = F.create_map(F.when(F.col("c_nationkey") % 2 == 0, "year").otherwise("nation"), F.col("c_nationkey").cast("string"))
+    title = H.chart_title(F.array(F.lit("balance"), F.lit("orders")), F.array(F.col("c_mktsegment")), filters, F.lit("bar"))
+    return t.customer.select("c_custkey", title.alias("title"))
+
+
+@query(_SQL + ", a as (select table_name, column_name[2:] as word from c), d as (select a.table_name, word, c.column_name, levenshtein(word, c.column_name) as distance from a join c using (table_name)) select table_name, word, column_name, cast(distance as integer) as distance from d qualify row_number() over (partition by table_name, word order by distance, column_name) = 1")
+def nearest_columns(t):
+    c = _catalog(t)
+    return M.nearest_columns(c.select("table_name", F.expr("substring(column_name, 2)").alias("word")), c)
+
+
+@query("select event_id as query_id, event_type not in ('error') as read_only, case when event_type = 'click' then 'clicks' else '' end as unknown_tables from events")
+def query_log_audit(t):
+    kind = F.col("event_type")
+    text = F.when(kind == "error", "DELETE FROM events").when(kind == "click", "select a.* from clicks a join Orders on true").otherwise("with e as (select * from events) select * from e")
+    known = t.spark.range(1).select(F.explode(F.array(*map(F.lit, TABLES))).alias("table_name"))
+    return M.audit_queries(t.events.select(F.col("event_id").alias("query_id"), text.alias("sql")), known)
+
+
+@query("select count(*) as files, cast(sum(event_id % 1000) as bigint) as bytes, count(distinct user_id) as jobs, count(distinct user_id || '_' || event_type) as runs from events")
+def archive_stats(t):
+    path = F.concat_ws("/", F.lit("archived_jobs"), F.concat_ws("_", "user_id", "event_type"), F.concat("event_id", F.lit(".csv")))
+    folder = F.split_part(path, F.lit("/"), F.lit(2))
+    files = t.events.select(folder.alias("run"), F.split_part(folder, F.lit("_"), F.lit(1)).alias("job"), (F.col("event_id") % 1000).alias("size"))
+    return files.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_distinct("job").alias("jobs"), F.count_distinct("run").alias("runs"))
+
+
+@query("select user_id as job, event_type as run, count(*) as records, max(ts) as latest from events group by 1, 2")
+def stored_jobs(t):
+    return t.events.groupBy(F.col("user_id").alias("job"), F.col("event_type").alias("run")).agg(F.count("*").alias("records"), F.max("ts").alias("latest")).orderBy(F.desc("latest"), "job", "run")
+
+
+@query(_SQL + _PAIRS + " select 'entities' as kind, count(distinct table_name) as records from c union all select 'columns', count(*) from c union all select 'relationships', count(*) from p")
+def metadata_snapshot(t):
+    c, path = _catalog(t), scratch(t.spark, "snapshot")
+    parts = {"entities": M.entity_names(c), "columns": c, "relationships": M.valid_relationships(_proposals(t), c)}
+    for kind, df in parts.items():
+        df.withColumn("run", F.lit("run_1")).write.mode("append").partitionBy("run").parquet(f"{path}/{kind}")
+    counts = [t.spark.read.parquet(f"{path}/{kind}").agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), "records") for kind in parts]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
