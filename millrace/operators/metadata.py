@@ -145,3 +145,19 @@ def audit_queries(log: DataFrame, known: DataFrame) -> DataFrame:
     tables = log.select("query_id", F.explode(F.array_except(named, made)).alias("table_name"))
     unknown = tables.join(known.select("table_name").distinct(), "table_name", "left_anti").groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("table_name")), ",").alias("unknown"))
     return log.select("query_id", F.coalesce(reads, F.lit(False)).alias("read_only")).join(unknown, "query_id", "left").select("query_id", "read_only", F.coalesce("unknown", F.lit("")).alias("unknown_tables"))
+
+
+def relation_types(relationships: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Type of each relationship (from_table, from_column, to_table, to_column): by the distinct counts of its ends, then by which ends are unique."""
+    ends = catalog.select("table_name", "column_name", "distinct_count", unique().alias("u"))
+    out = relationships.join(ends.toDF("from_table", "from_column", "n", "nu"), ["from_table", "from_column"]).join(ends.toDF("to_table", "to_column", "m", "mu"), ["to_table", "to_column"])
+    ratio = F.col("n") / F.greatest(F.col("m"), F.lit(1))
+    kind = F.when(ratio > 2, "many_to_one").when(ratio < 0.5, "one_to_many").when(F.col("nu") & F.col("mu"), "one_to_one").when(F.col("mu"), "many_to_one").when(F.col("nu"), "one_to_many").otherwise("many_to_many")
+    return out.select("from_table", "from_column", "to_table", "to_column", kind.alias("relation"))
+
+
+def entity_descriptions(catalog: DataFrame) -> DataFrame:
+    """A line for each table: what it is, its columns, rows and unique columns."""
+    sized = catalog.groupBy("table_name").agg(F.count("*").alias("columns"), F.max("total").alias("rows"), F.count_if(unique()).alias("keys"))
+    text = F.format_string("%s of %s with %d columns, %d rows and %d unique columns", F.initcap("entity_type"), F.col("entity"), F.col("columns"), F.col("rows"), F.col("keys"))
+    return sized.join(entity_names(catalog), "table_name").join(entity_types(catalog), "table_name").select("table_name", text.alias("description"))

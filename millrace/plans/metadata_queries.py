@@ -9,6 +9,7 @@ from millrace.operators import charts as H
 from millrace.operators import metadata as M
 from millrace.operators import profile as P
 from millrace.operators import relate as R
+from millrace.plans import intent as I
 from millrace.plans.registry import TABLES, Tables, query
 from millrace.sources.scratch import scratch
 
@@ -173,3 +174,20 @@ def metadata_snapshot(t):
         df.withColumn("run", F.lit("run_1")).write.mode("append").partitionBy("run").parquet(f"{path}/{kind}")
     counts = [t.spark.read.parquet(f"{path}/{kind}").agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), "records") for kind in parts]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(_SQL + _PAIRS + ", q as (select p.*, a.distinct_count / greatest(b.distinct_count, 1) as ratio, a.distinct_count = a.total and a.null_count = 0 as nu, b.distinct_count = b.total and b.null_count = 0 as mu from p join c a on a.table_name = from_table and a.column_name = from_column join c b on b.table_name = to_table and b.column_name = to_column) select from_table, from_column, to_table, to_column, case when ratio > 2 then 'many_to_one' when ratio < 0.5 then 'one_to_many' when nu and mu then 'one_to_one' when mu then 'many_to_one' when nu then 'one_to_many' else 'many_to_many' end as relation from q")
+def rel_types(t):
+    c = _catalog(t)
+    return M.relation_types(M.valid_relationships(_proposals(t), c), c)
+
+
+@query(_SQL + ", s as (select table_name, count(*) as n, max(total) as r, count(*) filter (where distinct_count = total and null_count = 0) as k from c group by table_name) select table_name, case when table_name = 'orders' then 'Fact of Order' when table_name = 'customer' then 'Dimension of Customer' when table_name = 'supplier' then 'Dimension of Vendor' else 'Dimension of Category' end || ' with ' || n || ' columns, ' || r || ' rows and ' || k || ' unique columns' as description from s")
+def entity_descriptions(t):
+    return M.entity_descriptions(_catalog(t))
+
+
+@query("select 'all_parts' as query_name, 'success' as status, least(count(*), 1000) as n_rows from part union all select 'by_brand', 'success', count(distinct p_brand) from part union all select 'broken', 'error', 0 union all select 'unsafe', 'error', 0")
+def refresh_saved_queries(t):
+    saved = {"all_parts": "select * from {part}", "broken": "select no_such_column from {part}", "unsafe": "drop table part", "by_brand": "select p_brand, count(*) as n from {part} group by p_brand"}
+    return I.refresh_saved(t.spark, saved, {"part": t.part})
