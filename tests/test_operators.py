@@ -98,3 +98,19 @@ def test_compatibility(spark):
     old = spark.createDataFrame([("id", "int", False), ("note", "string", True), ("n", "int", True)], "column_name string, data_type string, nullable boolean")
     new = spark.createDataFrame([("n", "bigint", True), ("more", "int", True)], "column_name string, data_type string, nullable boolean")
     assert {r.column_name: r.change for r in R.compatibility(old, new).collect()} == {"id": "missing_required", "note": "missing_optional", "n": "type_mismatch", "more": "extra"}
+
+
+def test_chart_advice_rules(spark):
+    from millrace.operators.charts import chart_advice
+
+    rows = [("none", 0, 2, 1, 1, 0, None, None), ("one", 1, 1, 1, 0, 0, None, None), ("time", 9, 2, 1, 0, 1, "pie", None), ("hint", 9, 2, 1, 1, 0, "pie", None), ("bar", 9, 2, 1, 1, 0, "odd", None), ("two", 40, 2, 2, 0, 0, None, None), ("wide", 9, 6, 2, 4, 0, None, None), ("rest", 9, 2, 0, 2, 0, None, None), ("own", 0, 0, 0, 0, 0, None, "area"), ("null", None, None, None, None, None, None, None)]
+    got = {r.result: (r.chart, r.confidence, r.width) for r in chart_advice(spark.createDataFrame(rows, "result string, n_rows long, n_columns long, n_numeric long, n_categorical long, n_time long, hint string, wanted string")).collect()}
+    assert got == {"none": ("table", 0.5, 12), "one": ("kpi", 0.95, 6), "time": ("line", 0.9, 12), "hint": ("pie", 0.85, 8), "bar": ("bar", 0.85, 12), "two": ("scatter", 0.8, 24), "wide": ("table", 0.7, 12), "rest": ("bar", 0.6, 12), "own": ("area", 1.0, 8), "null": ("table", 0.5, 12)}
+
+
+def test_audit_of_queries(spark):
+    from millrace.operators.metadata import audit_queries
+
+    log = spark.createDataFrame([(1, "select * from a join b on true"), (2, "with x as (select 1) select * from x"), (3, "DROP TABLE a"), (4, None), (5, "select updated_at from A")], "query_id long, sql string")
+    got = {r.query_id: (r.read_only, r.unknown_tables) for r in audit_queries(log, spark.createDataFrame([("a",)], "table_name string")).collect()}
+    assert got == {1: (True, "b"), 2: (True, ""), 3: (False, ""), 4: (False, ""), 5: (True, "")}
