@@ -393,3 +393,14 @@ def test_pipeline_edges(spark):
 
 def test_vocabulary_is_read_once():
     assert vocabulary(default_model()) is vocabulary(default_model())
+
+
+def test_stretches_together_equal_one_by_one():
+    from millrace.llm.stretches import Trie, segmented
+
+    v = vocabulary(default_model())
+    rng = random.Random(3)
+    strings = ["", "a", "▁", "\0", "▁" * 60, "x" * 500] + ["".join(rng.choice(["the", "▁", "er", "tion", "ß", "漢", "é", "X", "12", "🙂", "\0", "\t"]) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    ids, begins = segmented(Trie(v), strings)
+    for i, s in enumerate(strings):
+        assert ids[begins[i] : begins[i + 1]].astype("<i4").tobytes() == v.encode_segment(s), s
