@@ -54,6 +54,29 @@ def similarity(entity: Column, file: Column) -> Column:
     return F.coalesce(tier(entity, file), F.least(F.lit(1.0), F.pandas_udf(_ratio, "double")(entity, file) + 0.3 * words))
 
 
+#: Distinct names up to this number are broadcast; more are paired block by block, each block of one side with each of the other.
+BROADCAST_NAMES = 100_000
+#: Pairs of names that one task scores, about.
+TASK_PAIRS = 1_000_000
+#: Fixed value: names match above this score.
+MATCH_ABOVE = 0.3
+
+
+def name_matches(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """(entity) and (file) to (entity, file, score): all pairs of distinct names that score above MATCH_ABOVE. Every pair is scored; blocks
+    only say which task does it. A null name matches nothing."""
+    a, b = entities.select("entity").where("entity is not null").distinct(), files.select("file").where("file is not null").distinct()
+    n, m = a.count(), b.count()
+    few, many, least = (a, b, n) if n <= m else (b, a, m)
+    tasks = max(1, -(-n * m // TASK_PAIRS))
+    if least <= BROADCAST_NAMES:
+        pairs = many.repartition(min(max(n, m, 1), tasks), many.columns[0]).crossJoin(F.broadcast(few))
+    else:
+        blocks = -(-least // BROADCAST_NAMES)
+        pairs = many.repartition(max(1, tasks // blocks), many.columns[0]).crossJoin(few.repartition(blocks, few.columns[0]).hint("shuffle_replicate_nl"))
+    return pairs.select("entity", "file", similarity(F.col("entity"), F.col("file")).alias("score")).where(F.col("score") > MATCH_ABOVE)
+
+
 def common_columns(catalog: DataFrame) -> DataFrame:
     """Pairs of tables that share a column name, with a confidence from type, name and distinct counts."""
     c = catalog.withColumn("name", F.lower("column_name"))

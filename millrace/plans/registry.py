@@ -497,9 +497,9 @@ def column_definitions(t):
 
 @query(None)
 def name_similarity(t):
-    a = t.part.select(C.normalised_name(F.col("p_name")).alias("entity")).distinct().withColumn("k", F.substring("entity", 1, 4))
-    b = t.part.select(C.normalised_name(F.concat("p_name", F.lit("_data.csv"))).alias("file")).distinct().withColumn("k", F.substring("file", 1, 4))
-    return a.join(b, "k").select("entity", "file", F.round(R.similarity(F.col("entity"), F.col("file")), 6).alias("score"))
+    a = t.part.select(C.normalised_name(F.col("p_name")).alias("entity"))
+    b = t.part.select(C.normalised_name(F.concat("p_name", F.lit("_data.csv"))).alias("file"))
+    return R.name_matches(a, b).withColumn("score", F.round("score", 6))
 
 
 # ---- requests, shapes

@@ -114,3 +114,39 @@ def test_audit_of_queries(spark):
     log = spark.createDataFrame([(1, "select * from a join b on true"), (2, "with x as (select 1) select * from x"), (3, "DROP TABLE a"), (4, None), (5, "select updated_at from A")], "query_id long, sql string")
     got = {r.query_id: (r.read_only, r.unknown_tables) for r in audit_queries(log, spark.createDataFrame([("a",)], "table_name string")).collect()}
     assert got == {1: (True, "b"), 2: (True, ""), 3: (False, ""), 4: (False, ""), 5: (True, "")}
+
+
+def scored(entity, file):
+    """The reference's rule, in plain Python."""
+    import difflib
+
+    if entity == file:
+        return 1.0
+    if entity in file:
+        return 0.9
+    if file in entity:
+        return 0.8
+    a, b = set(entity.split("_")), set(file.split("_"))
+    return min(1.0, difflib.SequenceMatcher(None, entity, file).ratio() + 0.3 * len(a & b) / max(len(a), len(b)))
+
+
+def test_name_similarity_brute_force(spark):
+    import duckdb
+
+    from millrace.plans.registry import QUERIES
+
+    names = [r[0].replace(" ", "_") for r in duckdb.sql("select distinct p_name from '/root/testdata/sf0.001/part.parquet'").fetchall()]
+    want = {(a, f"{b}_data"): round(s, 6) for a in names for b in names if (s := scored(a, f"{b}_data")) > 0.3}
+    rows = QUERIES["name_similarity"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(want) and {(r.entity, r.file): r.score for r in rows} == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("bound,pairs", [(100_000, 1_000_000), (2, 3)])
+def test_name_matches_need_no_common_start(spark, monkeypatch, bound, pairs):
+    monkeypatch.setattr(R, "BROADCAST_NAMES", bound)  # the second pairs blocks
+    monkeypatch.setattr(R, "TASK_PAIRS", pairs)
+    entities, files = ["old_plate", "plate_cold", "users", "users", None, "zzz"], ["cold_plate_data", "users", "all_users_2020", "qqq", None]
+    found = R.name_matches(spark.createDataFrame([(x,) for x in entities], "entity string"), spark.createDataFrame([(x,) for x in files], "file string"))
+    got = {(r.entity, r.file): r.score for r in found.collect()}
+    want = {(a, b): s for a in set(entities) - {None} for b in set(files) - {None} if (s := scored(a, b)) > 0.3}
+    assert found.count() == len(want) and got == pytest.approx(want) and got["old_plate", "cold_plate_data"] == 0.9
