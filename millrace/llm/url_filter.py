@@ -4,15 +4,17 @@ A rule (verdict, host, path) fits a URL on its host or a subdomain whose path st
 rule decides (of equally long rules, allow). A URL that no rule fits takes the verdict of its *equivalence class*: the
 connected component over
 
-- redirect edges (`<meta http-equiv=refresh ... url=...>`) and canonical links (`<link rel=canonical href=...>`) of the
-  pages, absolute or relative to the host, and
+- all redirects (`<meta http-equiv=refresh ... url=...>`) and canonical links (`<link rel=canonical href=...>`, canonical being any of
+  rel's tokens) of the pages, resolved against the page's URL or its `<base href>` if they are not absolute, and
 - alias edges between URLs that differ only in scheme, letter case of the host, query, fragment or a trailing slash.
 
 A class with an explicitly allowed member is allowed (allow goes first), else one with a blocked member is blocked, else
 its URLs are allowed. Targets that are no pages themselves take part.
 
 A null URL, or one without `://`, has an empty host and path, fits no rule and is allowed. Null or empty html has no
-links. Repeated rows are judged each; other columns are ignored.
+links. Repeated rows are judged each; other columns are ignored. Targets have their character references decoded; targets of a scheme
+without `//` (mailto:, data:) and relative ones of a page whose URL is not absolute make no edge. The SQL knows the first canonical
+and the first refresh of a page only, and no path-relative targets; on tables without such links, as the given ones, both agree.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host part long before any other, so that sizes of rules can be compared by text length.
 _AUTHORITY = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-_CANONICAL = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
-_REFRESH = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Tags that can hold a link; a > in a quoted value doesn't end them.
+_TAGS = r"""(?is)<(?:link|meta|base)(?=[\s/"'])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>"""
+_ATTRIBUTE = r"""(?s)[^\s=/"'<>]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+_TARGET = r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+_LOOSE_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_NUMBERED = "(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
 
 
 def host(url: Column) -> Column:
@@ -54,17 +59,77 @@ def ruled(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> Dat
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
+def _decoded(text: Column) -> Column:
+    """The text with its numbered and XML's named character references decoded, once."""
+
+    def put(done: Column, ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "(?i)^&#x?([0-9a-f]+);$", 1)
+        code = F.conv(F.when(F.lower(ref).startswith("&#x"), digits).otherwise(F.conv(digits, 10, 16)), 16, 10).cast("long")
+        legal = (code > 0) & (code != 38) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(legal, F.replace(done, ref, F.decode(F.unhex(F.lpad(F.hex(F.when(legal, code).otherwise(63)), 8, "0")), "UTF-32"))).otherwise(done)
+
+    out = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMBERED), F.lit(0))), text, put)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(out, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
+def _attribute(tag: str, name: str) -> Column:
+    """Value of a tag's first attribute of this name, as written; null without one."""
+    first = F.get(F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?is)^{name}\s*=")), F.lit(0))
+    return F.regexp_replace(F.regexp_replace(first, r"(?s)^[^=]*=\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones. The explode keeps the optimizer from writing the new expressions out at each of their uses."""
+    made = df.select(*keep, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("made"))
+    return made.select(*keep, *(F.col(f"made.{n}") for n in columns))
+
+
+def _clean(link: Column) -> Column:
+    """A link as URL parsers read it: no white space around it, no line ends or tabs in it, spaces as %20."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(link, r"^\s+|\s+$", ""), r"[\t\r\n]", ""), " ", "%20")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path, beginning with a slash, without its . and .. segments."""
+    parts = F.split(path, "/")
+    held = F.aggregate(parts, F.array().cast("array<string>"), lambda got, x: F.when(x == "..", F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(1)))).when(x == ".", got).otherwise(F.concat(got, F.array(x))))
+    return F.concat(F.array_join(held, "/"), F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(""))
+
+
 def _absolute(link: Column, base: Column) -> Column:
-    scheme = F.regexp_extract(base, r"(?s)^(.*?://)[^/?#]*", 1)
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link)).when(link.startswith("/"), F.concat(scheme, F.regexp_extract(base, _AUTHORITY, 1), link))
+    """The link resolved against an absolute URL; null where that can't be."""
+    origin = F.regexp_extract(base, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    at, rest = F.regexp_extract(base, _PATH, 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    steps = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    folder = F.when(at == "", F.lit("/")).otherwise(F.regexp_extract(at, "(?s)^(.*/)", 1))
+    return (
+        F.when(link.rlike(_SCHEME + "//"), link)
+        .when(link.rlike(_SCHEME) | (origin == ""), F.lit(None))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, _SCHEME, 0), link))
+        .when(link.startswith("/"), F.concat(origin, _without_dots(steps), rest))
+        .when(link.startswith("?"), F.concat(origin, at, link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), link))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, steps)), rest))
+    )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(url, html) to edges (a, b) from redirects and canonical links."""
-    url = F.col("url")
-    links = F.array(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 1), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _REFRESH, 1), _TARGET, 1))
-    found = pages.where("url is not null and html is not null").select("url", F.explode(links).alias("link")).where("link != ''")
-    return found.select(url.alias("a"), _absolute(F.col("link"), url).alias("b")).where("b is not null")
+    """(url, html) to edges (a, b) from all redirects and canonical links."""
+    tags = pages.where("url is not null and html is not null").select("url", F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0)).alias("tags")).where("size(tags) > 0")
+    first = F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b.*\shref\s*=")), F.lit(0))
+    each = tags.select("url", first.alias("first"), F.explode("tags").alias("tag")).where(r"tag rlike '(?is)^<link.*canonical|^<meta.*refresh'")
+    raw = _once(each, ["url"], base=_attribute("first", "href"), rel=F.when(F.col("tag").rlike("(?i)^<link"), _attribute("tag", "rel")), href=_attribute("tag", "href"), equiv=F.when(F.col("tag").rlike("(?i)^<meta"), _attribute("tag", "http-equiv")), content=_attribute("tag", "content"), loose=F.regexp_extract("tag", _LOOSE_TARGET, 1))
+    quoted = F.concat(*(F.regexp_extract("content", _TARGET, i) for i in (1, 2, 3)))
+    targets = _once(raw, ["url", "rel", "href", "equiv"], base=_decoded(F.col("base")), content=_decoded(F.col("content")), loose=_decoded(F.col("loose")))
+    targets = _once(targets, ["url", "rel", "href", "equiv", "base", "loose"], quoted=quoted)
+    target = F.when(F.col("quoted") != "", F.col("quoted")).otherwise(F.col("loose"))
+    canonical = _decoded(F.col("rel")).rlike(r"(?is)(?:^|\s)canonical(?:\s|$)")
+    link = F.when(canonical, _decoded(F.col("href"))).when(F.lower(F.trim(_decoded(F.col("equiv")))) == "refresh", target)
+    found = _once(targets, ["url"], base=_clean(F.col("base")), link=_clean(link)).where("link != ''")
+    based = _once(found, ["url", "link"], base=F.coalesce(_absolute(F.col("base"), F.col("url")), "url"))
+    return _once(based, ["url"], b=_absolute(F.col("link"), F.col("base"))).select(F.col("url").alias("a"), "b").where("b is not null")
 
 
 def alias_edges(urls: DataFrame) -> DataFrame:

@@ -260,6 +260,31 @@ def test_url_edges(spark):
     assert url_filter.judge(pages).count() == 11 and url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_targets_are_resolved(spark):
+    at = "http://h.org/a/b.html?q#f"
+    cases = [
+        ("other.html", "http://h.org/a/other.html"), ("../x", "http://h.org/x"), ("../../../x/./y/..", "http://h.org/x/"), ("?p=2", "http://h.org/a/b.html?p=2"), ("#top", "http://h.org/a/b.html?q#top"), ("./", "http://h.org/a/"),
+        ("/go?to=http://bad.net/", "http://h.org/go?to=http://bad.net/"), ("go?to=http://bad.net/../", "http://h.org/a/go?to=http://bad.net/../"), ("//n.net/x", "http://n.net/x"), ("HTTPS://n.net/../x", "HTTPS://n.net/../x"),
+        ("/x?a=1&amp;b=2&#38;c=&#x33;", "http://h.org/x?a=1&b=2&c=3"), ("&amp;lt;", "http://h.org/a/&lt;"), ("mailto:a@b.net", None), (" /x y ", "http://h.org/x%20y"), ("/a//b", "http://h.org/a//b"),
+    ]
+    forms = ('<link rel="canonical" href="{}">', '<link href=\'{}\' title="a > b" REL="shortlink canonical"/>', '<meta http-equiv="refresh" content="0; url={}">', "<meta content=\"0;URL='{}'\" http-equiv=Refresh>")
+    want = {f"{at}{i}.{k}": w for i, (_, w) in enumerate(cases) for k in range(4) if w}
+    pages = [(f"{at}{i}.{k}", form.format(t)) for i, (t, _) in enumerate(cases) for k, form in enumerate(forms)]
+    assert {r.a: r.b for r in url_filter.link_edges(spark.createDataFrame(pages, "url string, html string")).collect()} == want
+
+
+def test_url_links_all_count(spark):
+    several = "<link rel=canonical href=/1><link rel=canonical href=/2><meta http-equiv=refresh content='0;url=3'><meta http-equiv=refresh content=0;url=4><link rel=stylesheet href=/canonical><link data-href=/no rel=next>"
+    pages = spark.createDataFrame([("http://h.org/a/", several), ("http://h.org/b/", "<base target=x><base href='/c/d'><link rel=canonical href=e>"), ("none", "<link rel=canonical href=/x>"), ("http://h.org", "<link rel=canonical href=x>")], "url string, html string")
+    got = {(r.a, r.b) for r in url_filter.link_edges(pages).collect()}
+    assert got == {("http://h.org/a/", f"http://h.org/{x}") for x in ("1", "2", "a/3", "a/4")} | {("http://h.org/b/", "http://h.org/c/e"), ("http://h.org", "http://h.org/x")}
+    judged = spark.createDataFrame(
+        [(1, "http://a.org/d/1", "<link rel=canonical href=2>"), (2, "http://a.org/d/2", "<meta http-equiv=refresh content='0; url=http://bad.net/'>"), (3, "http://b.org/1", "<link rel=canonical href='/go?to=http://bad.net/'>")],
+        "page_id long, url string, html string",
+    )
+    assert {r.page_id: r.verdict for r in url_filter.judge(judged).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_native_plans(spark):
     for name in ("op7_url_filter", "op8_quality_rules"):
         assert not re.search("Python|Arrow|Pandas", QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString())
