@@ -1,9 +1,9 @@
 """Secret scanning: pattern findings, and a character convolutional network over every other candidate in its context.
 
 Base findings (always kept), leftmost non-overlapping for each kind: `assign`, `access` and `hex`, as in PATTERNS. A
-*candidate* is every maximal run of at least 16 characters of [A-Za-z0-9+/_=-] that overlaps no base finding. The network, in
-numpy, reads the candidate's first 48 characters with the 24 characters before it and the 8 after it: one-hot characters, 24
-filters of width 5, maximum and mean over places, and a dense layer. It is trained when first needed on labelled findings that
+*candidate* is every stretch of at least 16 characters outside the base findings of a maximal run of [A-Za-z0-9+/_=-]. The network, in
+numpy, reads 48 characters of the candidate with the 24 characters before them and the 8 after the candidate; it reads a longer
+candidate at every STEP characters to its end, and the largest score counts. It has one-hot characters, 24 filters of width 5, maximum and mean over places, and a dense layer. It is trained when first needed on labelled findings that
 a seeded generator makes (LABELLED of them; no table is read), with its score calibrated by Platt scaling on a held-out part.
 The threshold is the highest that keeps RECALL of the held-out secrets. Candidates at or above it become findings of kind `model`.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 BEFORE, BODY, AFTER = 24, 48, 8
 WIDTH = BEFORE + BODY + AFTER
+#: Distance of the places at which long candidates are read.
+STEP = 8
 LABELLED, RECALL = 5000, 0.98
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.:;,\"' <>()[]{}@#$%&*|\n"
 CODE = np.full(256, len(ALPHABET) + 1, dtype=np.int64)
@@ -51,14 +55,27 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    out = []
+    """Stretches of runs outside the base findings, which are by start."""
+    out, k = [], 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not any(s < b and a < e for _, a, b in base):
+        while k < len(base) and base[k][2] <= s:
+            k += 1
+        at = k
+        while at < len(base) and base[at][1] < e:
+            if base[at][1] - s >= LEAST:
+                out.append((s, base[at][1]))
+            s, at = max(s, base[at][2]), at + 1
+        if e - s >= LEAST:
             out.append((s, e))
     return out
 
 
+def places(start: int, end: int) -> range:
+    """Where a candidate is read: at its start and, if it is longer than the body, every STEP characters while LEAST are left."""
+    return range(start, end - LEAST + 1 if end - start > BODY else start + 1, STEP)
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
     """Character codes of the candidate in its context; 0 where there is nothing."""
     out = np.zeros(WIDTH, dtype=np.int64)
@@ -216,24 +233,23 @@ def _scan(shared):
                 part = batch.slice(at, 500)
                 raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("text").cast(pa.large_binary())]
                 found: list[list[tuple[str, int, int]]] = []
-                base_n, todo = [], []
+                held: list[tuple[int, str, list[tuple[int, int]]]] = []
                 for i, (t, runs) in enumerate(zip(raw, _worth_reading(raw), strict=True)):
                     if not runs and not KEYWORDS.search(text := t.decode()):
                         found.append([])
-                        base_n.append(0)
                         continue
                     text = t.decode()
                     base = base_findings(text)
                     found.append(base)
-                    base_n.append(len(base))
                     if runs:
-                        todo += [(i, s, e, window(text, s, e)) for s, e in candidates(text, base)]
-                for k in range(0, len(todo), 2048):
-                    some = todo[k : k + 2048]
-                    p = net.probability(np.stack([x[3] for x in some]))
-                    for (i, s, e, _), q in zip(some, p, strict=True):
-                        if q >= net.threshold:
-                            found[i] = [*found[i], ("model", s, e)]
+                        held.append((i, text, candidates(text, base)))
+                secret: set[tuple[int, int, int]] = set()
+                reads = ((i, text, s, e, at) for i, text, spans in held for s, e in spans for at in places(s, e) if (i, s, e) not in secret)
+                while some := list(islice(reads, 2048)):
+                    p = net.probability(np.stack([window(text, at, e) for _, text, _, e, at in some]))
+                    secret |= {(i, s, e) for (i, _, s, e, _), q in zip(some, p, strict=True) if q >= net.threshold}
+                for i, s, e in sorted(secret):
+                    found[i] = [*found[i], ("model", s, e)]
                 kind = pa.array([k for f in found for k, _, _ in f], pa.string())
                 spans = pa.StructArray.from_arrays([kind, *(pa.array([x[j] for f in found for x in f], pa.int32()) for j in (1, 2))], ["kind", "start", "end"])
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32))
