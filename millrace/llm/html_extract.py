@@ -8,7 +8,8 @@ odds that a block whose parent is kept holds, or leads to, main text. Decoding g
 parent is kept, so a kept paragraph in a dropped menu can't occur.
 
 The text of kept blocks has character references decoded and white space runs turned into one space; blocks are trimmed, empty
-ones dropped, and joined in page order by one line feed. Script, style, head and comments never are text.
+ones dropped, and joined in page order by one line feed. Script, style, head and comments never are text; svg, select, noscript, object
+and template aren't either if they are closed, and what follows the start tag of an unclosed one is read like the rest of the page.
 
 Null or empty html gives an empty text. Pages of any length are read whole. Repeated rows give repeated rows; other columns
 are ignored.
@@ -33,6 +34,11 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "template", "noscript", "iframe", "svg", "textarea", "title", "select", "object"))
+#: Of these only script, style, title, textarea and iframe reach to the end of a page without an end tag, as in browsers.
+ENDLESS = frozenset("script style title textarea iframe".split())
+#: Elements that end an open svg; foreignobject and desc may hold them.
+_LEAVES_SVG = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
+_SPANS = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|iframe)(?=[\s/>]).*?(?:</(?P=raw)|\Z)|<(?P<end>/?)(?:(?P<tag>svg|select|noscript|object|template)|(?P<held>foreignobject|desc)|(?P<leaves>{_LEAVES_SVG}))(?=[\s/>])(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S | re.I)
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 TAG_GROUPS = ("html body", "head script style noscript template title iframe svg select object textarea", "article main", "section", "div center", "p", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside dialog", "form fieldset button input", "table thead tbody tfoot tr td th", "figure figcaption", "blockquote pre address")
 TAG_GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g.split()}
@@ -62,7 +68,8 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]  # (tag, block that text inside belongs to)
         at = stretch = links = 0
         n = len(source)
-        lowered = None
+        lowered = spans = None
+        drawing = False
         while at < n:
             m = TOKEN.search(source, at)
             begin = m.start() if m else n
@@ -91,6 +98,20 @@ class Page:
                 if tag not in INLINE:
                     stretch += 1
                 continue
+            if tag in RAW and tag not in ENDLESS:
+                spans = _spans(source) if spans is None else spans
+                stretch += 1
+                end = spans.get(begin)
+                if end is not None:
+                    at = end
+                elif tag == "svg":
+                    drawing = not m["attrs"].endswith("/")
+                continue
+            if drawing:  # in an svg that nothing closed
+                if tag in CLOSES_P:
+                    drawing = False
+                elif m["attrs"].endswith("/") and tag not in INLINE:
+                    continue
             if tag in RAW:
                 lowered = lowered or source.lower()
                 close = lowered.find(f"</{tag}", at)
@@ -157,6 +178,30 @@ def _tokens(attrs: str) -> int:
     return out
 
 
+def _spans(source: str) -> dict[int, int]:
+    """Where the closed svg, select, noscript, object and template elements begin and end; each end tag belongs to the last open one. An svg
+    is not closed if an element stands in it that ends it."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    held = 0
+    for m in _SPANS.finditer(source):
+        if m["leaves"]:
+            if not held and not m["end"]:
+                opened.pop("svg", None)
+        elif m["held"]:
+            held = max(0, held - 1) if m["end"] else held + (not m["attrs"].endswith("/"))
+        elif m["tag"]:
+            tag = m["tag"].lower()
+            if not m["end"]:
+                if tag != "svg" or not m["attrs"].endswith("/"):
+                    opened.setdefault(tag, []).append(m.start())
+            elif opened.get(tag):
+                out[opened[tag].pop()] = m.end()
+                if tag == "svg" and not opened[tag]:
+                    held = 0
+    return out
+
+
 FEATURES = 2 * N_TAGS + 2 * N_TOKENS + 13
 
 

@@ -352,6 +352,21 @@ def test_html_edges(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<svg class=icon/>", "<svg/>", '<svg class="icon"><path d="M0 0"/>', "<select>", "<noscript>", "<object data=x>", "<template>", "<!-- <svg> -->", "<svg><svg></svg><title>no</title></svg>", "<noscript><p>no</p></noscript>", "<svg><foreignObject><p>no</p></foreignObject></svg>"])
+@pytest.mark.parametrize("later", ["", "<svg><text>no</text></svg>", "<select><option>no</select>", "<noscript><p>no</noscript>", "<object>no</object>", "</svg>"])
+def test_html_unclosed_elements_drop_nothing(tag, later):
+    body = "<p>One two three four five, six seven eight.<p>Next paragraph is here, and goes on for a while."
+    text = "".join(t + " " for _, _, t, _ in html_extract.Page(f"<article><h1>Head</h1>{tag}{body}{later}<p>The last one.</article>").runs)
+    assert text.split() == "Head One two three four five, six seven eight. Next paragraph is here, and goes on for a while. The last one.".split()
+
+
+def test_html_unclosed_element_in_an_article():
+    page = "<html><body><nav><ul><li><a href=/a>A</a></li></ul></nav><article><h1>Head line</h1>{}<p>One two three four five, six.<p>Next paragraph is here, and goes on.</article><footer>&copy; x</footer>"
+    model = html_extract.trained()
+    for tag in ("<svg class=icon/>", "<svg>", "<select>", "<noscript>", "<object>", '<svg class="i"><path d="M0"/>'):
+        assert html_extract.extract(page.format(tag), model) == "Head line\nOne two three four five, six.\nNext paragraph is here, and goes on.", tag
+
+
 def test_children_follow_parents():
     assert html_extract.decoded([-1, 0, 1, 0, 3], [1.0, -1.0, 5.0, 1.0, 1.0]) == [True, False, False, True, True]
 
