@@ -8,9 +8,13 @@ count; what a lost or repeated attempt left behind is never read.
 Which record is the response: of records with equal payloads of at least 1000 bytes that with the largest page_id; the
 others are revisits without a payload. Smaller payloads are all responses.
 
-Reading: for each archive the dictionary is loaded, frames are walked and decoded one at a time, and each record's version
-line, required headers, content length and payload digest are checked; a violation raises ValueError, or with strict=False
-yields a row with `error`.
+Reading: archives of any writer, with or without a dictionary. For each archive the dictionary is loaded, frames are walked and
+decoded one at a time, and each record's version line, required headers, content length and block and payload digests are checked; a
+violation raises ValueError, or with strict=False yields a row with `error`. Ids are text, and those of this writer (`urn:page:N`)
+give page_id and refers_to as well. SHA-1 digests come out in lower-case hex, whether written in hex or in base32; digests of other
+kinds come out as they are, checked if Python knows the kind. A response's payload is its HTTP body (checked as it stands or, if
+chunked, without the chunks' frames), that of other records with a block (warcinfo, request, metadata, resource, conversion and
+unknown types) the whole block; a revisit has none.
 
 Null html is an empty payload. A null url is left out of the headers. A null page_id counts as the least; rows that share the
 largest page_id and the payload are all responses. Control characters in a URL are percent-encoded. Extra columns are ignored.
@@ -18,7 +22,9 @@ largest page_id and the payload are all responses. Control characters in a URL a
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -133,35 +139,95 @@ def records_of(archive: bytes) -> Iterator[bytes]:
         yield decoder.decompress(archive[s:e])
 
 
+#: Lengths of digests, by kind, in bytes.
+_KINDS = {"sha1": 20, "sha256": 32, "sha512": 64, "md5": 16}
+
+
+def digest_of(header: str | None) -> tuple[str, str] | None:
+    """Kind and value of a digest header; the value in lower-case hex if it is hex or base32 of the kind's length."""
+    if not header:
+        return None
+    kind, colon, value = header.strip().rpartition(":")
+    kind = kind.lower().replace("-", "") if colon else "sha1"
+    size = _KINDS.get(kind)
+    if size and len(value) == 2 * size and all(c in "0123456789abcdefABCDEF" for c in value):
+        return kind, value.lower()
+    if size and len(value.rstrip("=")) == -(-size * 8 // 5):
+        try:
+            return kind, base64.b32decode(value.upper().rstrip("=") + "=" * (-len(value.rstrip("=")) % 8)).hex()
+        except ValueError:
+            pass
+    return kind, value
+
+
+def _has(digest: tuple[str, str] | None, data: bytes) -> bool:
+    """Whether the data has the digest; a digest of an unknown kind says nothing."""
+    return digest is None or digest[0] not in _KINDS or hashlib.new(digest[0], data).hexdigest() == digest[1]
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        try:
+            n = int(size, 16)
+        except ValueError:
+            return None
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return None
+
+
+def headers_of(lines: list[str]) -> dict[str, str]:
+    """Named headers, names in lower case; a line that begins with white space goes on with the one before."""
+    headers: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in " \t" and name:
+            headers[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise ValueError(f"not a header: {line[:80]!r}")
+        headers[name] = value.strip()
+    return headers
+
+
 def parse(record: bytes) -> dict:
     """Headers and payload of one record; ValueError if it isn't sound."""
     head, sep, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("no WARC version line")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon or not name.strip():
-            raise ValueError(f"not a header: {line[:80]!r}")
-        headers[name.strip().lower()] = value.strip()
+    headers = headers_of(lines[1:])
     if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - headers.keys():
         raise ValueError(f"no {', '.join(sorted(missing))}")
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("the block's length isn't Content-Length")
-    payload = None
-    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    if headers["warc-type"] == "response":
-        http, sep, payload = rest[:-4].partition(b"\r\n\r\n")
-        fields = dict(x.lower().split(b": ", 1) for x in http.split(b"\r\n")[1:] if b": " in x)
-        if not sep or not http.startswith(b"HTTP/") or (b"content-length" in fields and int(fields[b"content-length"]) != len(payload)):
+    kind, block = headers["warc-type"].lower(), rest[:-4]
+    if not _has(digest_of(headers.get("warc-block-digest")), block):
+        raise ValueError("the block doesn't have the digest in the header")
+    payload, digest = None if kind in ("revisit", "continuation") else block, digest_of(headers.get("warc-payload-digest"))
+    if kind == "response" and headers.get("content-type", "application/http").lower().startswith("application/http"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep or not http.startswith(b"HTTP/"):
+            raise ValueError("not a sound HTTP response")
+        fields = dict(x.lower().split(b":", 1) for x in http.split(b"\r\n")[1:] if b":" in x)
+        chunked = b"chunked" in fields.get(b"transfer-encoding", b"")
+        if not chunked and "warc-truncated" not in headers and (length := fields.get(b"content-length", b"").strip()) and (not length.isdigit() or int(length) != len(payload)):
             raise ValueError("not a sound HTTP response")
-        if digest and digest != hashlib.sha1(payload).hexdigest():
+        if not _has(digest, payload) and not (chunked and (plain := _unchunked(payload)) is not None and _has(digest, plain)):
             raise ValueError("the payload doesn't have the digest in the header")
-    elif headers["warc-type"] == "revisit" and ("warc-refers-to" not in headers or not digest):
-        raise ValueError("a revisit without WARC-Refers-To or digest")
-    page = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  <urn:page:N>
-    return {"page_id": page(headers["warc-record-id"]), "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "payload_digest": digest, "payload": payload, "refers_to": page(headers.get("warc-refers-to"))}
+    elif kind in ("response", "resource", "conversion") and not _has(digest, block):
+        raise ValueError("the payload doesn't have the digest in the header")
+    elif kind == "revisit" and not (digest and ("warc-refers-to" in headers or "warc-refers-to-target-uri" in headers)):
+        raise ValueError("a revisit without digest or what it refers to")
+    record_id, refers_to = (headers.get(h, "").strip("<>") or None for h in ("warc-record-id", "warc-refers-to"))
+    page = lambda x: int(x[9:]) if x and re.fullmatch(r"urn:page:-?\d{1,19}", x) else None
+    return {"record_id": record_id, "page_id": page(record_id), "url": headers.get("warc-target-uri"), "record_type": kind, "payload_digest": digest and digest[1], "payload": payload, "refers_to_id": refers_to, "refers_to": page(refers_to)}
 
 
 def _write(path: str):
@@ -196,8 +262,8 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
     return materialise(records.mapInArrow(_write(path), "archive string, records long"), "manifest")
 
 
-_FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("error", pa.string())]
-SCHEMA = "archive string, page_id long, url string, record_type string, payload_digest string, payload binary, refers_to long, payload_bytes long, error string"
+_FIELDS = [("record_id", pa.string()), ("refers_to_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("error", pa.string())]
+SCHEMA = "archive string, record_id string, refers_to_id string, page_id long, url string, record_type string, payload_digest string, payload binary, refers_to long, payload_bytes long, error string"
 
 
 def _read(strict: bool, payloads: bool):
@@ -239,8 +305,8 @@ def _read(strict: bool, payloads: bool):
 
 
 def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = None, strict: bool = True, payloads: bool = True) -> DataFrame:
-    """One row for each record of the archives under path (of those in the manifest, if given): archive, page_id, url, record_type,
-    payload_digest, payload (null for revisits, or always without payloads), refers_to, payload_bytes, error."""
+    """One row for each record of the archives under path (of those in the manifest, if given): archive, record_id, refers_to_id, page_id,
+    url, record_type, payload_digest, payload (null for revisits, or always without payloads), refers_to, payload_bytes, error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     if manifest is not None:
         files = files.join(F.broadcast(manifest.select("archive")) if manifest.count() <= BROADCAST_ROWS else manifest.select("archive"), "archive", "left_semi")
