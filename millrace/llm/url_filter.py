@@ -5,10 +5,10 @@ rule decides (of equally long rules, allow). A URL that no rule fits takes the v
 connected component over
 
 - all redirects (`<meta http-equiv=refresh ... url=...>`) and canonical links (`<link rel=canonical href=...>`, canonical being any of
-  rel's tokens) of the pages, resolved against the page's URL or its `<base href>` if they are not absolute, and
-- alias edges between URLs that differ only in scheme, letter case of the host, query, fragment or a trailing slash.
+  rel's tokens) of the pages, resolved against the page's URL or its `<base href>` if they are not absolute.
 
-A class with an explicitly allowed member is allowed (allow goes first), else one with a blocked member is blocked, else
+URLs that differ only in the fragment or in the letter case of scheme and host are the same URL there; query, path and the rest tell
+URLs apart. A class with an explicitly allowed member is allowed (allow goes first), else one with a blocked member is blocked, else
 its URLs are allowed. Targets that are no pages themselves take part.
 
 A null URL, or one without `://`, has an empty host and path, fits no rule and is allowed. Null or empty html has no
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.shared import materialise
+from millrace.llm.shared import discard, materialise
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,25 +132,36 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return _once(based, ["url"], b=_absolute(F.col("link"), F.col("base"))).select(F.col("url").alias("a"), "b").where("b is not null")
 
 
-def alias_edges(urls: DataFrame) -> DataFrame:
-    """Edges from distinct urls to the name of their alias group, for groups of more than one."""
-    u = urls.select("url").where("url like '%://%'").distinct().withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    # no URL that is judged has this form
-    named = u.select("url", F.concat(F.lit("alias:"), "host", F.regexp_replace("path", "/+$", "")).alias("name"))
-    several = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    return named.join(several, "name", "left_semi").select(F.col("url").alias("a"), F.col("name").alias("b"))
+def node(url: Column) -> Column:
+    """The name under which a URL takes part in classes: without its fragment, A-Z of scheme and host in lower case."""
+    whole = F.regexp_replace(url, r"(?s)^(.*?://[^#]*)#.*$", "$1")
+    begin = F.regexp_extract(whole, r"(?s)^(.*?://[^/?]*)", 1)
+    return F.concat(F.translate(begin, _UPPER, _LOWER), F.substr(whole, F.length(begin) + 1))
+
+
+def blocked_nodes(links: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """Edges (a, b) between URLs to the nodes (node) of the classes that are blocked: with a blocked member and no allowed one."""
+    classes = connected_components(links.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
+    members = ruled(classes.withColumns({"host": host(F.col("node")), "path": path(F.col("node"))}), rules)
+    verdicts = members.groupBy("component").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
+    return classes.join(verdicts.where("blocked and not coalesce(allowed, false)"), "component").select("node")
+
+
+#: Blocked nodes of up to this number of bytes are broadcast to the pages; more are joined by a shuffle, hot URLs split by Spark.
+BROADCAST_BYTES = 32 << 20
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """(page_id, url, html) to (page_id, url, host, path, rule, verdict), one row per row."""
     links = materialise(link_edges(pages.select("url", "html")), "links")
-    urls = pages.select("url").unionByName(links.select(F.col("b").alias("url")))
-    classes = connected_components(links.unionByName(alias_edges(urls)))
-    members = ruled(classes.withColumns({"host": host(F.col("node")), "path": path(F.col("node"))}), rules)
-    verdicts = members.groupBy("component").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
-    inherited = classes.join(verdicts.where("blocked and not coalesce(allowed, false)"), "component").select(F.col("node").alias("url"), F.lit("block").alias("inherited"))
+    blocked = materialise(blocked_nodes(links, rules), "blocked")
+    discard(links)
+    size = blocked.agg(F.sum(F.octet_length("node") + 32)).first()[0] or 0
     rows = ruled(pages.select("page_id", "url").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}), rules)
-    judged = rows.join(inherited, "url", "left")
+    # a URL that a rule judges needs no class, nor does a null one: they have a key of their own each, that is in no class
+    key = F.when(F.col("rule_verdict").isNull() & F.col("url").isNotNull(), node(F.col("url"))).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id()))
+    side = blocked.withColumn("inherited", F.lit("block"))
+    judged = rows.withColumn("node", key).join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "node", "left")
     return judged.select("page_id", "url", "host", "path", "rule", F.coalesce("rule_verdict", "inherited", F.lit("allow")).alias("verdict"))
 
 
@@ -167,19 +178,23 @@ s as (select page_id, url, html, scheme, regexp_extract(rest, '^[^/?#]*') as aut
 l as (select url as a, scheme, authority, unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
       regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as link from s where html is not null),
 links as (select a, case when link like '%://%' then link when link like '//%' then substr(scheme, 1, length(scheme) - 2) || link when link like '/%' then scheme || authority || link end as b from l where a is not null and link <> ''),
-u as (select url, position('://' in url) as pos from (select url from pages union select b from links where b is not null) where url like '%://%'),
-v as (select url, translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) as path from u),
+e as (select regexp_replace(a, '(?s)^(.*?://[^#]*)#.*$', '\1') as a, regexp_replace(b, '(?s)^(.*?://[^#]*)#.*$', '\1') as b from links where b is not null),
+n2 as (select translate(regexp_extract(a, '(?s)^(.*?://[^/?]*)'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(a, length(regexp_extract(a, '(?s)^(.*?://[^/?]*)')) + 1) as a,
+       translate(regexp_extract(b, '(?s)^(.*?://[^/?]*)'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(b, length(regexp_extract(b, '(?s)^(.*?://[^/?]*)')) + 1) as b from e),
+both_ways as (select a, b from n2 union select b, a from n2),
+v as (select a as url, translate(regexp_extract(substr(a, position('://' in a) + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(a, position('://' in a) + 3), '^[^/?#]*([^?#]*)', 1) as path from both_ways where a like '%://%'
+      union select url, host, path from s where url like '%://%'),
 r as (select url, host, path,
       case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
            when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
            when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
            when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from v),
-e as (select a, b from links where b is not null union select url, 'alias:' || host || regexp_replace(path, '/+$', '') from v),
-both_ways as (select a, b from e union select b, a from e),
-reach as (select url as node, url as other from v union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a),
-inherited as (select reach.node as url, max((r.rule in ('example.net/en/', 'org/fr/'))::int) as allowed, max((r.rule in ('net/', 'example.com/de/'))::int) as blocked
-      from reach join r on reach.other = r.url group by reach.node)
+reach as (select a as node, a as other from both_ways union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a),
+inherited as (select reach.node, max((r.rule in ('example.net/en/', 'org/fr/'))::int) as allowed, max((r.rule in ('net/', 'example.com/de/'))::int) as blocked
+      from reach join r on reach.other = r.url group by reach.node),
+w as (select page_id, url, host, path, regexp_replace(url, '(?s)^(.*?://[^#]*)#.*$', '\1') as whole from s)
 select s.page_id, s.host, s.path, r.rule,
        case when r.rule in ('net/', 'example.com/de/') then 'block' when r.rule is not null then 'allow' when inherited.blocked = 1 and coalesce(inherited.allowed, 0) = 0 then 'block' else 'allow' end as verdict
-from s left join r on r.url = s.url left join inherited on inherited.url = s.url
+from w s left join r on r.url = s.url
+left join inherited on inherited.node = translate(regexp_extract(s.whole, '(?s)^(.*?://[^/?]*)'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(s.whole, length(regexp_extract(s.whole, '(?s)^(.*?://[^/?]*)')) + 1)
 """
