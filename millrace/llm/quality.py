@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
 A rule is a rejection test over named text metrics. Metrics are columns built by DataFrame expressions only. Each rule's
-cost and rejection rate are estimated on a bounded sample, and the rules are ordered by rejections per second; a
-document then pays only for the metrics up to the first rule that rejects it. The order changes the work, never the
-verdict: a document is rejected when any rule rejects it.
+cost and rejection rate are estimated on a sample of about SAMPLE_ROWS documents, taken by a hash of their places all over the table,
+and the rules are ordered by rejections per second; a document then pays only for the metrics up to the first rule that rejects it.
+The order changes the work, never the verdict: a document is rejected when any rule rejects it. A rule's cost is the least time of
+REPEATS runs over the sample less that of an empty test; costs that a job's time can't tell (below FLOOR seconds) count as equal.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null texts count as empty: no words, all counts 0 (and rejected as too short). Repeated
 rows are judged each for itself; a document's other columns pass unchanged whatever their names (they travel in a struct).
@@ -11,12 +12,16 @@ rows are judged each for itself; a document's other columns pass unchanged whate
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import discard, materialise
+
+
 def _let(value: str, name: str, body: str) -> str:
     """SQL that works out value once and names it in body."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -51,6 +56,12 @@ _TOGETHER = {
 }
 
 
+#: Metrics of each shared step.
+_OF = {"of_words": ("n_words", "n_repeat_words"), "of_lines": ("n_lines", "n_dup_lines")}
+
+SAMPLE_ROWS, REPEATS, FLOOR = 1000, 3, 0.01
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -74,29 +85,54 @@ def _held(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[Rule]:
-    """The rules by rejections per second of work, estimated on at most sample_rows documents, most first; ties by name."""
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("text")).limit(sample_rows).persist()
-    n, rank = sample.count(), {}
-    for rule in rules:
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Texts of about `rows` of the documents, or of all if there are fewer, written once; equal texts are taken or left each for itself."""
+    every = max(1, docs.count() // rows)
+    place = F.xxhash64(F.monotonically_increasing_id())
+    return materialise(docs.select(F.coalesce("text", F.lit("")).alias("text"), place.alias("h")).where(F.pmod("h", F.lit(every)) == 0).select("text"), "sample")
+
+
+def _seconds(sample: DataFrame, metrics: tuple[str, ...], test: str) -> tuple[float, int]:
+    """Least time of a job that applies the test to every text of the sample, and how many pass it."""
+    times, n = [], 0
+    for _ in range(REPEATS):
         began = time.perf_counter()
-        rejected = sample.select(*(F.expr(METRICS[m]).alias(m) for m in rule.metrics)).agg(F.expr(f"count_if({rule.rejects})")).first()[0]
-        rank[rule.name] = rejected / max(n, 1) / (time.perf_counter() - began)
-    sample.unpersist()
+        n = sample.select(*(F.expr(METRICS[m]).alias(m) for m in metrics), "text").agg(F.expr(f"count_if({test})")).first()[0]
+        times.append(time.perf_counter() - began)
+    return min(times), n
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """The rules by rejections per second of work, most first; ties by name."""
+    sample, rank = sampled(docs), {}
+    empty, _ = _seconds(sample, (), "length(text) < 0")
+    for rule in rules:
+        took, rejected = _seconds(sample, rule.metrics, rule.rejects)
+        rank[rule.name] = rejected / max(took - empty, FLOOR)
+    discard(sample)
     return sorted(rules, key=lambda r: (-rank[r.name], r.name))
 
 
-def cascade(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs to (row: struct of all its columns, failed: the first of the rules, in the order given, that rejects it, or null)."""
-    df, have = _held(docs).withColumn("failed", F.lit(None).cast("string")), set()
+def cascade(docs: DataFrame, rules: list[Rule], always: tuple[str, ...] = ()) -> DataFrame:
+    """docs to (row: struct of all its columns, metrics: struct of those that the rules or the caller ask for, failed: the first of
+    the rules, in the order given, that rejects it, or null). A metric is null where an earlier rule had rejected the document and
+    it was not worked out; those in `always` are worked out for every document."""
+    df, have = _held(docs), []
+    for step, metrics in _OF.items():
+        if set(metrics) <= set(always):
+            df, have = df.select("*", F.expr(_TOGETHER[step]).alias(step)).select("*", f"{step}.*").drop(step), [*have, *metrics]
+    alone = [m for m in always if m not in have]
+    df, have = df.withColumns({m: F.expr(METRICS[m]) for m in alone}) if alone else df, [*have, *alone]
+    df = df.withColumn("failed", F.lit(None).cast("string"))
     for rule in rules:
         for m in rule.metrics:
             if m not in have:
                 df = df.withColumn(m, F.expr(f"case when failed is null then {METRICS[m]} end"))
-                have.add(m)
+                have.append(m)
         df = df.withColumn("failed", F.expr(f"case when failed is not null then failed when {rule.rejects} then '{rule.name}' end"))
     # explode keeps a later filter on `failed` from being worked out apart from the column
-    return df.select("row", F.explode(F.array("failed")).alias("failed"))
+    metrics = F.struct(*have) if have else F.struct(F.lit(None).cast("long").alias("none"))
+    return df.select("row", metrics.alias("metrics"), F.explode(F.array("failed")).alias("failed"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -104,19 +140,22 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return cascade(docs, ordered(docs, rules)).where("failed is null").select("row.*")
 
 
+#: The metrics that a report has for every document.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
+
+
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All metrics for every document, and `failed`, the first rule of the cascade that rejects it."""
-    alone = [m for m in METRICS if m not in ("n_words", "n_repeat_words", "n_lines", "n_dup_lines")]
-    df = _held(docs).withColumns({**{k: F.expr(v) for k, v in _TOGETHER.items()}, **{m: F.expr(METRICS[m]) for m in alone}})
-    df = df.select("row", "text", "of_words.*", "of_lines.*", *alone)
-    branches = " ".join(f"when {r.rejects} then '{r.name}'" for r in ordered(docs, rules))
+    """(row, metrics, failed, base_failed) of every document: the REPORTED metrics in full, the rest, and the verdict, by the cascade."""
     base = " or ".join(f"({r.rejects})" for r in BASE)
-    return df.withColumns({"failed": F.expr(f"case {branches} end"), "base_failed": F.expr(base)})
+    for m in {m for r in BASE for m in r.metrics}:
+        base = re.sub(rf"\b{m}\b", f"metrics.{m}", base)
+    return cascade(docs, ordered(docs, rules), REPORTED).withColumn("base_failed", F.expr(base))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return report(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr("failed is null").alias("kept"))
+    of = [f"metrics.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return report(docs).select("row.doc_id", *of, "base_failed", F.expr("failed is null").alias("kept"))
 
 
 SQL = r"""
