@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialise
+from millrace.llm.shared import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Edges (a, b), in any order and number, of any orderable type to (node, component), component the least node reachable, for all
-    nodes with an edge to another. A null end makes no edge. Each round is written to the shared folder; only a count and
-    a hash of the edges come to the driver. A node of any degree costs partial minima and a join that Spark can split."""
+    nodes with an edge to another. A null end makes no edge. Each round is written to the shared folder in place of the one before; only a count
+    and a hash of the edges come to the driver. A node of any degree costs partial minima and a join that Spark can split."""
     edges = edges.where("a is not null and b is not null and a != b")
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = lambda df: tuple(df.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first())
     before = sign(edges)
     for _ in range(most_rounds if before[0] else 0):
         grown = _large_star(edges).where("a != b").distinct()
-        edges = materialise(_small_star(grown).where("a != b").distinct(), "edges")
+        old, edges = edges, materialise(_small_star(grown).where("a != b").distinct(), "edges")
+        discard(old)
         now = sign(edges)
         if now == before:
             break

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir if the session names one, else a set checkpoint folder, else a fresh local one (local mode, tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir if the session names one, else a set checkpoint folder, else, with a
+    local master only, a fresh local one. On a cluster without either this raises: executors don't see each other's local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,16 +46,72 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """Write df to the shared folder as a table bucketed and sorted by a column, with a bucket for each shuffle partition, and read
+    it back: joins and aggregates by that column need no shuffle of it. df should come from an aggregate by that column, whose
+    partitions are the buckets; else each task writes a file for each bucket."""
+    spark = df.sparkSession
+    path, name, n = shared_path(spark, label), f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(name)
+    _tables.append(name)
+    out = spark.table(name)
+    out.written, out.table = path, name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what materialise or bucketed wrote, once nothing will read it again."""
+    for df in tables:
+        if table := getattr(df, "table", None):
+            df.sparkSession.sql(f"drop table if exists {table}")
+            _tables.remove(table)
+        _remove(df.sparkSession, df.written)
+        _written.remove(df.written)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove_all() -> None:
     with suppress(Exception):
         spark = SparkSession.getActiveSession()
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for table in _tables:
+            spark.sql(f"drop table if exists {table}")
         for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _remove(spark, path)
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function over batches that gives the memory which it no longer needs back to the system: workers are kept and used again."""
+
+    def held(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _release()
+
+    return held
+
+
+def lean_frame(run: Callable) -> Callable:
+    """The same for a function of a group's frame."""
+
+    def held(frame):
+        out = run(frame)
+        _release()
+        return out
+
+    return held
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 class BloomFilter:
@@ -70,6 +133,7 @@ class BloomFilter:
         table = np.zeros(1 << (log2_bits - 3), dtype=np.uint8)
         for b, m in rows:
             table[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), dtype=np.uint8)
+        discard(keys)
         return cls(table, log2_bits)
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
