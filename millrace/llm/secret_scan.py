@@ -8,7 +8,8 @@ a seeded generator makes (LABELLED of them; no table is read), with its score ca
 The threshold is the highest that keeps RECALL of the held-out secrets. Candidates at or above it become findings of kind `model`.
 
 Offsets are in code points, end exclusive. Null or empty texts have no findings. Whole texts are read, of any length; equal
-texts get equal findings, one output row for each row. Documents' other columns pass unchanged in a struct.
+texts get equal findings, one output row for each row. Bytes that aren't UTF-8 are read as U+FFFD. Documents' other columns, whatever
+their names, pass unchanged in a struct.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.shared import lean
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -235,10 +239,10 @@ def _scan(shared):
                 found: list[list[tuple[str, int, int]]] = []
                 held: list[tuple[int, str, list[tuple[int, int]]]] = []
                 for i, (t, runs) in enumerate(zip(raw, _worth_reading(raw), strict=True)):
-                    if not runs and not KEYWORDS.search(text := t.decode()):
+                    if not runs and not KEYWORDS.search(text := t.decode(errors="replace")):
                         found.append([])
                         continue
-                    text = t.decode()
+                    text = t.decode(errors="replace")
                     base = base_findings(text)
                     found.append(base)
                     if runs:
@@ -258,33 +262,41 @@ def _scan(shared):
     return run
 
 
+_FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, list[T.StructField]]:
+    """docs as (row: struct of all its columns, text), and these two fields; none of the columns' names is ever parsed."""
+    held = docs.select(F.struct("*").alias("row"), "text")
+    return held, [T.StructField("row", held.schema["row"].dataType), T.StructField("text", T.StringType())]
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """docs to (row: struct of all its columns, text, findings: array of (kind, start, end), base ones first, by start)."""
-    docs = docs.select(F.struct("*").alias("row"), "text")
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, text string, findings array<struct<kind:string,start:int,end:int>>"
-    return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(trained())), schema)
+    held, fields = _rows(docs)
+    return held.mapInArrow(lean(_scan(docs.sparkSession.sparkContext.broadcast(trained()))), T.StructType([*fields, T.StructField("findings", _FINDINGS)]))
 
 
-def _redact(mark: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, findings in zip(batch.column("text").to_pylist(), batch.column("findings").to_pylist(), strict=True):
-                for_text, end = [], 0
-                for s, e in sorted((f["start"], f["end"]) for f in findings):
-                    if s >= end:
-                        for_text += [text[end:s], mark]
-                    end = max(end, e)
-                out.append("".join([*for_text, text[end:]]) if findings else text)
-            yield pa.record_batch([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
-
-    return run
+def _redact(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for raw, findings in zip(batch.column("text").cast(pa.large_binary()), batch.column("findings").to_pylist(), strict=True):
+            text = raw.as_buffer().to_pybytes().decode(errors="replace") if raw.is_valid else None
+            for_text, end = [], 0
+            for s, e in sorted((f["start"], f["end"]) for f in findings):
+                if s >= end:
+                    for_text += [text[end:s], mark]
+                end = max(end, e)
+            out.append("".join([*for_text, text[end:]]) if findings else text)
+        yield pa.record_batch([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every finding replaced by the mark; columns as they were, n_chars (if there) as of the new text."""
-    found = find_secrets(docs)
-    held = found.mapInArrow(_redact(mark), f"row {found.schema['row'].dataType.simpleString()}, text string")
+    held, fields = _rows(docs)
+    scan = _scan(docs.sparkSession.sparkContext.broadcast(trained()))
+    # one Python step for both, so that a task needs one worker
+    held = held.mapInArrow(lean(lambda batches: _redact(scan(batches), mark)), T.StructType(fields))
     columns = []
     for f in docs.schema.fields:
         c = F.col("row").getField(f.name)
