@@ -20,7 +20,9 @@ max-plus steps together.
 
 Null or empty texts have no ids. Rows that share doc_id and text get the same ids, one output row each. Other columns
 are ignored. `decode` joins the pieces' text; it gives back the text exactly, except that U+2581, which stands for a space
-in pieces, comes back as a space.
+in pieces, comes back as a space. Bytes that aren't UTF-8 are read as U+FFFD.
+
+That chunks give the ids of the whole text rests on exact sums: scores are float32 numbers as files hold them, added as float64.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialise
+from millrace.llm.shared import lean, materialise
 from millrace.llm.stretches import Trie, segmented, take_ranges
 from millrace.llm.unigram import SPACE, Vocabulary, default_model, vocabulary
 from millrace.llm.words import text_batches
@@ -76,7 +78,7 @@ def _encode_short(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretches = stretches_of(model_file)
         for part, texts in text_batches(batches, "text", 2 << 20):
-            ids, ends = stretches.encode_all([stretches.v.normalise(t.decode()) for t in texts])
+            ids, ends = stretches.encode_all([stretches.v.normalise(t.decode(errors="replace")) for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.record_batch([part.column("doc_id"), part.column("tkey"), lists], ["doc_id", "tkey", "ids"])
 
@@ -91,7 +93,7 @@ def _split(model_file: str, chunk: int):
         v = vocabulary(model_file)
         for batch in batches:
             for key, tkey, text in zip(batch.column("doc_id"), batch.column("tkey"), batch.column("text"), strict=True):
-                s = v.normalise(text.as_py())
+                s = v.normalise(text.as_buffer().to_pybytes().decode(errors="replace"))
                 for no, at in enumerate(range(0, len(s), chunk)):
                     yield pa.record_batch([pa.array([x], t) for x, t in ((key.as_py(), key.type), (tkey.as_py(), tkey.type), (no, pa.int32()), (at + chunk >= len(s), pa.bool_()), (min(chunk, len(s) - at), pa.int32()), (s[at : at + chunk + v.longest - 1], pa.string()))], ["doc_id", "tkey", "no", "last", "size", "s"])
 
@@ -314,6 +316,11 @@ def _decode(model_file: str):
     return run
 
 
+def _giant(chunk: int) -> Column:
+    """Whether a text has more than chunk characters; only texts of more than chunk bytes are counted."""
+    return (F.octet_length("text") > chunk) & (F.length("text") > chunk)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
 
@@ -324,7 +331,7 @@ def _schema(docs: DataFrame, more: str = "") -> str:
 
 def _giant_rows(docs: DataFrame, model_file: str, chunk: int, fan: int) -> DataFrame:
     """doc_id, tkey and ids of the rows with texts of more than chunk characters."""
-    giant = docs.where(F.length("text") > chunk)
+    giant = materialise(docs.where(_giant(chunk)), "giant")
     done = _encode_giant(giant, model_file, chunk, fan)
     joined = giant.select("doc_id", "tkey").alias("r").join(done.alias("d"), F.expr("r.doc_id <=> d.doc_id and r.tkey = d.tkey"))
     return joined.select("r.doc_id", "r.tkey", "d.ids")
@@ -333,7 +340,7 @@ def _giant_rows(docs: DataFrame, model_file: str, chunk: int, fan: int) -> DataF
 def encode(docs: DataFrame, model_file: str | None = None, chunk: int = 32_768, fan: int = 64) -> DataFrame:
     """(doc_id, text) to (doc_id, tkey, ids), one row per row; tkey is the text's xxhash64."""
     model_file, docs = model_file or default_model(), _keyed(docs)
-    short = docs.where(F.length("text") <= chunk).mapInArrow(_encode_short(model_file), _schema(docs))
+    short = docs.where(~_giant(chunk)).mapInArrow(lean(_encode_short(model_file)), _schema(docs))
     return short.unionByName(_giant_rows(docs, model_file, chunk, fan))
 
 
@@ -341,7 +348,7 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     """(doc_id, tkey, ids) to the same with text."""
     encoded = encoded.select("doc_id", "tkey", "ids")
     schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, tkey long, ids array<int>, text string"
-    return encoded.mapInArrow(_decode(model_file or default_model()), schema)
+    return encoded.mapInArrow(lean(_decode(model_file or default_model())), schema)
 
 
 def _both(model_file: str):
@@ -354,8 +361,8 @@ def encoded_and_decoded(docs: DataFrame, model_file: str | None = None, chunk: i
     """One row per document: doc_id, n_tokens, ids, and round_trip: whether the ids decode to the text (U+2581 as a space)."""
     # tkey travels with the ids: the decoded text must hash to it, unless the text itself holds U+2581
     model_file = model_file or default_model()
-    docs = _keyed(docs.select("doc_id", F.translate(F.col("text"), SPACE, " ").alias("text")))
-    short = docs.where(F.length("text") <= chunk).mapInArrow(_both(model_file), _schema(docs, ", text string"))
+    docs = _keyed(docs.select("doc_id", F.replace(F.col("text"), F.lit(SPACE), F.lit(" ")).alias("text")))
+    short = docs.where(~_giant(chunk)).mapInArrow(lean(_both(model_file)), _schema(docs, ", text string"))
     out = short.unionByName(decode(_giant_rows(docs, model_file, chunk, fan), model_file))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("text") == F.col("tkey")).alias("round_trip"))
 

@@ -5,7 +5,7 @@ its number of pieces at each place. Ties go to the longest piece (see millrace.l
 piece can reach across, and the counts of stretches met before are kept in a bounded table per task.
 
 Null counts as empty; an empty text has no tokens. Very long texts need memory for the text and its longest uncut
-stretch only. Repeated rows are counted each; other columns are ignored.
+stretch only. Repeated rows are counted each; other columns are ignored. Bytes that aren't UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def _count(model_file: str):
             out = []
             for text in batch.column("text"):
                 total = 0
-                for s in find(v.normalise(text.as_py() or "")):
+                for s in find(v.normalise(text.as_buffer().to_pybytes().decode(errors="replace") if text.is_valid else "")):
                     c = get(s)
                     if c is None:
                         c = count(s)
