@@ -6,11 +6,14 @@ a length of `n` (13) or more means that the last n words are a window of some it
 window as a whole. Words inside any window are hit; a document is contaminated when it has a hit word and the hit
 share is at least the coverage limit.
 
-Items are read in blocks of bounded size (`block_chars`), one automaton each, so that what is broadcast does not grow
-with the benchmark: documents pass through the blocks' automata one after the other in the same stage.
+Items are dealt to blocks of about `block_chars` characters; an item longer than a piece of PIECE_WORDS words is cut in pieces that
+overlap by n - 1 words and so have the same windows. Each block gets an automaton of its own, and one is held at a time: the
+blocks but the last each scan the documents in a job of their own, which writes the hits found by the text's hash; the last block's
+scan starts from the hits of all others. The driver and each task so hold one block's automaton, however large the benchmark.
 
 Null or empty texts have no words and no hits. A null item_id takes part in the hits but is not listed; rows that share
-an item_id are one item. Repeated document rows are judged each for itself. Documents' other columns pass unchanged.
+an item_id are one item. Repeated document rows are judged each for itself. Bytes that aren't UTF-8 are parts of words, as all bytes
+from 0x80. Documents' other columns, whatever their names, pass unchanged.
 """
 
 from __future__ import annotations
@@ -24,9 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.llm.shared import discard, lean, materialise
 from millrace.llm.words import text_batches, word_hashes
 
+#: Words of the pieces that long items are cut in.
+PIECE_WORDS = 20_000
+#: Texts with hits in the other blocks up to this number of bytes are broadcast to the last scan; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -132,17 +141,37 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "row {}, text string, n_words long, spans array<int>, items array<string>"
-_ARROW = [("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+_SPANS, _ITEMS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
 
 
-def _scan(shared):
+def _pieces(n: int):
+    """Item and words, joined by one space, of the pieces of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, "text"):
+            for item, text in zip(batch.column("item").to_pylist(), texts, strict=True):
+                words = normalised(text).split()
+                begins = range(0, max(1, len(words) - n + 1), PIECE_WORDS)
+                pieces = [b" ".join(words[i : i + PIECE_WORDS + n - 1]) for i in begins]
+                yield pa.record_batch([pa.array([item] * len(pieces), pa.string()), pa.array(pieces, pa.binary())], ["item", "words"])
+
+    return run
+
+
+def _scan(shared, kept: tuple[str, ...]):
+    """Add n_words, spans and items to the kept columns; spans and items go on from those of the input, if it has them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: SuffixAutomaton = shared.value
         for batch, texts in text_batches(batches, "text"):
             h, bounds = word_hashes([normalised(t) for t in texts])
-            spans: list[list[tuple[int, int]]] = [list(zip(x[::2], x[1::2], strict=True)) for x in batch.column("spans").to_pylist()]
-            ids = [set(x) for x in batch.column("items").to_pylist()]
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            ids: list[set[str]] = [set() for _ in texts]
+            if "before" in batch.schema.names:
+                for i, x in enumerate(batch.column("before").to_pylist()):
+                    if x is not None:
+                        spans[i] = [(s, e) for flat in x["spans"] for s, e in zip(flat[::2], flat[1::2], strict=True)]
+                        ids[i] = {item for some in x["items"] for item in some}
             if len(m.vocabulary) and len(h):
                 at = np.minimum(np.searchsorted(m.vocabulary, h), len(m.vocabulary) - 1)
                 code = np.where(m.vocabulary[at] == h, m.number[at], -1)
@@ -153,7 +182,8 @@ def _scan(shared):
                         doc = int(np.searchsorted(bounds, s, side="right")) - 1
                         m.scan(code[s:e].tolist(), s - int(bounds[doc]), spans[doc], ids[doc])
             flat = [[x for span in united(d) for x in span] for d in spans]
-            yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(np.diff(bounds)), pa.array(flat, _ARROW[1][1]), pa.array([sorted(x) for x in ids], _ARROW[2][1])], ["row", "text", *(k for k, _ in _ARROW)])
+            made = [pa.array(np.diff(bounds)), pa.array(flat, pa.list_(pa.int32())), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))]
+            yield pa.record_batch([*(batch.column(c) for c in kept), *made], [*kept, "n_words", "spans", "items"])
 
     return run
 
@@ -161,17 +191,34 @@ def _scan(shared):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_chars: int = 1_000_000) -> DataFrame:
     """docs (any columns, `text` among them) to (row: struct of all its columns, text, n_words, spans, items): the united hit
     spans as a flat list of begin and end in words, and the ids of the items met, as strings."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    docs = docs.select(F.struct("*").alias("row"), "text")
-    out = docs.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = SCHEMA.format(docs.schema["row"].dataType.simpleString())
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        model = SuffixAutomaton([(r["item"], normalised(r["text"].encode()).split()) for r in part], n)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(model)), schema)
-    return out
+    pieces = materialise(items.mapInArrow(_pieces(n), "item string, words binary"), "pieces")
+    blocks = max(1, -(-(pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // block_chars))
+
+    def automaton(block: int):
+        part = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
+        return sc.broadcast(SuffixAutomaton([(r["item"], bytes(r["words"]).split()) for r in part], n))
+
+    held = docs.select(F.struct("*").alias("row"), "text")
+    fields = [T.StructField("row", held.schema["row"].dataType), T.StructField("text", T.StringType())]
+    made = [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", _ITEMS)]
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("again"), "text").alias("k2")]
+    hits = None
+    for block in range(blocks - 1):
+        model = automaton(block)
+        scanned = docs.select("text", *key).mapInArrow(lean(_scan(model, ("k1", "k2"))), T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), *made]))
+        found = materialise(scanned.where(F.size("spans") > 0).select("k1", "k2", "spans", "items"), "hits")
+        model.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is not None:
+        before = materialise(hits.groupBy("k1", "k2").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items")), "before")
+        before = before.select("k1", "k2", F.struct("spans", "items").alias("before"))
+        size = before.agg(F.sum(F.expr("32 + 4 * size(flatten(before.spans)) + 40 * size(flatten(before.items))"))).first()[0] or 0
+        held = held.select("row", "text", *key).join(F.broadcast(before) if size <= BROADCAST_BYTES else before, ["k1", "k2"], "left").drop("k1", "k2")
+    last = automaton(blocks - 1)
+    discard(pieces)
+    return held.mapInArrow(lean(_scan(last, ("row", "text"))), T.StructType([*fields, *made]))
 
 
 N_HIT = "cast(aggregate(transform(sequence(0, size(spans) div 2 - 1), i -> if(size(spans) = 0, 0, spans[2 * i + 1] - spans[2 * i])), 0, (a, x) -> a + x) as long)"
@@ -186,8 +233,9 @@ def judged(found: DataFrame, per: int = 20) -> DataFrame:
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if text is not None and spans:
+        for raw, spans in zip(batch.column("text").cast(pa.large_binary()), batch.column("spans").to_pylist(), strict=True):
+            text = raw.as_buffer().to_pybytes().decode(errors="replace") if raw.is_valid else None
+            if spans:
                 at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
                 kept, done = [], 0
                 for s, e in zip(spans[::2], spans[1::2], strict=True):
@@ -204,7 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, per: int =
     found = judged(find_contamination(docs, benchmark, n), per).where("not contaminated")
     if not cut:
         return found.select("row.*")
-    schema = f"row {found.schema['row'].dataType.simpleString()}, clean_text string"
+    schema = T.StructType([T.StructField("row", found.schema["row"].dataType), T.StructField("clean_text", T.StringType())])
     return found.select("row", "text", "spans").mapInArrow(_cut_spans, schema).select("row.*", "clean_text")
 
 
