@@ -54,6 +54,10 @@ def parse_date(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)).cast("date")
 
 
+def parse_timestamp(c: Column, fmt: str) -> Column:
+    return F.try_to_timestamp(c, F.lit(fmt))
+
+
 def concatenated(names: Iterable[str], known: Iterable[str]) -> Column:
     """The known ones of the columns joined by a space; NULLs are skipped."""
     known = set(known)
@@ -92,9 +96,49 @@ def table_name(c: Column) -> Column:
 
 
 def alternative_names(c: Column) -> Column:
-    """Distinct spellings of a name: singular or plural, and separators swapped."""
-    other = F.when(c.endswith("s"), c.substr(F.lit(1), F.length(c) - 1)).otherwise(F.concat(c, F.lit("s")))
-    return F.array_sort(F.array_distinct(F.array(c, other, F.replace(c, F.lit("_"), F.lit(" ")), F.replace(c, F.lit("_"), F.lit("-")), F.replace(c, F.lit(" "), F.lit("_")))))
+    """Distinct lower-case spellings of a name: singular or plural, and each of these with its separators swapped; empty ones are left out."""
+    low = F.lower(c)
+    other = F.when(low.endswith("s"), low.substr(F.lit(1), F.length(low) - 1)).otherwise(F.concat(low, F.lit("s")))
+    swaps = (("_", " "), (" ", "_"), ("-", "_"), ("_", "-"))
+    spellings = F.array(*(x for name in (low, other) for x in (name, *(F.replace(name, F.lit(a), F.lit(b)) for a, b in swaps))))
+    return F.array_sort(F.array_distinct(F.filter(spellings, lambda x: x != "")))
+
+
+def first_json(text: Column, paths: Iterable[str], default: str) -> Column:
+    """The value at the first of the JSON paths that leads to one, else the default."""
+    return F.coalesce(*(F.get_json_object(text, p) for p in paths), F.lit(default))
+
+
+def row_json(schema: T.StructType) -> Column:
+    """A row of this schema as JSON: decimals as numbers, dates and times in ISO form, NULLs kept."""
+
+    def plain(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.DecimalType):
+            return c.cast("double")
+        if isinstance(t, T.DateType):
+            return F.date_format(c, "yyyy-MM-dd")
+        if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+        return c
+
+    return F.to_json(F.struct(*(plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields)), {"ignoreNullFields": "false"})
+
+
+# The names under which relationship documents hold each field, in order of precedence, and the type if there is none.
+RELATION_KEYS = {
+    "from_entity": ("from_entity", "fromEntity", "from"),
+    "from_column": ("from_column", "fromColumn", "foreign_key"),
+    "to_entity": ("to_entity", "toEntity", "to"),
+    "to_column": ("to_column", "toColumn", "references"),
+    "relationship_type": ("relationship_type", "relationshipType", "type"),
+    "description": ("description",),
+}
+RELATION_DEFAULTS = {"relationship_type": "one-to-many"}
+
+
+def relation_fields(document: Column) -> dict[str, Column]:
+    """Name to value of each field of a relationship given as a JSON text under any of its names; empty values count as missing."""
+    return {name: F.coalesce(*(F.nullif(F.get_json_object(document, f"$.{k}"), F.lit("")) for k in keys), F.lit(RELATION_DEFAULTS.get(name, ""))) for name, keys in RELATION_KEYS.items()}
 
 
 def pretty(c: Column) -> Column:

@@ -50,6 +50,8 @@ def _ruled(c: Column, rules: dict) -> Column:
         c = C.clamp(c, rules.get("min"), rules.get("max"))
     if "date_format" in rules:
         c = C.parse_date(c, rules["date_format"])
+    if "timestamp_format" in rules:
+        c = C.parse_timestamp(c, rules["timestamp_format"])
     return c
 
 
@@ -110,7 +112,8 @@ def calculate_rule(df: DataFrame, target: str, a: str, b: str) -> DataFrame:
 
 
 def apply_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """Filters, replacements and sums in their order; Spark folds them into one stage."""
+    """Filters, replacements and sums in their order; Spark folds them into one stage. A validation drops nothing: its counts are in
+    rule_violations. A rule of any other type is an error."""
 
     def one(d: DataFrame, r: dict) -> DataFrame:
         if r["type"] == "filter":
@@ -119,11 +122,45 @@ def apply_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
             return replace_rule(d, r["column"], r["old"], r["new"])
         if r["type"] == "calculate":
             return calculate_rule(d, r["target"], r["a"], r["b"])
-        return d
+        if r["type"] == "validation":
+            return d
+        raise ValueError(f"no rule type {r['type']!r}")
 
     return reduce(one, rules, df)
 
 
+def rule_violations(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """(rule, column_name, violations): rows outside [min, max] for each validation rule, counted on the rows that reach it; the
+    validations between two other rules are one scan."""
+    out, done, held = None, df, []
+
+    def counted() -> DataFrame:
+        one = done.agg(*(F.count_if(_outside(r)).alias(f"v{i}") for i, r in held))
+        rows = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(r["column"]).alias("column_name"), F.col(f"v{i}").alias("violations")) for i, r in held))
+        return one.select(F.explode(rows).alias("r")).select("r.*")
+
+    for i, r in [*enumerate(rules), (len(rules), {"type": "end"})]:
+        if r["type"] == "validation":
+            held.append((i, r))
+            continue
+        if held:
+            out, held = counted() if out is None else out.unionByName(counted()), []
+        done = done if r["type"] == "end" else apply_rules(done, [r])
+    return out if out is not None else df.sparkSession.createDataFrame([], "rule int, column_name string, violations long")
+
+
+def _outside(r: dict) -> Column:
+    c = F.col(r["column"])
+    low, high = (F.lit(False) if k not in r else c < r[k] if k == "min" else c > r[k] for k in ("min", "max"))
+    return low | high
+
+
+def deduplicated_counts(df: DataFrame) -> DataFrame:
+    """Rows, distinct rows and removed rows of dropping duplicates, in one aggregate."""
+    each = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    return each.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows_before"), F.count("*").alias("rows_after")).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
+
+
 def range_violations(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
     """Rows outside [min, max] for each column, all in one pass."""
     counts = df.agg(*(F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in ranges.items()))
@@ -135,6 +172,22 @@ def filter_equal_ci(df: DataFrame, wanted: dict) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, (F.lower(F.col(k).cast("string")) == F.lower(F.lit(str(v))) for k, v in wanted.items()), F.lit(True)))
 
 
+def visible(scope: str, owner: str, visibility: str, user, public) -> Column:
+    """What a user sees: `my` own rows, `public` ones, or both."""
+    mine, open_to_all = F.col(owner) == user, F.col(visibility) == public
+    return mine if scope == "my" else open_to_all if scope == "public" else mine | open_to_all
+
+
+def holds(column: str, words: str) -> Column:
+    """Whether a text holds the words, in any letter case; % and _ stand for themselves."""
+    return F.contains(F.lower(column), F.lit(words.lower()))
+
+
+def older_than(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
+    """Rows from more than so many days before a given time."""
+    return df.where(F.col(ts) < now - F.expr(f"interval {int(days)} days"))
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

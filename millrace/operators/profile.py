@@ -23,8 +23,9 @@ def _numeric(f: T.StructField) -> bool:
     return isinstance(f.dataType, T.NumericType)
 
 
-def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Nulls, null share in percent, and distinct values of each column; approximate distinct counts scale to any width."""
+def profile_columns(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Nulls, null share in percent, and distinct values of each column. Distinct values are estimated (one pass that shuffles sketches
+    only); exact ones shuffle each row once for each column and are for small tables."""
     distinct = (lambda f: F.count_distinct(F.col(f.name))) if exact else (lambda f: F.approx_count_distinct(F.col(f.name)))
     out = _per_column(df, {"null_count": _nulls, "distinct_count": distinct})
     return out.withColumn("null_pct", F.round(F.when(F.col("total") > 0, F.col("null_count") * 100.0 / F.col("total")).otherwise(0.0), 2))
@@ -35,7 +36,7 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     return _per_column(df, measures, _numeric)
 
 
-def quality_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+def quality_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     blank = lambda f: F.count_if(F.trim(F.col(f.name)) == "") if isinstance(f.dataType, T.StringType) else F.lit(0).cast("long") + F.count_if(F.lit(False))
     distinct = (lambda f: F.count_distinct(F.col(f.name))) if exact else (lambda f: F.approx_count_distinct(F.col(f.name)))
     out = _per_column(df, {"null_count": _nulls, "blank_count": blank, "unique_count": distinct})
@@ -43,10 +44,19 @@ def quality_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     return out.withColumns({"null_pct": share("null_count"), "blank_pct": share("blank_count")})
 
 
-def quality_verdict(df: DataFrame) -> DataFrame:
-    """Each column's verdict: over 90 % NULL is an error, over 50 % a warning; an empty frame is an error."""
-    s = quality_stats(df, exact=False)
-    return s.select("column_name", "null_pct", F.when(F.col("total") == 0, "error").when(F.col("null_pct") > 90, "error").when(F.col("null_pct") > 50, "warning").otherwise("ok").alias("verdict"))
+def quality_verdict(df: DataFrame, declared: list[str] | None = None) -> DataFrame:
+    """Each column's verdict and why: over 90 % NULL, missing though declared, or an empty frame is an error; over 50 % NULL, over 95 %
+    blank, or not declared a warning. A missing column has no shares."""
+    s = quality_stats(df)
+    extra = ~F.col("column_name").isin(*declared) if declared is not None else F.lit(False)
+    why = F.coalesce(F.when(F.col("total") == 0, "empty"), F.when(F.col("null_pct") > 90, "null"), F.when(F.col("null_pct") > 50, "null"), F.when(F.col("blank_pct") > 95, "blank"), F.when(extra, "extra"))
+    bad = (F.col("total") == 0) | (F.col("null_pct") > 90)
+    out = s.select("column_name", "null_pct", F.when(bad, "error").when(why.isNotNull(), "warning").otherwise("ok").alias("verdict"), F.coalesce(why, F.lit("")).alias("reason"))
+    missing = [c for c in declared or [] if c not in df.columns]
+    if not missing:
+        return out
+    rows = df.sparkSession.createDataFrame([(c, None, "error", "missing") for c in missing], out.schema)
+    return out.unionByName(rows)
 
 
 def constraint_violations(df: DataFrame, required: list[str]) -> DataFrame:
@@ -105,11 +115,20 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row for each column of each table with its type, ordinal and profile; the only pass over the data in discovery."""
+def column_catalog(tables: dict[str, DataFrame], exact: bool = False, comments: bool = False) -> DataFrame:
+    """One row for each column of each table with its type, ordinal and profile: one scan of each table. Write it once where more than
+    one operator works on it. With comments, also whether the schema lets the column be NULL, and its comment."""
     out = None
     for name, df in tables.items():
-        kinds = F.create_map(*(F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())))
-        one = profile_columns(df).select(F.lit(name).alias("table_name"), "column_name", "ordinal", kinds[F.col("column_name")].alias("data_type"), "total", "null_count", "distinct_count")
+        fields = F.create_map(*(x for f in df.schema.fields for x in (F.lit(f.name), F.struct(F.lit(f.dataType.simpleString()).alias("t"), F.lit(f.nullable).alias("n"), F.lit(f.metadata.get("comment", "")).alias("c")))))
+        of = fields[F.col("column_name")]
+        more = [of["n"].alias("nullable"), of["c"].alias("comment")] if comments else []
+        one = profile_columns(df, exact).select(F.lit(name).alias("table_name"), "column_name", "ordinal", of["t"].alias("data_type"), "total", "null_count", "distinct_count", *more)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def total_profile(tables: DataFrame) -> DataFrame:
+    """profile_tables's rows (table_name, row_count, column_count) and a last one, named `total`, that sums them."""
+    total = tables.agg(F.lit("total").alias("table_name"), F.sum("row_count").alias("row_count"), F.sum("column_count").cast("int").alias("column_count"))
+    return tables.unionByName(total)

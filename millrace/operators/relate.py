@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import columns as C
+
 
 def count_related(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, child_id: str, name: str) -> DataFrame:
     """Children for each parent, zero included: children are counted before the join, so no group is moved whole."""
@@ -20,13 +24,45 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def matched(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of left whose key is in right."""
+    return left.join(right, left[left_key] == right[right_key], "left_semi")
+
+
+def unmatched(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of left whose key is not in right."""
+    return left.join(right, left[left_key] == right[right_key], "left_anti")
+
+
+def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "idx") -> DataFrame:
+    """Number the rows of each key from 0, in an explicit order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).distinct()
+
+
+def common_values(a: DataFrame, a_column: str, b: DataFrame, b_column: str, name: str) -> DataFrame:
+    """Distinct values that both columns have."""
+    return a.select(F.col(a_column).alias(name)).intersect(b.select(F.col(b_column).alias(name)))
+
+
+def values_only_in(a: DataFrame, a_column: str, b: DataFrame, b_column: str, name: str) -> DataFrame:
+    """Values of the first column less those of the second, each as often as it is there more often."""
+    return a.select(F.col(a_column).alias(name)).exceptAll(b.select(F.col(b_column).alias(name)))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def capped(df: DataFrame, n: int) -> tuple[DataFrame, bool]:
-    """The first n rows of an ordered frame and whether there were more: one row more is asked for, never all."""
-    return df.limit(n), df.limit(n + 1).count() > n
+def capped(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a frame, and in a column `truncated` whether there were more: n + 1 rows are taken once, and the flag is
+    told from their number within the one task that holds them."""
+    held = df.limit(n + 1).withColumn("__n", F.monotonically_increasing_id())
+    counted = held.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > n).withColumn("__n", F.row_number().over(Window.orderBy("__n")))
+    return counted.where(F.col("__n") <= n).drop("__n")
 
 
 # Most rows that each chart shows.
@@ -38,6 +74,12 @@ def chart_rows(df: DataFrame, chart: str, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(CHART_LIMITS.get(chart, 100))
 
 
+def chart_counts(df: DataFrame, chart: str) -> DataFrame:
+    """How many rows there are, how many of them a chart of this kind shows, and whether that is fewer."""
+    most = CHART_LIMITS.get(chart, 100)
+    return df.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(most).cast("long")).alias("displayed"), (F.col("total") > most).alias("limited"))
+
+
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
 
@@ -77,28 +119,90 @@ def name_matches(entities: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.select("entity", "file", similarity(F.col("entity"), F.col("file")).alias("score")).where(F.col("score") > MATCH_ABOVE)
 
 
-def common_columns(catalog: DataFrame) -> DataFrame:
-    """Pairs of tables that share a column name, with a confidence from type, name and distinct counts."""
+# A file name's additions to an entity's name, and what looks like a date in it.
+EXPORT_FORMS = ("{}_data", "{}_export", "{}_dump", "data_{}", "export_{}", "{}_table", "table_{}")
+DATE_FORMS = r"\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4}|\d{8}|\d{6}"
+
+
+def pattern_score(entity: Column, file: Column) -> Column:
+    """0.7 where the file's name holds the entity's in an export's form, else 0.4 where it holds a date, else 0."""
+    e, f = F.lower(entity), F.lower(file)
+    form = [F.contains(f, F.concat(F.lit(x.split("{}")[0]), e, F.lit(x.split("{}")[1]))) for x in EXPORT_FORMS]
+    return F.when(F.coalesce(reduce(or_, form), F.lit(False)), 0.7).when(f.rlike(DATE_FORMS), 0.4).otherwise(0.0)
+
+
+def match_entities(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """(entity) and (file) names as they are to (entity, file, score) of the pairs that score above MATCH_ABOVE, best first for each entity: the
+    greatest of the similarities of all the entity's spellings and 0.6 of the pattern score. Every pair is scored."""
+    names = entities.where("entity is not null").distinct().select("entity", F.explode(F.array_union(F.array(F.lower("entity")), C.alternative_names(F.col("entity")))).alias("spelling"))
+    names = names.select("entity", C.normalised_name(F.col("spelling")).alias("name")).where("name != ''").distinct()
+    clean = files.where("file is not null").distinct().select("file", C.normalised_name(F.col("file")).alias("clean")).where("clean != ''")
+    similar = name_matches(names.select(F.col("name").alias("entity")), clean.select(F.col("clean").alias("file"))).select(F.col("entity").alias("name"), F.col("file").alias("clean"), "score")
+    by_name = names.join(similar, "name").join(clean, "clean").select("entity", "file", "score")
+    # a pattern alone scores 0.42 at most, so only names in an export's form can pass by it: those that hold the entity's name
+    whole = F.lower("entity").alias("name")
+    held = _containing(entities.where("entity is not null").select("entity", whole).distinct(), files.where("file is not null").select("file").distinct())
+    by_form = held.select("entity", "file", (0.6 * pattern_score(F.col("entity"), F.col("file"))).alias("score")).where(F.col("score") > MATCH_ABOVE)
+    return by_name.unionByName(by_form).groupBy("entity", "file").agg(F.max("score").alias("score")).orderBy("entity", F.desc("score"), "file")
+
+
+def _containing(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs in which the file's name holds the entity's next to a `_`, by an equi join of the stretches of the file's name."""
+    low = F.lower("file")
+    ends = F.filter(F.sequence(F.lit(0), F.length(low) + 1), lambda i: (i == 0) | (i == F.length(low) + 1) | (F.substr(low, i, F.lit(1)) == "_"))
+    after = F.flatten(F.transform(ends, lambda a: F.transform(F.sequence(F.lit(1), F.length(low)), lambda k: F.substr(low, a + 1, k))))
+    before = F.flatten(F.transform(ends, lambda b: F.transform(F.sequence(F.lit(1), F.length(low)), lambda k: F.substr(low, k, F.greatest(b - k, F.lit(0))))))
+    stretches = files.where(F.length("file") > 0).select("file", F.explode(F.array_distinct(F.concat(after, before))).alias("name"))
+    return entities.join(stretches, "name").select("entity", "file").distinct()
+
+
+def common_columns(catalog: DataFrame, keys: DataFrame | None = None, both_ways: bool = False) -> DataFrame:
+    """Pairs of tables that share a column name, with a confidence from type, name and distinct counts; of each pair the one way by
+    table name, or both. With keys (table_name, primary_key), a column that is the key of both tables makes no pair. The pairs of a
+    name that many tables share grow with their square: shared_names has such names in a row each."""
+    from millrace.operators.metadata import LINK_WORDS
+
     c = catalog.withColumn("name", F.lower("column_name"))
+    c = c.withColumn("is_key", F.lit(False)) if keys is None else c.join(keys.select("table_name", "primary_key"), "table_name", "left").withColumn("is_key", F.coalesce(F.col("primary_key") == F.col("column_name"), F.lit(False)))
     a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, F.expr("a.name = b.name and a.table_name < b.table_name"))
-    ratio = F.col("a.distinct_count") / F.greatest(F.col("b.distinct_count"), F.lit(1))
-    score = F.lit(0.4) + F.when(F.col("a.data_type") == F.col("b.data_type"), 0.3).otherwise(0.0) + F.when(F.col("a.name").contains("id"), 0.2).otherwise(0.0) + F.when(ratio > 2, 0.1).otherwise(0.0)
-    kind = F.when(ratio > 2, "many_to_one").when(ratio < 0.5, "one_to_many").otherwise("many_to_many")
-    return pairs.select(F.col("a.table_name").alias("from_table"), F.col("b.table_name").alias("to_table"), F.col("a.column_name").alias("column_name"), F.round(score, 2).alias("confidence"), kind.alias("relation"))
+    pairs = a.join(b, F.expr(f"a.name = b.name and a.table_name {'!=' if both_ways else '<'} b.table_name")).where("not (a.is_key and b.is_key)")
+    n, m = F.col("a.distinct_count"), F.col("b.distinct_count")
+    some = (n > 0) & (m > 0)
+    likely = reduce(or_, (F.col("a.name").contains(w) for w in LINK_WORDS))
+    part = lambda when, x: F.when(when, x).otherwise(0.0)
+    score = F.lit(0.4) + part(F.col("a.data_type") == F.col("b.data_type"), 0.3) + part(likely, 0.2) + part(some & (F.greatest(n, m) / F.least(n, m) > 2), 0.1)
+    lone = lambda t: (F.col(f"{t}.distinct_count") == F.col(f"{t}.total")) & (F.col(f"{t}.null_count") == 0)
+    kind = F.when(some & (n / m > 2), "many_to_one").when(some & (n / m < 0.5), "one_to_many").when(lone("a") & ~lone("b"), "one_to_many").when(lone("b") & ~lone("a"), "many_to_one").otherwise("many_to_many")
+    return pairs.select(F.col("a.table_name").alias("from_table"), F.col("b.table_name").alias("to_table"), F.col("a.column_name").alias("column_name"), F.col("b.column_name").alias("to_column"), F.round(score, 2).alias("confidence"), kind.alias("relation"))
+
+
+def shared_names(catalog: DataFrame) -> DataFrame:
+    """Column names that several tables have, with their number."""
+    return catalog.groupBy(F.lower("column_name").alias("column_name")).agg(F.count_distinct("table_name").alias("tables")).where("tables > 1")
 
 
 def key_candidates(catalog: DataFrame) -> DataFrame:
-    """Columns that may be a primary key: named like an id, or nearly all distinct and never NULL; ranked id, *_id, *id*, others."""
+    """Columns that may be a primary key: named like a key, or nearly all distinct and never NULL; ranked id, *_id, *id*, others."""
+    from millrace.operators.metadata import KEY_WORDS
+
     low = F.lower("column_name")
     unique = (F.col("distinct_count") > 0.95 * F.col("total")) & (F.col("null_count") == 0)
     rank = F.when(low == "id", 0).when(low.endswith("_id"), 1).when(low.contains("id"), 2).otherwise(3)
     w = Window.partitionBy("table_name").orderBy("kind", "ordinal")
-    return catalog.where(low.contains("id") | unique).select("table_name", "column_name", "ordinal", rank.alias("kind")).withColumn("rank", F.row_number().over(w)).drop("ordinal")
-
-
-def column_definitions(catalog: DataFrame) -> DataFrame:
-    return catalog.select("table_name", "column_name", "data_type", (F.col("null_count") > 0).alias("nullable"), ((F.col("distinct_count") == F.col("total")) & (F.col("null_count") == 0)).alias("is_unique"))
+    named = reduce(or_, (low.contains(w) for w in KEY_WORDS))
+    return catalog.where(named | unique).select("table_name", "column_name", "ordinal", rank.alias("kind")).withColumn("rank", F.row_number().over(w)).drop("ordinal")
+
+
+def column_definitions(catalog: DataFrame, keys: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """Name, type, whether NULLs occur and values are unique; with keys also is_key, with samples (table_name, column_name, rank, value)
+    the first three, joined by a comma."""
+    c = catalog.select("table_name", "column_name", "data_type", (F.col("null_count") > 0).alias("nullable"), ((F.col("distinct_count") == F.col("total")) & (F.col("null_count") == 0)).alias("is_unique"))
+    if keys is not None:
+        c = c.join(keys.select("table_name", "primary_key"), "table_name", "left").withColumn("is_key", F.coalesce(F.col("primary_key") == F.col("column_name"), F.lit(False))).drop("primary_key")
+    if samples is not None:
+        three = F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"])
+        c = c.join(samples.where("rank <= 3").groupBy("table_name", "column_name").agg(F.array_join(three, ",").alias("samples")), ["table_name", "column_name"], "left")
+    return c
 
 
 def compatibility(old: DataFrame, new: DataFrame) -> DataFrame:

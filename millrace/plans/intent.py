@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.clean import filter_equal_ci
+from millrace.operators.relate import capped
 
 AGGREGATES = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
 
@@ -31,6 +33,13 @@ class Intent:
     aggregations: dict[str, str] = field(default_factory=dict)
     order_by: str | None = None
     limit: int = 10_000
+    #: Whether a column `truncated` says if there were more rows than the limit.
+    flag: bool = False
+
+
+def join_relation(fact: DataFrame, r: Relation) -> DataFrame:
+    """Facts with the columns of a dimension that a relationship leads to; Spark picks the kind of join."""
+    return fact.join(r.table, fact[r.foreign_key] == r.table[r.key])
 
 
 def run_intent(fact: DataFrame, intent: Intent, relations: tuple[Relation, ...] = ()) -> DataFrame:
@@ -45,47 +54,53 @@ def run_intent(fact: DataFrame, intent: Intent, relations: tuple[Relation, ...]
     df = fact
     for i, r in enumerate(relations):
         if needs(i):
-            df = df.join(r.table, df[r.foreign_key] == r.table[r.key])
+            df = join_relation(df, r)
     df = filter_equal_ci(df, intent.filters)
     measures = [(AGGREGATES[intent.aggregations.get(m, "SUM").upper()](m) if m in df.columns else F.count("*")).alias(m) for m in intent.metrics]
     out = df.groupBy(*intent.dimensions).agg(*measures) if intent.dimensions else df.agg(*measures)
     if intent.order_by:
         out = out.orderBy(F.desc(intent.order_by), *intent.dimensions)
-    return out.limit(intent.limit)
+    return capped(out, intent.limit) if intent.flag else out.limit(intent.limit)
 
 
-_READ_ONLY = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|merge|grant|revoke)\b", re.I)
+#: What the parsed plan of a query begins with.
+_QUERY_NODES = {"Aggregate", "Distinct", "Except", "Filter", "GlobalLimit", "Intersect", "Join", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Project", "ResolvedInlineTable", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedWith", "Window", "WithWindowDefinition"}
 
 
-def read_only(sql: str) -> bool:
-    """Whole words only, so that a column named updated_at does no harm."""
-    return re.match(r"\s*(select|with)\b", sql, re.I) is not None and not _READ_ONLY.search(sql)
+def read_only(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's parser reads the text as a query, not as a command, an insert or a script. Words in literals and names don't matter."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException:
+        return False
+    return plan.getClass().getSimpleName() in _QUERY_NODES and not re.search(r"(?m)^[\s:+|'-]*Insert\w+ ", plan.toString())
 
 
-def pass_through(spark, sql: str, tables: dict[str, DataFrame], cap: int = 10_000) -> DataFrame:
-    if not read_only(sql):
+def pass_through(spark: SparkSession, sql: str, tables: dict[str, DataFrame], cap: int = 10_000, flag: bool = False) -> DataFrame:
+    """The query's rows up to the cap; with flag, a column `truncated` says whether there were more."""
+    if not read_only(spark, re.sub(r"\{(\w+)\}", r"\1", sql)):
         raise ValueError("only SELECT statements are run")
-    return spark.sql(sql, **tables).limit(cap)
+    rows = spark.sql(sql, **tables)
+    return capped(rows, cap) if flag else rows.limit(cap)
 
 
-def nearest(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
-    """For each wanted name the catalog's nearest column by edit distance; both sides are column catalogs, whose size is bounded by the schema."""
-    pairs = wanted.crossJoin(F.broadcast(catalog.select("column_name").distinct()))
-    d = F.levenshtein(F.lower("wanted"), F.lower("column_name"))
-    return pairs.groupBy("wanted").agg(F.min(F.struct(d.alias("distance"), F.col("column_name"))).alias("m")).select("wanted", "m.column_name", "m.distance")
+def refresh_saved(spark: SparkSession, saved: dict[str, str], tables: dict[str, DataFrame], cap: int = 1000) -> DataFrame:
+    """Rows that each saved query now gives, up to the cap, with the seconds it took, or that it failed and with which error; a failure
+    leaves the others alone. Loops over the saved queries only; each is a Spark job of which a count comes back."""
+    log = []
+    for name, sql in saved.items():
+        began = time.perf_counter()
+        try:
+            log.append((name, "success", pass_through(spark, sql, tables, cap).count(), time.perf_counter() - began, None))
+        except Exception as e:  # whatever a stored query may raise is its entry in the log
+            log.append((name, "error", 0, time.perf_counter() - began, str(e).split("\n")[0][:200]))
+    return spark.createDataFrame(log, "query_name string, status string, n_rows long, seconds double, error string")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+# The codes of a result's outcome.
+NO_DATA, HAS_DATA = "NO_DATA", "OK"
 
 
-def refresh_saved(spark, saved: dict[str, str], tables: dict[str, DataFrame], cap: int = 1000) -> DataFrame:
-    """Rows that each saved query now gives, up to the cap, or that it failed; a failure leaves the others alone. Loops over the
-    saved queries only; each is a Spark job of which a count comes back."""
-    log = []
-    for name, sql in saved.items():
-        try:
-            log.append((name, "success", pass_through(spark, sql, tables, cap).count()))
-        except Exception:  # whatever a stored query may raise is its entry in the log
-            log.append((name, "error", 0))
-    return spark.createDataFrame(log, "query_name string, status string, n_rows long")
+def outcome(df: DataFrame) -> DataFrame:
+    """One row on a result: its rows, and a code that tells an empty one apart from an error."""
+    return df.agg(F.count("*").alias("n_rows")).withColumn("code", F.when(F.col("n_rows") == 0, NO_DATA).otherwise(HAS_DATA))

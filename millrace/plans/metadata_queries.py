@@ -5,34 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import columns as C
 from millrace.operators import charts as H
 from millrace.operators import metadata as M
 from millrace.operators import profile as P
 from millrace.operators import relate as R
+from millrace.operators import reports as O
 from millrace.plans import intent as I
 from millrace.plans.registry import TABLES, Tables, query
-from millrace.sources.scratch import scratch
-
-_COLUMNS = {
-    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
-    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp"},
-    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int"},
-    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_retailprice": "double"},
-}
+from millrace.plans.schemas import COLUMNS, catalog_sql, plain
+from millrace.sources.scratch import kept, scratch
+
 _SIMPLE = "case when data_type in ('timestamp', 'timestamp_ntz', 'date') then 'time' when data_type in ('int', 'bigint', 'double') then 'numeric' else 'categorical' end"
+_UNIQUE = "distinct_count = total and null_count = 0"
+
+
+def _plain(t: Tables, name: str) -> DataFrame:
+    df = getattr(t, name)
+    return df.withColumnsRenamed({c: plain(c) for c in df.columns})
 
 
 def _catalog(t: Tables) -> DataFrame:
-    return P.column_catalog({k: getattr(t, k).select(*v).withColumnsRenamed({c: c[2:] for c in v}) for k, v in _COLUMNS.items()})
+    """Every column of all tables, with exact distinct counts as the SQL has them; written once, so that what follows works on its few rows."""
+    return kept(P.column_catalog({k: _plain(t, k) for k in TABLES}, exact=True), "catalog")
 
 
-_SQL = "with c as (" + " union all ".join(f"select '{k}' as table_name, '{c[2:]}' as column_name, '{d}' as data_type, count(*) as total, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count from {k}" for k, v in _COLUMNS.items() for c, d in v.items()) + ") "
+_SQL = f"with c as ({catalog_sql()}) "
 
 
 def _like(name: str, words) -> str:
     return "(" + " or ".join(f"contains({name}, '{w}')" for w in words) + ")"
 
 
+_KEY_RANK = f"k as (select table_name, column_name, ordinal, data_type, case when column_name = 'id' then 0 when column_name like '%\\_id' escape '\\' then 1 when contains(column_name, 'id') then 2 else 3 end as kind from c where {_like('column_name', M.KEY_WORDS)} or (distinct_count > 0.95 * total and null_count = 0)), r as (select *, row_number() over (partition by table_name order by kind, ordinal) as rank from k), pk as (select t.table_name, coalesce(r.column_name, 'id') as primary_key, r.column_name is null as generated, r.data_type as key_type from (select distinct table_name from c) t left join r on r.table_name = t.table_name and r.rank = 1)"
+
+
+def _keys(c: DataFrame) -> DataFrame:
+    return M.primary_keys(R.key_candidates(c), c)
+
+
 _SCORES = ", ".join("sum(" + " + ".join(f"contains(column_name, '{w}')::int" for w in words) + f") as s{i}" for i, words in enumerate(M.ENTITIES.values()))
 _BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(M.ENTITIES))) + ")"
 _NAMED = " ".join(f"when {_like('table_name', words)} then '{k.title()}'" for k, words in M.ENTITIES.items())
@@ -49,22 +60,187 @@ def entity_types(t):
     return M.entity_types(_catalog(t))
 
 
-_MORE = {"Temporal": f" or {_SIMPLE} = 'time'", "Identifier": " or (distinct_count = total and null_count = 0)"}
+_NAMES_CTE = f"n as (select table_name, {_SCORES} from c group by table_name), e as (select table_name, case {_NAMED} {_SCORED} else upper(table_name[1]) || table_name[2:] end as entity from n)"
+_TYPES_CTE = f"ft as (select table_name, avg(({_SIMPLE} = 'numeric')::int) as share, bool_or(column_name in {M.MEASURES}) as measured, bool_or({_SIMPLE} = 'time') as dated, count(*) filter (where {_like('column_name', M.KEY_WORDS)} and column_name <> 'id') as keys from c group by table_name), et as (select table_name, case when (share > 0.3 and measured) or keys > 2 or (dated and keys > 0) then 'fact' else 'dimension' end as entity_type from ft)"
+
+
+@query(catalog_sql())
+def column_catalog(t):
+    return _catalog(t)
+
 
+@query(_SQL + ", " + _KEY_RANK + " select table_name, column_name, cast(kind as integer) as kind, cast(rank as integer) as rank from r")
+def pk_candidates(t):
+    return R.key_candidates(_catalog(t))
 
-@query(_SQL + "select table_name, column_name, concat_ws(',', " + ", ".join(f"case when {_like('column_name', M.TAGS[k])}{_MORE.get(k, '')} then '{k}' end" for k in sorted(M.TAGS)) + ") as tags from c")
+
+@query(_SQL + ", " + _KEY_RANK + f" select table_name, column_name, data_type, null_count > 0 as nullable, {_UNIQUE} as is_unique, column_name = primary_key as is_key, case when table_name = 'nation' and column_name = 'name' then (select string_agg(n_name, ',' order by n_nationkey) from nation where n_nationkey < 3) end as samples from c join pk using (table_name)")
+def column_definitions(t):
+    c = _catalog(t)
+    samples = P.column_samples(t.nation.withColumnRenamed("n_name", "name"), ["name"], ["n_nationkey"]).withColumn("table_name", F.lit("nation"))
+    return R.column_definitions(c, _keys(c), samples)
+
+
+@query(_SQL + "select table_name, column_name, case data_type when 'bigint' then 'bigint' when 'int' then 'int' when 'double' then 'double' when 'string' then 'string' else 'timestamp' end as engine_type from c")
+def map_types(t):
+    declared = F.when(F.col("data_type") == "bigint", "LONG").when(F.col("data_type") == "int", "Integer").when(F.col("data_type") == "double", "float").when(F.col("data_type") == "string", "VARCHAR(255)").otherwise("datetime")
+    return _catalog(t).select("table_name", "column_name", C.engine_type_column(declared).alias("engine_type"))
+
+
+_MORE = {"Temporal": f" or {_SIMPLE} = 'time'", "Identifier": f" or ({_UNIQUE}) or coalesce(column_name = primary_key and not generated, false)"}
+_TAGS_CTE = _KEY_RANK + ", t as (select c.table_name, c.column_name, concat_ws(',', " + ", ".join(f"case when {_like('column_name', M.TAGS[k])}{_MORE.get(k, '')} then '{k}' end" for k in sorted(M.TAGS)) + ") as tags from c left join pk using (table_name))"
+
+
+@query(_SQL + ", " + _TAGS_CTE + " select table_name, column_name, tags from t")
 def column_tags(t):
-    return M.column_tags(_catalog(t))
+    c = _catalog(t)
+    return M.column_tags(c, _keys(c))
 
 
-@query(_SQL + f"select table_name, column_name, concat_ws('. ', case when null_count > 0 then format('{{:.1f}}', null_count * 100.0 / total) || '% of values missing' end, case when distinct_count = total and null_count = 0 then 'All values differ' when distinct_count <= 10 then distinct_count::varchar || ' categories' end, case when {_like('column_name', M.KEY_WORDS)} then 'May join other tables' end) as context from c")
+@query(_SQL + ", " + _TAGS_CTE + " select tag, count(*) as columns, (select round(avg((tags <> '')::int) * 100, 2) from t) as coverage from (select unnest(string_split(tags, ',')) as tag from t where tags <> '') group by tag")
+def tag_distribution(t):
+    c = _catalog(t)
+    return M.tag_distribution(M.column_tags(c, _keys(c)))
+
+
+@query(_SQL + ", " + _TAGS_CTE + " select table_name, column_name, array_to_string(list_sort(list_distinct(list_filter(string_split(tags, ',') || ['Reviewed', 'Identifier'], lambda x: x <> ''))), ',') as tags from t")
+def merge_tags(t):
+    c = _catalog(t)
+    given = c.select("table_name", "column_name", F.lit("Reviewed,Identifier").alias("tags"))
+    return M.merged_tags(M.column_tags(c, _keys(c)), given)
+
+
+@query(_SQL + "select table_name, column_name, case when x = '' then 'Standard data field' else x end as context from (select table_name, column_name, concat_ws('. ', case when null_count * 100.0 / total > 50 then 'High null rate - may indicate optional or incomplete data' when null_count = 0 then 'Complete data - no missing values' end, case when distinct_count = 1 then 'Single value across all records' when distinct_count < 10 then 'Limited set of values - likely categorical' end, case when contains(column_name, 'id') then 'Can be used for joining with related tables' end) as x from c)")
 def column_context(t):
     return M.column_context(_catalog(t))
 
 
-@query(_SQL + f"select table_name, column_name, {_SIMPLE} as role, case when {_SIMPLE} = 'numeric' then 'number' when data_type = 'string' then 'string' else 'unknown' end as plain_type from c")
+_PURPOSE = "coalesce(" + ", ".join(f"case when {_like('column_name', words)} then '{text}' end" for words, text in M.PURPOSES) + r", case when column_name like '%\_id' escape '\' then 'Reference to ' || replace(replace(column_name, '_id', ''), '_', ' ') end, " + ", ".join(f"case when list_contains(string_split(tags, ','), '{tag}') then '{text}' end" for tag, text in M.TAG_PURPOSES) + ", 'Data field for ' || replace(column_name, '_', ' '))"
+_DESCRIBED = f", ds as (select c.table_name, c.column_name, concat_ws(' ', case when column_name = primary_key then 'Primary key identifier' when list_contains(string_split(tags, ','), 'Identifier') then 'Unique identifier' else {_PURPOSE} end, case {_SIMPLE} when 'time' then '(timestamp)' when 'numeric' then '(numeric)' else '(text)' end, case when null_count = 0 then '- Required field' end) as description from c join t using (table_name, column_name) join pk using (table_name))"
+
+
+@query(_SQL + ", " + _TAGS_CTE + _DESCRIBED + " select * from ds")
+def column_descriptions(t):
+    c = _catalog(t)
+    return M.column_descriptions(c, _keys(c))
+
+
+@query(_SQL + ", " + _TAGS_CTE + _DESCRIBED + " select table_name, 'Table: ' || table_name || chr(10) || 'Columns:' || chr(10) || string_agg('  - ' || column_name || ' (' || data_type || ') - ' || description, chr(10) order by ordinal) as text from c join ds using (table_name, column_name) group by table_name")
+def schema_text(t):
+    c = _catalog(t)
+    return M.schema_text(c, M.column_descriptions(c, _keys(c)))
+
+
+@query(_SQL + "select table_name, cast(count(*) as bigint) as columns, count(*) filter (where null_count > 0) as nullable, count(*) filter (where null_count = 0) as required, (select string_agg(data_type || ':' || n, ',' order by data_type) from (select data_type, count(*) as n from c x where x.table_name = c.table_name group by data_type)) as types from c group by table_name")
+def schema_summary(t):
+    return M.schema_summary(_catalog(t))
+
+
+@query(_SQL + ", h as (select table_name, contains(table_name, 'part') as in_name, count(*) filter (where contains(column_name, 'part')) as columns_hit from c group by table_name) select * from h where in_name or columns_hit > 0 order by in_name desc, columns_hit desc, table_name limit 10")
+def catalog_search(t):
+    return M.catalog_search(_catalog(t), "Part")
+
+
+@query(_SQL + ", " + _KEY_RANK + " select table_name, primary_key, generated from pk")
+def primary_keys(t):
+    return _keys(_catalog(t))
+
+
+_SCORE = "round(0.4 + case when a.data_type = b.data_type then 0.3 else 0 end + case when " + _like("a.column_name", M.LINK_WORDS) + " then 0.2 else 0 end + case when greatest(a.distinct_count, b.distinct_count) / least(a.distinct_count, b.distinct_count) > 2 then 0.1 else 0 end, 2)::double"
+_KIND = "case when a.distinct_count / b.distinct_count > 2 then 'many_to_one' when a.distinct_count / b.distinct_count < 0.5 then 'one_to_many' when a.distinct_count = a.total and a.null_count = 0 and not (b.distinct_count = b.total and b.null_count = 0) then 'one_to_many' when b.distinct_count = b.total and b.null_count = 0 and not (a.distinct_count = a.total and a.null_count = 0) then 'many_to_one' else 'many_to_many' end"
+_SHARED = f"cc as (select a.table_name as from_table, a.column_name as from_column, b.table_name as to_table, b.column_name as to_column, {_KIND} as relation, {_SCORE} as confidence, 1 as seq from c a join c b on a.column_name = b.column_name and a.table_name <> b.table_name join pk p on p.table_name = a.table_name join pk q on q.table_name = b.table_name where not (p.primary_key = a.column_name and q.primary_key = b.column_name))"
+_VARIED = "va as (select table_name as to_table, primary_key, key_type, unnest(list_distinct(list_filter([table_name, case when table_name like '%s' then table_name[:-2] end, case when length(table_name) > 4 then table_name[:4] end], lambda x: x is not null))) as spelling from pk)"
+_FOREIGN = f"{_VARIED}, fk as (select distinct c.table_name as from_table, c.column_name as from_column, to_table, primary_key as to_column, 'many_to_one' as relation, round(case when contains(column_name, 'id') then 0.4 else 0 end + case when coalesce(key_type = c.data_type, false) then 0.3 else 0 end + case when contains(column_name, to_table) then 0.3 else 0 end, 2)::double as confidence, 0 as seq from c join va on contains(c.column_name, spelling) and c.table_name <> to_table)"
+_FOUND = f", {_KEY_RANK}, {_SHARED}, {_FOREIGN}, found as (select * exclude (seq) from (select * from fk where confidence > 0 union all select * from cc) qualify row_number() over (partition by from_table, to_table, from_column order by confidence desc, seq) = 1 and confidence > 0.3)"
+
+
+@query(_SQL + f", {_KEY_RANK}, {_SHARED} select from_table, to_table, from_column as column_name, to_column, confidence, relation from cc where from_table < to_table")
+def rel_common_columns(t):
+    c = _catalog(t)
+    return R.common_columns(c, _keys(c))
+
+
+@query(_SQL + "select column_name, count(distinct table_name) as tables from c group by column_name having count(distinct table_name) > 1")
+def shared_names(t):
+    return R.shared_names(_catalog(t))
+
+
+@query(_SQL + f", {_KEY_RANK}, {_FOREIGN} select * exclude (seq) from fk where confidence > 0")
+def rel_fk_pattern(t):
+    c = _catalog(t)
+    return M.foreign_keys(c, _keys(c))
+
+
+@query("with p as (select 'lineitem' as from_table, case l_linenumber % 2 when 0 then 'part' else 'supplier' end as to_table, l_returnflag as from_column, round(l_discount * 5, 2) as confidence, l_orderkey * 10 + l_linenumber as seq from lineitem) select from_table, to_table, from_column, confidence, seq from p qualify row_number() over (partition by from_table, to_table, from_column order by confidence desc, seq) = 1 and confidence > 0.3")
+def dedupe_relationships(t):
+    to = F.when(F.col("l_linenumber") % 2 == 0, "part").otherwise("supplier")
+    proposed = t.lineitem.select(F.lit("lineitem").alias("from_table"), to.alias("to_table"), F.col("l_returnflag").alias("from_column"), F.round(F.col("l_discount") * 5, 2).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return M.deduplicated(proposed)
+
+
+@query(_SQL + _FOUND + " select * from found")
+def discover_relationships(t):
+    c = _catalog(t)
+    return M.discovered_relationships(c, _keys(c))
+
+
+@query(_SQL + _FOUND + " select (select count(distinct table_name) from c) as tables, (select count(*) from found) as relationships, (select count(distinct x) from (select from_table as x from found union all select to_table from found)) as related_tables")
+def discovery_metrics(t):
+    c = _catalog(t)
+    return M.discovery_metrics(c, M.discovered_relationships(c, _keys(c)))
+
+
+@query(_SQL + _FOUND + f", {_NAMES_CTE}, {_TYPES_CTE} select table_name, entity, entity_type, primary_key, (select count(*) from c x where x.table_name = pk.table_name) as columns, (select max(total) from c x where x.table_name = pk.table_name) as n_rows, (select count(*) from found where from_table = pk.table_name) as relationships from pk join e using (table_name) join et using (table_name)")
+def discover_job(t):
+    """Profile, name, class, key and relationships of every table, over a catalog that is written once."""
+    c = _catalog(t)
+    keys, links = _keys(c), M.discovered_relationships(c, _keys(c)).groupBy(F.col("from_table").alias("table_name")).agg(F.count("*").alias("relationships"))
+    sizes = c.groupBy("table_name").agg(F.count("*").alias("columns"), F.max("total").alias("n_rows"))
+    out = keys.join(M.entity_names(c), "table_name").join(M.entity_types(c), "table_name").join(sizes, "table_name").join(links, "table_name", "left")
+    return out.select("table_name", "entity", "entity_type", "primary_key", "columns", "n_rows", F.coalesce("relationships", F.lit(0)).alias("relationships"))
+
+
+@query(_SQL + _FOUND + " select from_table, from_column, to_table, to_column, case relation when 'many_to_one' then 'Each ' || from_table || ' belongs to one ' || to_table || ' (via ' || from_column || ')' when 'one_to_many' then 'Each ' || to_table || ' can have multiple ' || from_table || ' records' else 'Relationship between ' || from_table || ' and ' || to_table end as description from found")
+def rel_descriptions(t):
+    c = _catalog(t)
+    return M.relationship_descriptions(M.discovered_relationships(c, _keys(c)))
+
+
+@query(_SQL + _FOUND + ", asked as (select a.table_name as a, b.table_name as b from pk a join pk b on a.table_name <= b.table_name) select a, b, exists (select 1 from found where (from_table = a and to_table = b) or (from_table = b and to_table = a)) as exists from asked")
+def related_tables(t):
+    c = _catalog(t)
+    names = c.select("table_name").distinct()
+    asked = names.select(F.col("table_name").alias("a")).join(names.select(F.col("table_name").alias("b")), F.expr("a <= b"))
+    return M.related(M.discovered_relationships(c, _keys(c)), asked)
+
+
+@query("select n_nationkey as document_id, 'relationship 0' as place, case when n_nationkey % 3 = 1 then 'invalid type ' || n_name else 'unknown to entity ' || n_name end as violation from nation where n_nationkey % 3 > 0 union all select n_nationkey, 'entities', 'at least one entity is required' from nation where n_nationkey % 5 = 4 union all select n_nationkey, 'relationship 0', 'unknown from entity a' from nation where n_nationkey % 5 = 4 union all select n_nationkey, 'relationship 0', 'unknown to entity b' from nation where n_nationkey % 5 = 4 and n_nationkey % 3 <> 2 union all select n_nationkey, 'entity 0 column 0', 'no data_type' from nation where n_nationkey % 5 = 3 union all select n_nationkey, 'tag x', 'no list' from nation where n_nationkey % 5 = 2")
+def schema_doc_violations(t):
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    kind = F.when(k % 5 == 3, "").otherwise("int")
+    column = F.when(kind == "", '{"name": "id"}').otherwise('{"name": "id", "data_type": "int"}')
+    entities = F.when(k % 5 == 4, "[]").otherwise(F.concat(F.lit('[{"name": "a", "column_details": ['), column, F.lit(']}, {"name": "b"}]')))
+    link = F.concat(F.lit('{"from": "a", "to": "'), F.when(k % 3 == 2, name).otherwise("b"), F.lit('", "foreign_key": "b_id", "references": "id", "type": "'), F.when(k % 3 == 1, name).otherwise("many_to_one"), F.lit('"}'))
+    tags = F.when(k % 5 == 2, '"x"').otherwise('["x"]')
+    document = F.concat(F.lit('{"entities": '), entities, F.lit(', "relationships": ['), link, F.lit('], "businessTags": {"x": '), tags, F.lit("}}"))
+    return M.schema_violations(t.nation.select(k.alias("document_id"), document.alias("document")))
+
+
+@query("select n_nationkey, n_name as from_entity, 'k' || n_regionkey as from_column, case when n_nationkey % 2 = 0 then 'region' else '' end as to_entity, '' as to_column, case when n_nationkey % 3 = 0 then 'many-to-one' else 'one-to-many' end as relationship_type, '' as description from nation")
+def normalize_relationships(t):
+    k = F.col("n_nationkey")
+    document = F.concat(
+        F.when(k % 2 == 0, F.concat(F.lit('{"from_entity": "", "fromEntity": "'), "n_name", F.lit('", "to": "region"'))).otherwise(F.concat(F.lit('{"from": "'), "n_name", F.lit('"'))),
+        F.lit(', "foreign_key": "k'), F.col("n_regionkey").cast("string"), F.lit('"'), F.when(k % 3 == 0, ', "type": "many-to-one"}').otherwise("}"),
+    )
+    return t.nation.select(k, document.alias("document")).select("n_nationkey", *(c.alias(n) for n, c in C.relation_fields(F.col("document")).items()))
+
+
+@query(_SQL + f"select table_name, column_name, case when column_name = 'props' and table_name = 'events' then 'time' else {_SIMPLE} end as role, case when {_SIMPLE} = 'numeric' then 'number' when data_type = 'string' then 'string' else 'unknown' end as plain_type from c")
 def column_roles(t):
-    return M.column_roles(_catalog(t))
+    # a text column whose first value is a date is a time: here the events' props, with their day in place of them
+    first = t.events.agg(F.min(F.date_format("ts", "yyyy-MM-dd")).alias("value")).select(F.lit("events").alias("table_name"), F.lit("props").alias("column_name"), "value")
+    return M.column_roles(_catalog(t), first)
 
 
 @query(_SQL + ", o as (select * from c where table_name <> 'part'), n as (select table_name, column_name, case when table_name = 'supplier' and column_name = 'nationkey' then 'bigint' else data_type end as data_type from c where table_name <> 'orders') select coalesce(o.table_name, n.table_name) as table_name, case when count(o.table_name) = 0 then 'create' when count(n.table_name) = 0 then 'remove' when count(*) filter (where o.data_type = n.data_type) = count(*) then 'unchanged' else 'update' end as action from o full join n on o.table_name = n.table_name and o.column_name = n.column_name group by 1")
@@ -83,9 +259,9 @@ def schema_compatibility(t):
 _PAIRS = ", p as (select a.table_name as from_table, a.column_name as from_column, b.table_name as to_table, b.column_name as to_column, 0.3 + 0.1 * (a.data_type = b.data_type)::int + 0.2 * contains(a.column_name, 'key')::int as confidence from c a join c b on a.column_name = b.column_name and a.table_name < b.table_name)"
 
 
-def _proposals(t: Tables) -> DataFrame:
+def _proposals(c: DataFrame) -> DataFrame:
     """Equally named columns, and for each a proposal that names no column."""
-    a, b = _catalog(t).alias("a"), _catalog(t).alias("b")
+    a, b = c.alias("a"), c.alias("b")
     score = F.lit(0.3) + 0.1 * F.expr("a.data_type = b.data_type").cast("int") + 0.2 * F.expr("contains(a.column_name, 'key')").cast("int")
     right = a.join(b, F.expr("a.column_name = b.column_name and a.table_name < b.table_name")).select(F.col("a.table_name").alias("from_table"), F.col("a.column_name").alias("from_column"), F.col("b.table_name").alias("to_table"), F.col("b.column_name").alias("to_column"), score.alias("confidence"))
     return right.unionByName(right.withColumn("to_column", F.concat("to_column", F.lit("_old"))))
@@ -93,12 +269,14 @@ def _proposals(t: Tables) -> DataFrame:
 
 @query(_SQL + _PAIRS + " select from_table, from_column, to_table, to_column, round(greatest(confidence, 0.4), 2)::double as confidence from p")
 def validate_proposals(t):
-    return M.valid_relationships(_proposals(t), _catalog(t)).withColumn("confidence", F.round("confidence", 2))
+    c = _catalog(t)
+    return M.valid_relationships(_proposals(c), c).withColumn("confidence", F.round("confidence", 2))
 
 
 @query(_SQL + _PAIRS + " select from_table, from_column, to_table, to_column from p where from_table = 'orders' or to_table = 'orders'")
 def relationships_of(t):
-    return M.relationships_of(M.valid_relationships(_proposals(t), _catalog(t)), "orders").drop("confidence")
+    c = _catalog(t)
+    return M.relationships_of(M.valid_relationships(_proposals(c), c), "orders").drop("confidence")
 
 
 # ---- shapes for charts: each is an aggregate of the whole table, then the pairs or arrays of its few rows
@@ -106,7 +284,7 @@ def relationships_of(t):
 
 @query("select concat_ws(' ', o_orderstatus, o_orderpriority) as name, count(*) as value from orders group by 1")
 def pie_pairs(t):
-    return t.orders.groupBy(F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("name")).agg(F.count("*").alias("value"))
+    return t.orders.groupBy(O.category_label(["o_orderstatus", "o_orderpriority"]).alias("name")).agg(F.count("*").alias("value"))
 
 
 @query("select p_brand, round(avg(p_retailprice), 2) as x, round(max(p_retailprice), 2) as y from part group by p_brand")
@@ -117,17 +295,16 @@ def scatter_pairs(t):
 @query("with r as (select year(o_orderdate) as y, count(*) as orders, count(distinct o_custkey) as customers from orders group by 1) select 'orders' as series, string_agg(orders::varchar, ',' order by y) as points from r union all select 'customers', string_agg(customers::varchar, ',' order by y) from r")
 def chart_series(t):
     by_year = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"))
-    long = by_year.unpivot("y", ["orders", "customers"], "series", "value")
-    points = F.transform(F.array_sort(F.collect_list(F.struct("y", "value"))), lambda p: p["value"].cast("string"))
-    return long.groupBy("series").agg(F.array_join(points, ",").alias("points"))
+    return O.series(by_year, "y", ["orders", "customers"])
 
 
 _ROLES = f", r as (select table_name as result, max(total) as n_rows, count(*) as n_columns, count(*) filter (where {_SIMPLE} = 'numeric') as n_numeric, count(*) filter (where {_SIMPLE} = 'categorical') as n_categorical, count(*) filter (where {_SIMPLE} = 'time') as n_time from c group by table_name)"
 
 
-@query(_SQL + _ROLES + " select result, case when n_time > 0 and n_numeric > 0 then 'line' when result = 'customer' then 'pie' when n_categorical = 1 and n_numeric > 0 then 'bar' when n_columns > 5 or n_rows > 100 then 'table' else 'bar' end as chart, cast(case when n_time > 0 and n_numeric > 0 then 0.9 when result = 'customer' then 0.85 when n_categorical = 1 and n_numeric > 0 then 0.85 when n_columns > 5 or n_rows > 100 then 0.7 else 0.6 end as double) as confidence, case when result = 'customer' then 8 when n_rows <= 5 then 8 when n_rows <= 12 then 12 when n_rows <= 30 then 16 else 24 end as width from r")
+@query(_SQL + _ROLES + ", w as (select result, n_rows, case when n_time > 0 and n_numeric > 0 then 'line' when result = 'customer' then 'pie' when n_categorical = 1 and n_numeric > 0 then 'bar' when n_categorical = 0 and n_numeric > 1 then 'scatter' when n_columns > 5 or n_rows > 100 then 'table' else 'bar' end as chart, cast(case when n_time > 0 and n_numeric > 0 then 0.9 when result = 'customer' then 0.85 when n_categorical = 1 and n_numeric > 0 then 0.85 when n_categorical = 0 and n_numeric > 1 then 0.8 when n_columns > 5 or n_rows > 100 then 0.7 else 0.6 end as double) as confidence from r) select result, chart, confidence, case when chart = 'pie' then 8 when chart = 'table' then case when n_rows <= 10 then 12 when n_rows <= 50 then 16 else 24 end when n_rows <= 5 then 8 when n_rows <= 12 then 12 when n_rows <= 30 then 16 else 24 end as width from w")
 def chart_advice(t):
-    roles = M.column_roles(_catalog(t)).join(_catalog(t).select("table_name", "column_name", "total"), ["table_name", "column_name"])
+    c = _catalog(t)
+    roles = M.column_roles(c).join(c.select("table_name", "column_name", "total"), ["table_name", "column_name"])
     results = roles.groupBy(F.col("table_name").alias("result")).agg(F.max("total").alias("n_rows"), F.count("*").alias("n_columns"), *(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("numeric", "categorical", "time")))
     return H.chart_advice(results.withColumns({"hint": F.when(F.col("result") == "customer", "pie"), "wanted": F.lit(None).cast("string")}))
 
@@ -145,49 +322,67 @@ def nearest_columns(t):
     return M.nearest_columns(c.select("table_name", F.expr("substring(column_name, 2)").alias("word")), c)
 
 
-@query("select event_id as query_id, event_type not in ('error') as read_only, case when event_type = 'click' then 'clicks' else '' end as unknown_tables from events")
+@query("select event_id as query_id, user_id % 4 <> 0 as read_only, case when event_type in ('click', 'view') then event_type || 's' else '' end as unknown_tables, case when user_id % 4 <> 0 and event_id % 2 = 0 then 'k' || event_id % 10 else '' end as not_selected from events")
 def query_log_audit(t):
-    kind = F.col("event_type")
-    text = F.when(kind == "error", "DELETE FROM events").when(kind == "click", "select a.* from clicks a join Orders on true").otherwise("with e as (select * from events) select * from e")
-    known = t.spark.range(1).select(F.explode(F.array(*map(F.lit, TABLES))).alias("table_name"))
+    # a log of texts that differ by the event's values: deletes, reads of tables that are and aren't there, in one to three parts
+    table = F.when(F.col("event_type").isin("click", "view"), F.concat("event_type", F.lit("s"))).when(F.col("event_id") % 3 == 0, "default.Events").otherwise("spark_catalog.default.orders")
+    key = F.concat(F.lit("k"), (F.col("event_id") % 10).cast("string"))
+    grouped = F.format_string("select 'delete' as x, %s, count(*) as n from %s w group by w.%s order by 1", F.when(F.col("event_id") % 2 == 0, "y").otherwise(key), table, key)
+    text = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("DELETE FROM "), table)).otherwise(grouped)
+    known = t.spark.createDataFrame([(x,) for x in TABLES], "table_name string")
     return M.audit_queries(t.events.select(F.col("event_id").alias("query_id"), text.alias("sql")), known)
 
 
+def _archive(t: Tables) -> DataFrame:
+    folder = F.concat_ws("_", "user_id", "event_type")
+    return t.events.select("event_id", "user_id", "event_type", "ts", folder.alias("folder"), F.concat_ws("/", F.lit("archived_jobs"), folder, F.concat("event_id", F.lit(".csv"))).alias("path"), (F.col("event_id") % 1000).alias("size"))
+
+
 @query("select count(*) as files, cast(sum(event_id % 1000) as bigint) as bytes, count(distinct user_id) as jobs, count(distinct user_id || '_' || event_type) as runs from events")
 def archive_stats(t):
-    path = F.concat_ws("/", F.lit("archived_jobs"), F.concat_ws("_", "user_id", "event_type"), F.concat("event_id", F.lit(".csv")))
-    folder = F.split_part(path, F.lit("/"), F.lit(2))
-    files = t.events.select(folder.alias("run"), F.split_part(folder, F.lit("_"), F.lit(1)).alias("job"), (F.col("event_id") % 1000).alias("size"))
-    return files.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_distinct("job").alias("jobs"), F.count_distinct("run").alias("runs"))
+    return O.archive_statistics(_archive(t), "path", "size")
+
+
+@query("with r as (select user_id, event_type, max(ts) as seen from events group by 1, 2) select user_id::varchar as job, string_agg(event_type, ',' order by seen, event_type) as runs, count(*) as total_runs from r group by user_id")
+def archived_jobs(t):
+    return O.archived_jobs(_archive(t), "folder", "ts").withColumn("runs", F.array_join("runs", ","))
+
+
+@query("select user_id, event_type, 'jobs/' || user_id || '/in/' || event_id || '.csv' as path, 'archived_jobs/' || user_id || '_' || event_type || '/in/' || event_id || '.csv' as archive_path from events")
+def archive_manifest(t):
+    path = F.concat(F.lit("jobs/"), F.col("user_id").cast("string"), F.lit("/in/"), F.col("event_id").cast("string"), F.lit(".csv"))
+    return O.archive_manifest(t.events.select("user_id", "event_type", path.alias("path")), "user_id", "event_type", "path")
 
 
 @query("select user_id as job, event_type as run, count(*) as records, max(ts) as latest from events group by 1, 2")
 def stored_jobs(t):
-    return t.events.groupBy(F.col("user_id").alias("job"), F.col("event_type").alias("run")).agg(F.count("*").alias("records"), F.max("ts").alias("latest")).orderBy(F.desc("latest"), "job", "run")
+    return O.stored_jobs(t.events, "user_id", "event_type", "ts")
 
 
-@query(_SQL + _PAIRS + " select 'entities' as kind, count(distinct table_name) as records from c union all select 'columns', count(*) from c union all select 'relationships', count(*) from p")
+@query(_SQL + _PAIRS + " select 'entities' as kind, count(distinct table_name) as records from c union all select 'columns', count(*) from c union all select 'relationships', count(*) from p union all select 'lineage', count(distinct table_name) from c")
 def metadata_snapshot(t):
-    c, path = _catalog(t), scratch(t.spark, "snapshot")
-    parts = {"entities": M.entity_names(c), "columns": c, "relationships": M.valid_relationships(_proposals(t), c)}
-    for kind, df in parts.items():
-        df.withColumn("run", F.lit("run_1")).write.mode("append").partitionBy("run").parquet(f"{path}/{kind}")
-    counts = [t.spark.read.parquet(f"{path}/{kind}").agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), "records") for kind in parts]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    c = _catalog(t)
+    lineage = c.select(F.col("table_name").alias("entity"), F.concat(F.lit(f"{t.dir}/"), "table_name", F.lit(".parquet")).alias("source")).distinct()
+    parts = {"entities": M.entity_names(c), "columns": c, "relationships": M.valid_relationships(_proposals(c), c), "lineage": lineage}
+    return M.write_snapshot(parts, scratch(t.spark, "snapshot"), "job_1", "run_1")
 
 
 @query(_SQL + _PAIRS + ", q as (select p.*, a.distinct_count / greatest(b.distinct_count, 1) as ratio, a.distinct_count = a.total and a.null_count = 0 as nu, b.distinct_count = b.total and b.null_count = 0 as mu from p join c a on a.table_name = from_table and a.column_name = from_column join c b on b.table_name = to_table and b.column_name = to_column) select from_table, from_column, to_table, to_column, case when ratio > 2 then 'many_to_one' when ratio < 0.5 then 'one_to_many' when nu and mu then 'one_to_one' when mu then 'many_to_one' when nu then 'one_to_many' else 'many_to_many' end as relation from q")
 def rel_types(t):
     c = _catalog(t)
-    return M.relation_types(M.valid_relationships(_proposals(t), c), c)
+    return M.relation_types(M.valid_relationships(_proposals(c), c), c)
+
+
+_ENTITY_TEXT = " ".join(f"when contains(lower(entity), '{k}') then '{text}'" for k, text in M.ENTITY_TEXTS.items())
 
 
-@query(_SQL + ", s as (select table_name, count(*) as n, max(total) as r, count(*) filter (where distinct_count = total and null_count = 0) as k from c group by table_name) select table_name, case when table_name = 'orders' then 'Fact of Order' when table_name = 'customer' then 'Dimension of Customer' when table_name = 'supplier' then 'Dimension of Vendor' else 'Dimension of Category' end || ' with ' || n || ' columns, ' || r || ' rows and ' || k || ' unique columns' as description from s")
+@query(_SQL + f", {_NAMES_CTE}, {_TYPES_CTE} select table_name, case {_ENTITY_TEXT} when entity_type = 'fact' then 'Fact table containing transactional data related to ' || entity else 'Dimension table containing descriptive information about ' || entity end as description from e join et using (table_name)")
 def entity_descriptions(t):
     return M.entity_descriptions(_catalog(t))
 
 
-@query("select 'all_parts' as query_name, 'success' as status, least(count(*), 1000) as n_rows from part union all select 'by_brand', 'success', count(distinct p_brand) from part union all select 'broken', 'error', 0 union all select 'unsafe', 'error', 0")
+@query("select 'all_parts' as query_name, 'success' as status, least(count(*), 1000) as n_rows, true as timed, false as has_error from part union all select 'by_brand', 'success', count(distinct p_brand), true, false from part union all select 'literal', 'success', least(count(*), 1000), true, false from part union all select 'broken', 'error', 0, true, true union all select 'unsafe', 'error', 0, true, true")
 def refresh_saved_queries(t):
-    saved = {"all_parts": "select * from {part}", "broken": "select no_such_column from {part}", "unsafe": "drop table part", "by_brand": "select p_brand, count(*) as n from {part} group by p_brand"}
-    return I.refresh_saved(t.spark, saved, {"part": t.part})
+    saved = {"all_parts": "select * from {part}", "broken": "select no_such_column from {part}", "unsafe": "drop table part", "by_brand": "select p_brand, count(*) as n from {part} group by p_brand", "literal": "select 'delete me; update' as note, p_partkey from {part}"}
+    log = I.refresh_saved(t.spark, saved, {"part": t.part})
+    return log.select("query_name", "status", "n_rows", (F.col("seconds") >= 0).alias("timed"), F.col("error").isNotNull().alias("has_error"))

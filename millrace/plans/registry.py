@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import clean as K
 from millrace.operators import profile as P
 from millrace.operators import relate as R
+from millrace.operators import reports as O
 from millrace.plans import intent as I
+from millrace.plans.schemas import COLUMNS
 from millrace.sources import files as S
 from millrace.sources import sinks as W
 from millrace.sources.scratch import scratch
@@ -65,7 +67,7 @@ def scan_json(t):
 
 @query("select c_custkey, c_name from customer order by c_custkey limit 5")
 def read_sample(t):
-    return t.customer.orderBy("c_custkey").limit(5).select("c_custkey", "c_name")
+    return S.read_sample(t.customer.orderBy("c_custkey"), 5).select("c_custkey", "c_name")
 
 
 @query("select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(l_quantity as bigint) as l_quantity, l_shipdate::date as l_shipdate, cast(null as varchar) as l_note from lineitem")
@@ -76,7 +78,7 @@ def load_with_schema(t):
 
 @query("select doc_id, md5(text) as md5, sha256(text) as sha256, sha1(text) as sha1 from documents")
 def checksum(t):
-    return t.documents.select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"))
+    return t.documents.select("doc_id", *S.checksums(F.col("text")))
 
 
 @query("select event_id, coalesce(json_valid(props), false) as is_json from events")
@@ -84,25 +86,147 @@ def json_validity(t):
     return t.events.select("event_id", F.coalesce(S.valid_json(F.col("props")), F.lit(False)).alias("is_json"))
 
 
-@query("with f as (select p_partkey, case p_partkey % 3 when 0 then 'csv' when 1 then 'txt' else 'json' end as ext, p_partkey * 1000000 % 120000000 as n from part) select p_partkey, ext <> 'txt' and n >= 1 and n <= 104857600 as valid, concat_ws(',', case when ext = 'txt' then 'unsupported extension' end, case when n < 1 then 'too small' end, case when n > 104857600 then 'too large' end) as errors, case when n > 52428800 and n <= 104857600 then 'large file' else '' end as warnings from f")
+_CHECKED = (
+    "with f as (select p_partkey, case p_partkey % 3 when 0 then 'csv' when 1 then 'txt' else 'json' end as ext, p_partkey * 1000000 % 120000000 as n, p_partkey % 7 = 0 as odd, p_partkey % 11 = 0 as late, p_partkey % 13 = 0 as folder, p_partkey % 17 as cols from part)"
+    " select p_partkey, ext <> 'txt' and n >= 1 and n <= 104857600 and not folder and cols > 0 as valid, concat_ws(',', case when ext = 'txt' then 'unsupported extension' end, case when n < 1 then 'too small' end, case when n > 104857600 then 'too large' end, case when folder then 'a directory' end, case when cols = 0 then 'no readable columns' end) as errors,"
+    " concat_ws(',', case when n > 52428800 and n <= 104857600 then 'large file' end, case when odd then 'odd characters' end, case when late then 'modified in the future' end) as warnings from f"
+)
+
+
+def _file_table(t):
+    """An inventory with a file for each part, of all kinds."""
+    k = F.col("p_partkey")
+    ext = F.element_at(F.array(F.lit("csv"), F.lit("txt"), F.lit("json")), (k % 3 + 1).cast("int"))
+    name = F.concat(F.when(k % 7 == 0, "f?.").otherwise("f."), ext)
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return t.part.select("p_partkey", name.alias("file_name"), ext.alias("extension"), (k * 1_000_000 % 120_000_000).alias("length"), F.when(k % 11 == 0, day + F.expr("interval 1 day")).otherwise(day).alias("last_modified"), (k % 13 == 0).alias("is_directory"), (k % 17).alias("readable_columns"))
+
+
+@query(_CHECKED)
 def file_checks(t):
-    files = t.part.select("p_partkey", F.concat(F.lit("f."), F.element_at(F.array(F.lit("csv"), F.lit("txt"), F.lit("json")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("file_name"), (F.col("p_partkey") * 1_000_000 % 120_000_000).alias("length"))
-    checked = S.file_checks(files)
+    checked = S.file_checks(_file_table(t), F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
     return checked.select("p_partkey", "valid", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"))
 
 
+@query("with f as (select 'f' || case when p_partkey % 7 = 0 then '?' else '' end || '.' || case p_partkey % 3 when 0 then 'csv' when 1 then 'txt' else 'json' end as name, p_partkey, p_partkey * 1000000 % 120000000 as n, p_partkey % 3 <> 1 as ok from part), g as (select *, name || p_partkey as file_name from f) select count(*) as files, cast(sum(n) as bigint) as bytes, count(*) filter (ok) as supported, count(*) filter (not ok) as unsupported, (select file_name from g order by n desc, file_name limit 1) as largest, (select file_name from g order by n, file_name limit 1) as smallest from g")
+def file_stats(t):
+    files = _file_table(t).withColumn("file_name", F.concat("file_name", F.col("p_partkey").cast("string"))).withColumn("supported", F.col("extension").isin(*S.FORMATS))
+    return O.file_statistics(files)
+
+
+@query("select distinct 'jobs/' || p_partkey || '/f.csv' as path, p_partkey * 10 as length from part where p_partkey % 3 = 0 and p_partkey % 4 <> 0")
+def inventory_accessible(t):
+    path = F.concat(F.lit("jobs/"), F.col("p_partkey").cast("string"), F.lit("/f.csv")).alias("path")
+    there = t.part.where("p_partkey % 4 <> 1").select(path, F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey") * 10).alias("length"))
+    wanted = t.part.where("p_partkey % 3 = 0").select(path)
+    # what is wanted and gone is told by the plain anti join of the same columns
+    return S.accessible(wanted.unionByName(wanted), there.unionByName(t.part.where("p_partkey % 4 = 1").select(path, (F.col("p_partkey") * 10).alias("length"))))
+
+
+def _job_folder(t) -> str:
+    """Files of two jobs below one folder: JSON and CSV of the nations, one for each region, and a text file."""
+    root = scratch(t.spark, "store")
+    for job, regions in (("a", "n_regionkey % 2 = 0"), ("b", "n_regionkey % 2 = 1")):
+        t.nation.where(regions).coalesce(1).write.json(f"{root}/jobs/{job}/json")
+        t.nation.where(regions).coalesce(1).write.option("header", True).csv(f"{root}/jobs/{job}/csv")
+        t.nation.select("n_name").coalesce(1).write.text(f"{root}/jobs/{job}/text")
+    return root
+
+
+@query("select x as extension, 1 as files from (values ('csv'), ('json')) v(x)")
+def file_inventory(t):
+    files = S.job_files(S.inventory(t.spark, _job_folder(t)), "a").where("length > 0")
+    return files.groupBy("extension").agg(F.count("*").cast("int").alias("files"))
+
+
+@query(" union all ".join(f"select {i} as ordinal, '{c}' as column_name, '{k}' as data_type" for i, (c, k) in enumerate(COLUMNS["orders"].items())))
+def schema_probe(t):
+    return S.schema_probe(t.orders).drop("nullable")
+
+
+@query("select count(*) as rows, 3 as columns, 'int,string,int' as types from nation group by n_regionkey")
+def file_statistics(t):
+    path = scratch(t.spark, "files")
+    t.nation.repartition(8, "n_regionkey").write.partitionBy("n_regionkey").parquet(path)
+    stats = S.file_statistics(t.spark.read.schema("n_nationkey int, n_name string, n_regionkey int").option("recursiveFileLookup", True).parquet(path).withColumn("n_regionkey", F.col("n_nationkey")))
+    return stats.select("rows", "columns", "types")
+
+
+@query("select o_orderpriority as kind, count(*) as rows, count(*) filter (o_orderkey % 10 = 0) as ragged, count(*) = 0 as empty, false as header_only from orders group by 1")
+def csv_ragged_rows(t):
+    # one file for each priority: a header of three fields, and rows of three or, for every tenth order, four
+    path = scratch(t.spark, "ragged")
+    line = F.concat_ws(",", "o_orderkey", F.concat(F.lit('"'), "o_orderpriority", F.lit(',"')), "o_totalprice", F.when(F.col("o_orderkey") % 10 == 0, "x"))
+    lines = t.orders.select("o_orderpriority", line.alias("value"), F.lit(1).alias("at")).unionByName(t.orders.select("o_orderpriority").distinct().select("o_orderpriority", F.lit("a,b,c").alias("value"), F.lit(0).alias("at")))
+    lines.repartition(8, "o_orderpriority").sortWithinPartitions("o_orderpriority", "at").select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(path)
+    kinds = [r[0] for r in t.orders.select("o_orderpriority").distinct().collect()]  # a handful of file kinds
+    shapes = [S.csv_shapes(t.spark, f"{path}/o_orderpriority={k}").select(F.lit(k).alias("kind"), "rows", "ragged", "empty", "header_only") for k in kinds]
+    return K.union_by_name(shapes)
+
+
 @query("select p_partkey, round((p_partkey * 1000000) / (5 * 1024 * 1024 * case p_partkey % 3 when 0 then 0.8 when 1 then 1.0 else 2.0 end), 3) as seconds from part")
 def ingest_estimate(t):
     ext = F.element_at(F.array(F.lit("csv"), F.lit("json"), F.lit("parquet")), (F.col("p_partkey") % 3 + 1).cast("int"))
     return t.part.select("p_partkey", F.round(S.ingest_seconds(F.col("p_partkey") * 1_000_000, ext), 3).alias("seconds"))
 
 
+def _new_table(t, label: str) -> tuple[str, str]:
+    """A new table name and its place."""
+    path = scratch(t.spark, label)
+    return path.rsplit("/", 1)[1].replace("-", "_"), path
+
+
 @query("select * from supplier union all select * from supplier where s_suppkey % 2 = 0")
 def write_append(t):
-    path = scratch(t.spark, "append")
-    t.supplier.write.parquet(path)
-    t.supplier.where("s_suppkey % 2 = 0").write.mode("append").parquet(path)
-    return t.spark.read.schema(t.supplier.schema).parquet(path)
+    name, path = _new_table(t, "append")
+    W.append_or_create(t.supplier, name, t.supplier.schema, path)
+    W.append(t.supplier.where("s_suppkey % 2 = 0"), name)
+    W.append(t.supplier.where("false"), name)
+    return t.spark.table(name)
+
+
+@query("select *, 'merge is written as append' as warning from supplier union all select *, 'merge is written as append' from supplier where s_suppkey % 3 = 0")
+def write_merge_mode(t):
+    name, path = _new_table(t, "merge")
+    W.append_or_create(t.supplier, name, t.supplier.schema, path)
+    _, warning = W.merge(t.supplier.where("s_suppkey % 3 = 0"), name)
+    return t.spark.table(name).withColumn("warning", F.lit(warning))
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = 1")
+def scan_table(t):
+    name, path = _new_table(t, "nations")
+    W.append_or_create(t.nation, name, t.nation.schema, path)
+    return t.spark.table(name).where("n_regionkey = 1").select("n_nationkey", "n_name")
+
+
+@query("select 'orders' as table_name, true as success, count(*) as records, false as has_error from orders union all select 'supplier', true, count(*), false from supplier union all select 'missing', false, 0, true")
+def write_batch(t):
+    made = {x: _new_table(t, f"batch_{x}") for x in ("orders", "supplier")}
+    for x, (name, path) in made.items():
+        W.create_if_absent(t.spark, name, getattr(t, x).schema, path)
+    log = W.write_batch({made["orders"][0]: t.orders, "no_such_table": t.nation, made["supplier"][0]: t.supplier})
+    names = F.create_map(*(F.lit(v) for x, (name, _) in made.items() for v in (name, x)))
+    return log.select(F.coalesce(F.try_element_at(names, F.col("table_name")), F.lit("missing")).alias("table_name"), "success", "records", F.col("error").isNotNull().alias("has_error"))
+
+
+@query("select s_suppkey, s_name, true as created, false as again from supplier")
+def create_on_write(t):
+    name, path = _new_table(t, "created")
+    schema = t.supplier.select("s_suppkey", "s_name").schema
+    created, again = W.create_if_absent(t.spark, name, schema, path), W.create_if_absent(t.spark, name, schema, path)
+    W.append(t.supplier, name)
+    return t.spark.table(name).select("*", F.lit(created).alias("created"), F.lit(again).alias("again"))
+
+
+@query("select 'supplier' as name, 4 as fields, count(*) as rows, true as placed from supplier union all select 'orders', 6, count(*), true from orders")
+def table_statistics(t):
+    made = {x: _new_table(t, f"stats_{x}") for x in ("supplier", "orders")}
+    for x, (name, path) in made.items():
+        W.append_or_create(getattr(t, x), name, getattr(t, x).schema, path)
+    stats = W.table_statistics(t.spark, [name for name, _ in made.values()])
+    names = F.create_map(*(F.lit(v) for x, (name, _) in made.items() for v in (name, x)))
+    return stats.select(names[F.col("table_name")].alias("name"), "fields", "rows", (F.length("location") > 0).alias("placed"))
 
 
 @query("select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus <> 'F' union all select o_orderkey, o_totalprice + 1, o_orderstatus from orders where o_orderstatus = 'F'")
@@ -120,9 +244,10 @@ def write_partitioned(t):
     return t.spark.read.schema(df.schema).parquet(path).where("l_returnflag = 'R'")
 
 
-@query("select c_custkey, c_name from customer")
+@query("select c_custkey, c_name, 'c_missing' as missing, 'c_nationkey,c_acctbal,c_mktsegment' as dropped from customer")
 def write_validated(t):
-    return W.validated(t.customer, ["c_custkey", "c_name", "c_missing"])[0]
+    kept_columns, missing, dropped = W.validated(t.customer, ["c_custkey", "c_name", "c_missing"])
+    return kept_columns.withColumns({"missing": F.lit(",".join(missing)), "dropped": F.lit(",".join(dropped))})
 
 
 @query("select count(*) as expected, count(*) filter (o_orderkey % 50 <> 0) as written, abs(count(*) filter (o_orderkey % 50 <> 0) - count(*)) <= 0.05 * count(*) as valid from orders")
@@ -135,6 +260,26 @@ def profile_tables(t):
     return P.profile_tables({x: getattr(t, x) for x in TABLES})
 
 
+@query(f"with x as ({ORACLE_SQL['profile_tables']}) select * from x union all select 'total', cast(sum(row_count) as bigint), cast(sum(column_count) as integer) from x")
+def profile_job(t):
+    return P.total_profile(P.profile_tables({x: getattr(t, x) for x in TABLES}))
+
+
+@query("with w as (select l_returnflag as table_name, l_linenumber <> 3 as ok, l_quantity as n, l_tax as s from lineitem) select count(*) as writes, count(*) filter (ok) as succeeded, count(*) filter (not ok) as failed, round(count(*) filter (ok) * 100.0 / count(*), 2)::double as rate, cast(sum(n) filter (ok) as bigint) as records, round(sum(s), 4) as seconds, round(sum(s) / count(*), 4) as mean_seconds, round(cast(sum(n) filter (ok) as bigint) / sum(s), 2) as per_second from w")
+def write_stats(t):
+    return O.write_statistics(_writes(t))
+
+
+def _writes(t):
+    ok = F.col("l_linenumber") != 3
+    return t.lineitem.select(F.col("l_returnflag").alias("table_name"), ok.alias("success"), F.col("l_quantity").cast("long").alias("records"), F.col("l_tax").alias("seconds"), F.when(~ok, F.concat(F.lit("error "), "l_linestatus")).alias("error"))
+
+
+@query("select 'error ' || l_linestatus as error, count(*) as failures, count(distinct l_returnflag) as tables from lineitem where l_linenumber = 3 group by 1")
+def write_errors(t):
+    return O.write_errors(_writes(t))
+
+
 # ---- scalar functions
 
 _COLS = {
@@ -149,9 +294,10 @@ _COLS = {
     "nan_to_null": ("lineitem", ["l_orderkey", "l_linenumber"], {"v": (lambda: C.nan_to_null(F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_tax"))), "case when l_linenumber = 1 then null else l_tax end")}),
     "normalize_name": ("part", ["p_partkey"], {"v": (lambda: C.normalised_name(F.concat(F.lit(" "), "p_name", F.lit("-#1.csv"))), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(' ' || p_name || '-#1.csv')), '\\.(csv|xlsx|xls|parquet|json)$', ''), '[\\s.-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')")}),
     "clean_table_name": ("part", ["p_partkey"], {"v": (lambda: C.table_name(F.concat((F.col("p_partkey") % 2).cast("string"), F.lit(" "), "p_brand")), "'tbl_' || regexp_replace(replace(lower((p_partkey % 2) || ' ' || p_brand), ' ', '_'), '[^a-z0-9_]', '', 'g')")}),
-    "pretty_label": ("customer", ["c_custkey"], {"v": (lambda: C.pretty(F.lit("total_sales")), "'Total Sales'")}),
-    "humanize": ("orders", ["o_orderkey"], {"v": (lambda: C.duration(F.col("o_orderkey")), "case when o_orderkey >= 60 then (o_orderkey // 60) || 'm ' || (o_orderkey % 60) || 's' else o_orderkey || 's' end")}),
-    "json_path_coalesce": ("events", ["event_id"], {"v": (lambda: F.coalesce(F.get_json_object("props", "$.title"), F.lit("Untitled")), "coalesce(json_extract_string(props, '$.title'), 'Untitled')")}),
+    "pretty_label": ("customer", ["c_custkey"], {"v": (lambda: C.pretty(F.concat(F.lower("c_mktsegment"), F.lit("_sales"))), "upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Sales'")}),
+    "humanize": ("orders", ["o_orderkey"], {"v": (lambda: C.duration(F.col("o_orderkey")), "case when o_orderkey >= 60 then (o_orderkey // 60) || 'm ' || (o_orderkey % 60) || 's' else o_orderkey || 's' end"), "n": (lambda: C.humanised(F.col("o_orderkey") * 250 + 3), "case when o_orderkey * 250 + 3 >= 1000000 then format('{:.1f}M', (o_orderkey * 250 + 3) / 1000000) when o_orderkey * 250 + 3 >= 1000 then format('{:.1f}K', (o_orderkey * 250 + 3) / 1000) else (o_orderkey * 250 + 3)::varchar end")}),
+    "json_path_coalesce": ("events", ["event_id"], {"v": (lambda: C.first_json(F.col("props"), ["$.title"], "Untitled"), "coalesce(json_extract_string(props, '$.title'), 'Untitled')"), "k": (lambda: C.first_json(F.col("props"), ["$.chartType", "$.options.type", "$.k"], "bar"), "coalesce(json_extract_string(props, '$.chartType'), json_extract_string(props, '$.options.type'), json_extract_string(props, '$.k'), 'bar')")}),
+    "col_parse_timestamp": ("orders", ["o_orderkey"], {"v": (lambda: C.parse_timestamp(F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"), "dd.MM.yyyy HH:mm").cast("timestamp_ntz"), "date_trunc('minute', o_orderdate)")}),
 }
 
 
@@ -164,6 +310,14 @@ for _name, (_table, _keys, _made) in _COLS.items():
     ORACLE_SQL[_name] = f"select {', '.join(_keys)}, {', '.join(f'{sql} as {k}' for k, (_, sql) in _made.items())} from {_table}"
 
 
+_SWAPS = ", ".join(f"replace({n}, '{a}', '{b}')" for n in ("n", "m") for a, b in (("_", " "), (" ", "_"), ("-", "_"), ("_", "-")))
+
+
+@query(f"with b as (select p_partkey, lower(replace(p_name, ' ', '_')) as n from part), o as (select *, case when n like '%s' then n[:-2] else n || 's' end as m from b) select p_partkey, array_to_string(list_sort(list_distinct([n, m, {_SWAPS}])), '|') as v from o")
+def alternative_names(t):
+    return t.part.select("p_partkey", F.array_join(C.alternative_names(F.replace("p_name", F.lit(" "), F.lit("_"))), "|").alias("v"))
+
+
 @query("select n_nationkey, n_name || ' ' || r_name as label from nation join region on n_regionkey = r_regionkey")
 def computed_concat(t):
     j = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -189,6 +343,19 @@ def drop_duplicates(t):
     return t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus").dropDuplicates()
 
 
+@query("with d as (select l_orderkey, l_returnflag, count(*) as n from lineitem group by 1, 2) select cast(sum(n) as bigint) as rows_before, count(*) as rows_after, cast(sum(n) - count(*) as bigint) as removed from d")
+def duplicates_removed(t):
+    return K.deduplicated_counts(t.lineitem.select("l_orderkey", "l_returnflag"))
+
+
+@query("select o_orderkey, o_totalprice::varchar as price, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderstatus as status, o_orderkey % 2 = 0 as has_note from orders")
+def rows_to_json(t):
+    df = t.orders.select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, "x").alias("note"))
+    fields = F.from_json("json", "o_orderkey long, price double, day string, at string, status string, note string")
+    back = df.select(C.row_json(df.schema).alias("json")).select(fields.alias("f"))
+    return back.select("f.o_orderkey", F.col("f.price").cast("string").alias("price"), "f.day", "f.status", F.col("f.note").isNotNull().alias("has_note"))
+
+
 @query("select o_orderkey, x from (select case when o_orderkey % 4 = 0 then null else o_orderkey end as o_orderkey, case when o_orderkey % 4 = 0 then null else o_orderstatus end as x from orders) where o_orderkey is not null or x is not null")
 def drop_all_null(t):
     keep = F.col("o_orderkey") % 4 != 0
@@ -207,10 +374,25 @@ def clean_and_prepare(t):
     return K.clean_and_prepare(df.unionByName(df), {"s_nationkey": 0})
 
 
+_RULES = [
+    {"type": "filter", "column": "o_totalprice", "operator": "greater_than", "value": 100000},
+    {"type": "validation", "column": "o_totalprice", "max": 300000},
+    {"type": "filter", "column": "o_orderpriority", "operator": "not_equals", "value": "5-LOW"},
+    {"type": "replace", "column": "o_orderstatus", "old": "O", "new": "open"},
+    {"type": "calculate", "target": "total", "a": "o_totalprice", "b": "o_custkey"},
+    {"type": "validation", "column": "o_custkey", "min": 100, "max": 900},
+    {"type": "validation", "column": "total", "min": 200000},
+]
+
+
 @query("select o_orderkey, o_totalprice, case when o_orderstatus = 'O' then 'open' else o_orderstatus end as o_orderstatus, o_totalprice + o_custkey as total from orders where o_totalprice > 100000 and o_orderpriority <> '5-LOW'")
 def rule_chain(t):
-    rules = [{"type": "filter", "column": "o_totalprice", "operator": "greater_than", "value": 100000}, {"type": "filter", "column": "o_orderpriority", "operator": "not_equals", "value": "5-LOW"}, {"type": "replace", "column": "o_orderstatus", "old": "O", "new": "open"}, {"type": "calculate", "target": "total", "a": "o_totalprice", "b": "o_custkey"}]
-    return K.apply_rules(t.orders, rules).select("o_orderkey", "o_totalprice", "o_orderstatus", "total")
+    return K.apply_rules(t.orders, _RULES).select("o_orderkey", "o_totalprice", "o_orderstatus", "total")
+
+
+@query("with a as (select * from orders where o_totalprice > 100000), b as (select * from a where o_orderpriority <> '5-LOW') select 1 as rule, 'o_totalprice' as column_name, count(*) filter (o_totalprice > 300000) as violations from a union all select 5, 'o_custkey', count(*) filter (o_custkey < 100 or o_custkey > 900) from b union all select 6, 'total', count(*) filter (o_totalprice + o_custkey < 200000) from b")
+def rule_validation(t):
+    return K.rule_violations(t.orders, _RULES)
 
 
 # ---- filters
@@ -246,17 +428,23 @@ def range_check(t):
 
 @query("select o_orderkey from orders where o_custkey = 7 or o_orderstatus = 'O'")
 def filter_visibility(t):
-    return t.orders.where((F.col("o_custkey") == 7) | (F.col("o_orderstatus") == "O")).select("o_orderkey")
+    return t.orders.where(K.visible("all", "o_custkey", "o_orderstatus", 7, "O")).select("o_orderkey")
 
 
 @query("select p_partkey, p_name from part where p_name ilike '%an%'")
 def search_ilike(t):
-    return t.part.where(F.col("p_name").ilike("%an%")).select("p_partkey", "p_name")
+    return t.part.where(K.holds("p_name", "an")).select("p_partkey", "p_name")
 
 
 @query("select event_id from events where ts < timestamp '2024-01-15 00:00:00'")
 def retention_filter(t):
-    return t.events.where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id")
+    return K.older_than(t.events, "ts", F.lit("2024-01-22 00:00:00").cast("timestamp_ntz"), 7).select("event_id")
+
+
+@query("select count(*) as n_rows, case when count(*) = 0 then 'NO_DATA' else 'OK' end as code, 'none' as asked from orders where o_totalprice < 0 union all select count(*), case when count(*) = 0 then 'NO_DATA' else 'OK' end, 'some' from orders where o_totalprice > 100000")
+def no_data(t):
+    asked = {"none": "o_totalprice < 0", "some": "o_totalprice > 100000"}
+    return K.union_by_name([I.outcome(t.orders.where(w)).withColumn("asked", F.lit(k)) for k, w in asked.items()])
 
 
 # ---- joins
@@ -269,17 +457,17 @@ def join_left_count(t):
 
 @query("select l_orderkey, l_linenumber, p_brand from lineitem join part on l_partkey = p_partkey")
 def join_related(t):
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")
+    return I.join_relation(t.lineitem, I.Relation(t.part, "l_partkey", "p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")
 
 
 @query("select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey)")
 def anti_unused_parts(t):
-    return t.part.join(t.lineitem, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
+    return R.unmatched(t.part, t.lineitem, "p_partkey", "l_partkey").select("p_partkey", "p_name")
 
 
 @query("select s_suppkey from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey)")
 def semi_used_suppliers(t):
-    return t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey")
+    return R.matched(t.supplier, t.lineitem, "s_suppkey", "l_suppkey").select("s_suppkey")
 
 
 @query("select r_name, count(*) as customers from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey group by r_name")
@@ -299,7 +487,17 @@ _ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderd
 
 @query(_profile_sql("orders", _ORDERS))
 def profile_columns(t):
-    return P.profile_columns(t.orders.select(_ORDERS))
+    return P.profile_columns(t.orders.select(_ORDERS), exact=True)
+
+
+_NEAR = " union all ".join(f"select '{c}' as column_name, count(*) as total, count(*) - count({c}) as null_count, true as near from lineitem" for c in COLUMNS["lineitem"])
+
+
+@query(_NEAR)
+def profile_columns_approx(t):
+    """The estimated distinct counts of a wide table, in one pass, within 15 % of the exact ones (of a second, exact, profile)."""
+    guess, exact = P.profile_columns(t.lineitem), P.profile_columns(t.lineitem, exact=True).select("column_name", F.col("distinct_count").alias("exact"))
+    return guess.join(exact, "column_name").select("column_name", "total", "null_count", (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.15 * F.col("exact") + 1).alias("near"))
 
 
 @query(" union all ".join(f"select '{c}' as column_name, {i} as ordinal, count(*) as total, round(min({c})::double, 4) as min_value, round(max({c})::double, 4) as max_value, round(avg({c})::double, 4) as mean_value from lineitem" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount"))))
@@ -316,12 +514,14 @@ def infer_types(t):
 @query("select 'c_name' as column_name, count(*) as total, 0 as ordinal, count(*) filter (c_custkey % 5 = 0) as null_count, count(*) filter (c_custkey % 5 = 1) as blank_count, count(distinct case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then ' ' else c_name end) as unique_count, round(count(*) filter (c_custkey % 5 = 0) * 100.0 / count(*), 2)::double as null_pct, round(count(*) filter (c_custkey % 5 = 1) * 100.0 / count(*), 2)::double as blank_pct from customer")
 def quality_stats(t):
     k = F.col("c_custkey") % 5
-    return P.quality_stats(t.customer.select(F.when(k == 1, " ").when(k != 0, F.col("c_name")).alias("c_name")))
+    return P.quality_stats(t.customer.select(F.when(k == 1, " ").when(k != 0, F.col("c_name")).alias("c_name")), exact=True)
 
 
-@query("select 'a' as column_name, round(count(*) filter (c_custkey % 20 <> 0) * 100.0 / count(*), 2)::double as null_pct, 'error' as verdict from customer union all select 'b', round(count(*) filter (c_custkey % 3 <> 0) * 100.0 / count(*), 2)::double, 'warning' from customer union all select 'c', 0.0, 'ok'")
+@query("select 'a' as column_name, round(count(*) filter (c_custkey % 20 <> 0) * 100.0 / count(*), 2)::double as null_pct, 'error' as verdict, 'null' as reason from customer union all select 'b', round(count(*) filter (c_custkey % 3 <> 0) * 100.0 / count(*), 2)::double, 'warning', 'null' from customer union all select 'c', 0.0, 'ok', '' union all select 'd', 0.0, 'warning', 'blank' union all select 'e', 0.0, 'warning', 'extra' union all select 'gone', null, 'error', 'missing'")
 def quality_verdict(t):
-    return P.quality_verdict(t.customer.select(F.when(F.col("c_custkey") % 20 == 0, 1).alias("a"), F.when(F.col("c_custkey") % 3 == 0, 1).alias("b"), F.col("c_name").alias("c")))
+    k = F.col("c_custkey")
+    df = t.customer.select(F.when(k % 20 == 0, 1).alias("a"), F.when(k % 3 == 0, 1).alias("b"), F.col("c_name").alias("c"), F.lit(" ").alias("d"), F.col("c_acctbal").alias("e"))
+    return P.quality_verdict(df, ["a", "b", "c", "d", "gone"])
 
 
 @query("select 'o_orderkey' as column_name, 0::bigint as violations, true as is_valid union all select 'late', count(*) filter (o_orderstatus = 'F'), count(*) filter (o_orderstatus = 'F') = 0 from orders")
@@ -369,31 +569,44 @@ def agg_global(t):
 
 @query("select o_orderkey, coalesce(string_agg(l_linenumber || ':' || cast(l_quantity as integer), ',' order by l_linenumber, l_quantity), '') as items from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
 def collect_structs(t):
-    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("s"))
-    text = F.concat_ws(",", F.transform("s", lambda x: F.concat_ws(":", x["l_linenumber"], x["q"])))
-    return t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce(text, F.lit("")).alias("items"))
+    nested = O.nested_listing(t.orders.select("o_orderkey"), t.lineitem, "o_orderkey", "l_orderkey", ["l_linenumber", "l_quantity"], {"n": F.col("l_linenumber"), "q": F.col("l_quantity").cast("int")})
+    return nested.select("o_orderkey", F.concat_ws(",", F.transform("preview", lambda x: F.concat_ws(":", x["n"], x["q"]))).alias("items"))
 
 
 @query("select event_type, count(*) as n, round(sum(value), 2) as total, round(max(value), 4) as largest, round(min(value), 4) as smallest from events group by event_type")
 def file_stats_by_type(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.max("value"), 4).alias("largest"), F.round(F.min("value"), 4).alias("smallest"))
+    return O.statistics_by(t.events, "event_type", "value")
 
 
 @query("select case when d < 1 then '<1d' when d < 7 then '1-7d' when d < 30 then '7-30d' else '>30d' end as bucket, count(*) as n from (select date_diff('second', ts, timestamp '2024-02-01 00:00:00') / 86400.0 as d from events) group by 1")
 def age_buckets(t):
     d = F.expr("timestampdiff(SECOND, ts, timestamp_ntz'2024-02-01 00:00:00')") / 86400.0
-    return t.events.groupBy(F.when(d < 1, "<1d").when(d < 7, "1-7d").when(d < 30, "7-30d").otherwise(">30d").alias("bucket")).agg(F.count("*").alias("n"))
+    return O.age_buckets(t.events, d)
+
+
+@query("select event_type, count(*) as n, arg_min(event_id, {'a': ts, 'b': event_id}) as oldest, arg_max(event_id, {'a': ts, 'b': event_id}) as newest from events group by event_type")
+def ages_by_type(t):
+    return O.ages_by(t.events, "event_type", "ts", "event_id")
 
 
-@query("select count(*) as customers, count(*) filter (c_acctbal >= 8000) as high, count(*) filter (c_acctbal >= 5000 and c_acctbal < 8000) as medium, count(*) filter (c_acctbal < 5000) as low, round(avg(c_acctbal), 3) as mean from customer")
+_MAPPED = "with m as (select c_custkey as entity, case when c_custkey % 3 > 0 then abs(c_acctbal) % 100 / 100 end as confidence from customer) "
+
+
+@query(_MAPPED + "select count(*) as entities, count(confidence) as mapped, round(count(confidence) * 100.0 / count(*), 2)::double as rate, round(avg(confidence), 3) as mean, count(*) filter (confidence >= 0.8) as high, count(*) filter (confidence >= 0.5 and confidence < 0.8) as medium, count(*) filter (confidence < 0.5) as low from m")
 def mapping_stats(t):
-    b = F.col("c_acctbal")
-    return t.customer.agg(F.count("*").alias("customers"), F.count_if(b >= 8000).alias("high"), F.count_if((b >= 5000) & (b < 8000)).alias("medium"), F.count_if(b < 5000).alias("low"), F.round(F.avg(b), 3).alias("mean"))
+    score = F.when(F.col("c_custkey") % 3 > 0, F.abs("c_acctbal") % 100 / 100)
+    return O.mapping_statistics(t.customer.select(F.col("c_custkey").alias("entity"), score.alias("confidence")))
+
+
+@query("select c_custkey as entity, count(o_orderkey) as files, round(avg(o_totalprice % 100 / 100), 4) as confidence, count(o_orderkey) = 0 as unmapped, coalesce(round(avg(o_totalprice % 100 / 100), 4) < 0.5, false) as low, count(o_orderkey) > 1 as several from customer left join orders on c_custkey = o_custkey group by c_custkey")
+def mapping_validation(t):
+    m = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return O.mapping_validation(m.select(F.col("c_custkey").alias("entity"), F.col("o_orderkey").alias("file"), (F.col("o_totalprice") % 100 / 100).alias("score")))
 
 
 @query("select count(distinct o_orderpriority) as categories, max(length(o_orderpriority)) as longest, count(distinct o_orderpriority) > 10 or max(length(o_orderpriority)) > 15 as rotate, count(distinct o_orderpriority) > 30 as truncate_labels from orders")
 def axis_stats(t):
-    return t.orders.agg(F.count_distinct("o_orderpriority").alias("categories"), F.max(F.length("o_orderpriority")).alias("longest")).select("*", ((F.col("categories") > 10) | (F.col("longest") > 15)).alias("rotate"), (F.col("categories") > 30).alias("truncate_labels"))
+    return O.axis_statistics(t.orders, "o_orderpriority")
 
 
 # ---- rankings, caps, sets
@@ -416,7 +629,7 @@ def latest_metadata(t):
 
 @query("select s_suppkey, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as idx from supplier")
 def row_index(t):
-    return t.supplier.select("s_suppkey", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).alias("idx"))
+    return R.row_index(t.supplier, ["s_nationkey"], ["s_suppkey"], "idx").select("s_suppkey", "idx")
 
 
 @query("select l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem where l_returnflag <> 'R' group by l_partkey order by revenue desc, l_partkey limit 10")
@@ -437,8 +650,12 @@ def chart_topn_scatter(t):
 
 @query("select o_orderkey, (select count(*) from orders) > 1000 as truncated from orders order by o_orderkey limit 1000")
 def capped_result(t):
-    rows, truncated = R.capped(t.orders.select("o_orderkey").orderBy("o_orderkey"), 1000)
-    return rows.withColumn("truncated", F.lit(truncated))
+    return R.capped(t.orders.select("o_orderkey").orderBy("o_orderkey"), 1000)
+
+
+@query("with g as (select l_orderkey from lineitem group by 1) select count(*) as total, least(count(*), 1000) as displayed, count(*) > 1000 as limited from g")
+def chart_counts(t):
+    return R.chart_counts(t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty")), "scatter")
 
 
 @query("select c_custkey as id, c_name as name from customer union all select s_suppkey, s_name from supplier")
@@ -448,53 +665,21 @@ def union_files(t):
 
 @query("select distinct l_shipdate::date as d from lineitem")
 def distinct_values(t):
-    return t.lineitem.select(F.to_date("l_shipdate").alias("d")).distinct()
+    return R.distinct_values(t.lineitem.select(F.to_date("l_shipdate").alias("d")), "d")
 
 
 @query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
 def columns_intersect(t):
-    return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select(F.col("s_nationkey").alias("k")))
+    return R.common_values(t.customer, "c_nationkey", t.supplier, "s_nationkey", "k")
 
 
 @query("select n_nationkey as k from nation except all select c_nationkey from customer")
 def columns_except(t):
-    return t.nation.select(F.col("n_nationkey").alias("k")).exceptAll(t.customer.select(F.col("c_nationkey").alias("k")))
+    return R.values_only_in(t.nation, "n_nationkey", t.customer, "c_nationkey", "k")
 
 
 # ---- discovery
 
-_KEYS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "supplier": ["s_suppkey", "s_nationkey"]}
-
-
-def _catalog(t) -> DataFrame:
-    return P.column_catalog({k: getattr(t, k).select(v).withColumnsRenamed({c: c[2:] for c in v}) for k, v in _KEYS.items()})
-
-
-def _catalog_sql() -> str:
-    kind = lambda c: "string" if c.endswith(("segment", "status")) else "int" if c.endswith("nationkey") else "bigint"
-    return " union all ".join(f"select '{k}' as table_name, '{c[2:]}' as column_name, {i} as ordinal, '{kind(c)}' as data_type, count(*) as total, count(*) - count({c}) as null_count, count(distinct {c}) as distinct_count from {k}" for k, v in _KEYS.items() for i, c in enumerate(v))
-
-
-@query(_catalog_sql())
-def column_catalog(t):
-    return _catalog(t)
-
-
-@query(f"with c as ({_catalog_sql()}) select a.table_name as from_table, b.table_name as to_table, a.column_name, round(0.4 + case when a.data_type = b.data_type then 0.3 else 0 end + case when a.column_name like '%id%' then 0.2 else 0 end + case when a.distinct_count / greatest(b.distinct_count, 1) > 2 then 0.1 else 0 end, 2)::double as confidence, case when a.distinct_count / greatest(b.distinct_count, 1) > 2 then 'many_to_one' when a.distinct_count / greatest(b.distinct_count, 1) < 0.5 then 'one_to_many' else 'many_to_many' end as relation from c a join c b on a.column_name = b.column_name and a.table_name < b.table_name")
-def rel_common_columns(t):
-    return R.common_columns(_catalog(t))
-
-
-@query(f"with c as ({_catalog_sql()}), k as (select table_name, column_name, ordinal, cast(case when column_name = 'id' then 0 when column_name like '%\\_id' escape '\\' then 1 when column_name like '%id%' then 2 else 3 end as integer) as kind from c where column_name like '%id%' or (distinct_count > 0.95 * total and null_count = 0)) select table_name, column_name, kind, cast(row_number() over (partition by table_name order by kind, ordinal) as integer) as rank from k")
-def pk_candidates(t):
-    return R.key_candidates(_catalog(t))
-
-
-@query(f"with c as ({_catalog_sql()}) select table_name, column_name, data_type, null_count > 0 as nullable, distinct_count = total and null_count = 0 as is_unique from c")
-def column_definitions(t):
-    return R.column_definitions(_catalog(t))
-
-
 @query(None)
 def name_similarity(t):
     a = t.part.select(C.normalised_name(F.col("p_name")).alias("entity"))
@@ -502,6 +687,19 @@ def name_similarity(t):
     return R.name_matches(a, b).withColumn("score", F.round("score", 6))
 
 
+@query(None)
+def match_entities(t):
+    files = t.part.select(F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("-")), F.lit("_export_20240101.csv")).alias("file"))
+    return R.match_entities(t.part.select(F.col("p_name").alias("entity")), files).withColumn("score", F.round("score", 6))
+
+
+@query("select p_partkey, case when p_partkey % 4 = 0 then 0.7 when p_partkey % 4 = 1 then 0.4 else 0.0 end as score from part")
+def pattern_score(t):
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    file = F.when(k == 0, F.concat(F.lit("x "), F.upper(name), F.lit("_Export.csv"))).when(k == 1, F.lit("other 2024-01-31.csv")).otherwise(F.concat(F.lit("x"), name, F.lit("y")))
+    return t.part.select("p_partkey", R.pattern_score(name, file).alias("score"))
+
+
 # ---- requests, shapes
 
 
@@ -519,13 +717,16 @@ def sql_passthrough(t):
 
 @query("select o_orderkey, o_orderstatus || ' ' || o_orderpriority as label from orders")
 def category_labels(t):
-    return t.orders.select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("label"))
+    return t.orders.select("o_orderkey", O.category_label(["o_orderstatus", "o_orderpriority"]).alias("label"))
 
 
-@query("select c_mktsegment, c_custkey, c_name, n_orders from (select c_custkey, c_name, c_mktsegment, count(o_orderkey) as n_orders from customer left join orders on c_custkey = o_custkey where c_name ilike '%1%' group by all)")
+@query("select c_custkey, c_name, c_mktsegment, count(o_orderkey) as children, coalesce(string_agg(coalesce(nullif(o_orderstatus, 'F'), 'Untitled') || ':' || o_orderkey, ',' order by o_orderdate, o_orderkey), '') as preview from customer left join orders on c_custkey = o_custkey where c_name ilike '%1%' and (c_mktsegment = 'BUILDING' or c_nationkey = 7) group by c_custkey, c_name, c_mktsegment")
 def nested_preview(t):
-    found = t.customer.where(F.col("c_name").ilike("%1%"))
-    return R.count_related(found, t.orders, "c_custkey", "o_custkey", "o_orderkey", "n_orders").select("c_mktsegment", "c_custkey", "c_name", "n_orders")
+    """Listing of what one owner may see whose name holds a word, with the number and an ordered preview of each one's entries, newest first."""
+    found = t.customer.where(K.visible("all", "c_nationkey", "c_mktsegment", 7, "BUILDING") & K.holds("c_name", "1"))
+    payload = {"name": C.first_json(F.to_json(F.struct(F.nullif("o_orderstatus", F.lit("F")).alias("title"))), ["$.title"], "Untitled"), "id": F.col("o_orderkey")}
+    nested = O.nested_listing(found, t.orders, "c_custkey", "o_custkey", ["o_orderdate", "o_orderkey"], payload).orderBy(F.desc("c_acctbal"), "c_custkey")
+    return nested.select("c_custkey", "c_name", "c_mktsegment", "children", F.concat_ws(",", F.transform("preview", lambda x: F.concat_ws(":", x["name"], x["id"]))).alias("preview"))
 
 
 # ---- runs and streams
@@ -538,21 +739,36 @@ def _as_files(t, table: str) -> str:
     return path
 
 
-@query("select event_id, case when event_type like '%error%' then 'failed' when event_type = 'purchase' then 'completed' when event_type = 'signup' then 'started' else 'running' end as status from events")
+# The events stand for stages of runs: the type of each gives the words of a stage and of a message.
+_STAGE = "case event_type when 'purchase' then 'Load completed' when 'view' then 'file_cleanup_success' when 'error' then 'pipeline_error' when 'signup' then 'preparing' else 'load' end"
+_MESSAGE = "case when event_id % 50 = 0 then 'Was UNSUCCESSFUL' when event_id % 50 = 1 then null else 'done' end"
+_FAILED = f"(contains(lower({_STAGE}), 'failed') or contains(lower({_STAGE}), 'error') or contains(lower({_STAGE}), 'exception') or contains(lower(coalesce({_MESSAGE}, '')), 'unsuccessful') or contains(lower(coalesce({_MESSAGE}, '')), 'failed'))"
+_COMPLETED = f"(contains(lower({_STAGE}), 'complete') or contains(lower({_STAGE}), 'finished') or contains(lower({_STAGE}), 'success'))"
+_STATUS = f"case when {_FAILED} then 'failed' when {_COMPLETED} then 'completed' else 'started' end"
+
+
+@query(f"select event_id, {_STATUS} as status from events")
 def status_classify(t):
-    return t.events.select("event_id", T.status(F.col("event_type")).alias("status"))
+    return t.events.select("event_id", T.status(F.expr(_STAGE), F.expr(_MESSAGE)).alias("status"))
 
 
-@query("select user_id, count(*) as events, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type = 'purchase') as completed, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as duration_s, case when count(*) filter (event_type = 'error') > 0 then 'failed' when count(*) filter (event_type = 'purchase') > 0 then 'success' else 'running' end as state from events group by user_id")
+@query(f"with s as (select user_id, ts, {_STATUS} as status from events) select user_id, count(*) as events, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'completed') as completed, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as duration_s, case when count(*) filter (status = 'failed') > 0 then 'failed' when count(*) filter (status = 'completed') > 0 then 'success' else 'running' end as state from s group by user_id")
 def run_rollup(t):
-    return T.run_rollup(t.events, "user_id", "ts", "event_type").drop("started_at", "ended_at")
+    return T.run_rollup(t.events, "user_id", "ts", F.expr(_STAGE), F.expr(_MESSAGE)).drop("started_at", "ended_at")
+
+
+@query("with l as (select o_custkey as run, o_orderpriority as stage, arg_max(o_orderstatus, {'a': o_orderdate, 'b': o_orderkey}) as x from orders group by 1, 2), s as (select run, count(*) filter (x = 'F') as completed_stages, count(*) filter (x = 'P') as f, count(*) filter (x = 'O' and run % 3 > 0) as s from l group by run) select run, completed_stages, case when f > 0 then 'failed' when s > 0 then 'running' when completed_stages >= 5 then 'completed' when completed_stages > 0 then 'running' else 'pending' end as overall from s")
+def run_progress(t):
+    last = T.latest_status(t.orders, ["o_custkey", "o_orderpriority"], "o_orderdate", "o_orderstatus", "o_orderkey")
+    status = F.when(F.col("value") == "F", "completed").when(F.col("value") == "P", "failed").when(F.col("o_custkey") % 3 > 0, "started")
+    return O.run_progress(last.select(F.col("o_custkey").alias("run"), status.alias("status")), "run", "status", 5)
 
 
 @query("select user_id, event_type, round(arg_max(value, {'t': ts, 'e': event_id}), 4) as value from events group by user_id, event_type")
 def stream_latest_status(t):
-    out = scratch(t.spark, "latest")
-    T.stream_latest(t.spark, _as_files(t, "events"), t.events.schema, ["user_id", "event_type"], "ts", "value", "event_id", out, scratch(t.spark, "state"))
-    return t.spark.read.parquet(out).select("user_id", "event_type", F.round("value", 4).alias("value"))
+    out, keys = scratch(t.spark, "latest"), ["user_id", "event_type"]
+    T.stream_latest(t.spark, _as_files(t, "events"), t.events.schema, keys, "ts", "value", "event_id", out, scratch(t.spark, "state"))
+    return T.latest_of(t.spark, out, keys).select("user_id", "event_type", F.round("value", 4).alias("value"))
 
 
 @query("select event_id, upper(event_type) as event_type, value from events where value > 10")
@@ -564,16 +780,24 @@ def stream_ingest(t):
 
 @query("select s_suppkey, upper(s_name) as s_name, 0 as part from supplier where s_suppkey % 2 = 0 union all select s_suppkey, upper(s_name), 1 from supplier where s_suppkey % 2 = 1")
 def ingest_job(t):
-    """Read two files of an entity, enforce its schema, transform, clean, unite, write and read back."""
+    """Find a job's files, read each by its schema, transform, clean and unite them, append them to a table that is created on the first
+    write, and store the run's metadata; the result is the table."""
+    from millrace.operators import metadata as M
+
     spec = K.EntitySpec("supplier", (K.ColumnSpec("s_suppkey", "bigint", False), K.ColumnSpec("s_name", "varchar(50)", rules={"trim": True, "case": "upper"}), K.ColumnSpec("part", "int", False)))
-    frames = []
+    root = scratch(t.spark, "store")
     for i in (0, 1):
-        path = scratch(t.spark, "in")
-        t.supplier.where(f"s_suppkey % 2 = {i}").select("s_suppkey", "s_name", F.lit(i).alias("part")).write.option("header", True).csv(path)
-        frames.append(K.clean_entity(K.transform_entity(K.to_schema(S.read_csv(t.spark, path, "s_suppkey string, s_name string, part string"), spec.columns), spec), spec))
-    out = scratch(t.spark, "entity")
-    K.union_by_name(frames).write.parquet(out)
-    return t.spark.read.parquet(out)
+        t.supplier.where(f"s_suppkey % 2 = {i}").select("s_suppkey", "s_name", F.lit(i).alias("part")).write.option("header", True).csv(f"{root}/jobs/j1/in{i}")
+    files = S.job_files(S.file_checks(S.inventory(t.spark, root)).where("valid"), "j1").select("path")
+    folders = sorted({r["path"].rsplit("/", 1)[0] for r in files.collect()})  # a job's folders
+    frames = [K.clean_entity(K.transform_entity(K.to_schema(S.read_csv(t.spark, f, "s_suppkey string, s_name string, part string"), spec.columns), spec), spec) for f in folders]
+    name, path = _new_table(t, "entity")
+    united = K.union_by_name(frames)
+    W.append_or_create(united, name, united.schema, path)
+    table = t.spark.table(name)
+    catalog = P.column_catalog({"supplier": table})
+    M.write_snapshot({"entities": M.entity_names(catalog), "lineage": files.withColumn("entity", F.lit("supplier"))}, scratch(t.spark, "snapshot"), "j1", "r1").collect()  # two counts
+    return table
 
 
 from millrace.plans import metadata_queries  # noqa: E402, F401  registers its queries here

@@ -2,19 +2,62 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append(df: DataFrame, table: str) -> int:
-    """Append to a table and return the rows written, observed by the write's own job."""
+    """Append to a table that exists and return the rows written, observed by the write's own job; an empty frame is no error."""
+    if not df.sparkSession.catalog.tableExists(table):
+        raise ValueError(f"no table {table}")
     seen = Observation(f"append-{uuid.uuid4().hex}")
-    df.observe(seen, F.count("*").alias("rows")).write.mode("append").format("parquet").saveAsTable(table)
+    df.select(df.sparkSession.table(table).columns).observe(seen, F.count("*").alias("rows")).write.mode("append").format("parquet").saveAsTable(table)
     return seen.get["rows"]
 
 
+def create_if_absent(spark: SparkSession, table: str, schema: T.StructType, path: str | None = None) -> bool:
+    """Create an empty Parquet table of a declared schema unless it exists; whether it was created."""
+    if spark.catalog.tableExists(table):
+        return False
+    spark.catalog.createTable(table, path=path, source="parquet", schema=schema)
+    return True
+
+
+def append_or_create(df: DataFrame, table: str, schema: T.StructType, path: str | None = None) -> int:
+    """Append, to a table that is created with the declared schema on the first write."""
+    create_if_absent(df.sparkSession, table, schema, path)
+    return append(df, table)
+
+
+def write_batch(frames: dict[str, DataFrame]) -> DataFrame:
+    """Append to several tables: (table_name, success, records, seconds, error) for each; one failure leaves the others alone. Loops
+    over tables; each write is a Spark job."""
+    log = []
+    for table, df in frames.items():
+        began = time.perf_counter()
+        try:
+            log.append((table, True, append(df, table), time.perf_counter() - began, None))
+        except Exception as e:  # whatever a write raises is its entry in the log
+            log.append((table, False, 0, time.perf_counter() - began, str(e).split("\n")[0][:200]))
+    spark = next(iter(frames.values())).sparkSession
+    return spark.createDataFrame(log, "table_name string, success boolean, records long, seconds double, error string")
+
+
+def table_statistics(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """Fields, rows and place of each catalog table."""
+    out = None
+    for table in tables:
+        df = spark.table(table)
+        where = spark.sql(f"describe formatted {table}").where("col_name = 'Location'").select(F.col("data_type").alias("location"))
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(table).alias("table_name"), F.lit(len(df.columns)).alias("fields"), "rows").join(F.broadcast(where))  # one row by one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def merge(df: DataFrame, table: str) -> tuple[int, str]:
     """Merging is not supported by Parquet tables: an append, and the warning that says so."""
     return append(df, table), "merge is written as append"

@@ -1,4 +1,4 @@
-"""Run events: status words, rollups, and the two streaming jobs."""
+"""Run events: status, rollups, and the two streaming jobs."""
 
 from __future__ import annotations
 
@@ -7,20 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words that tell a status, in the order in which they are tried.
-STATUS_WORDS = (("failed", "fail|error|exception"), ("completed", "complete|success|finish|purchase"), ("started", "start|begin|signup"))
+# Words that tell a status, in a stage's name and in its message.
+FAILED_STAGE = ("failed", "error", "exception")
+FAILED_MESSAGE = ("failed", "error", "exception", "unsuccessful")
+COMPLETED_STAGE = ("completed", "complete", "finished", "success")
 
 
-def status(text: Column) -> Column:
-    low, out = F.lower(text), F
-    for name, words in STATUS_WORDS:
-        out = out.when(low.rlike(words), name)
-    return out.otherwise("running")
+def status(stage: Column, message: Column) -> Column:
+    """failed, completed or started. A word of failure in the stage or the message means failed; else one of completion in the stage
+    means completed; anything else has started. NULL texts hold no words."""
+    s, m = (F.lower(F.coalesce(c, F.lit(""))) for c in (stage, message))
+    failed = s.rlike("|".join(FAILED_STAGE)) | m.rlike("|".join(FAILED_MESSAGE))
+    return F.when(failed, "failed").when(s.rlike("|".join(COMPLETED_STAGE)), "completed").otherwise("started")
 
 
-def run_rollup(events: DataFrame, run: str, ts: str, text: str) -> DataFrame:
-    """One row for each run: first and last event, seconds between, and counts by status."""
-    s = status(F.col(text))
+def run_rollup(events: DataFrame, run: str, ts: str, stage: Column, message: Column) -> DataFrame:
+    """One row for each run: first and last event, seconds between, counts by status, and the state: failed, success or running."""
+    s = status(stage, message)
     return (
         events.groupBy(run)
         .agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("events"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "completed").alias("completed"))
@@ -46,10 +49,18 @@ def stream_files(spark: SparkSession, path: str, schema, transform: Callable[[Da
 
 
 def stream_latest(spark: SparkSession, path: str, schema, keys: list[str], ts: str, value: str, tie: str, out: str, checkpoint: str) -> None:
-    """The newest value for each key over all files, kept as streaming state; each micro-batch's changed keys are written, complete at its end."""
+    """The newest value for each key over all files. The state holds a row for each key; a micro-batch writes only the keys that it
+    changed, to a folder of its own (written over if it is run again). latest_of reads the newest of all folders."""
     stream = latest_status(spark.readStream.schema(schema).parquet(path), keys, ts, value, tie)
 
     def put(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_of(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """What stream_latest has written: for each key the row of the last micro-batch that changed it."""
+    rows = spark.read.parquet(out)
+    names = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("m")).select(*keys, "m.*")
