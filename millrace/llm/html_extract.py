@@ -11,7 +11,7 @@ The text of kept blocks has character references decoded and white space runs tu
 ones dropped, and joined in page order by one line feed. Script, style, head and comments never are text; svg, select, noscript, object
 and template aren't either if they are closed, and what follows the start tag of an unclosed one is read like the rest of the page.
 
-Null or empty html gives an empty text. Pages of any length are read whole. Repeated rows give repeated rows; other columns
+Null or empty html gives an empty text. Bytes that aren't UTF-8 are read as U+FFFD. Pages of any length are read whole. Repeated rows give repeated rows; other columns
 are ignored.
 """
 
@@ -26,6 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.shared import lean
 
 PAGES = 800
 
@@ -464,7 +467,7 @@ def _extract(shared):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = extract_all([x.as_py() or "" for x in part.column("html")], shared.value)
+                texts = extract_all([x.as_buffer().to_pybytes().decode(errors="replace") if x.is_valid else "" for x in part.column("html")], shared.value)
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return run
@@ -474,7 +477,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text)."""
     pages = pages.select("page_id", "url", "html")
     shared = pages.sparkSession.sparkContext.broadcast(trained())
-    return pages.mapInArrow(_extract(shared), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType())])
+    return pages.mapInArrow(lean(_extract(shared)), schema)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
