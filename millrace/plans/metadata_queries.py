@@ -14,6 +14,7 @@ from millrace.operators import reports as O
 from millrace.plans import intent as I
 from millrace.plans.registry import TABLES, Tables, query
 from millrace.plans.schemas import COLUMNS, catalog_sql, plain
+from millrace.sources import files as S
 from millrace.sources.scratch import kept, scratch
 
 _SIMPLE = "case when data_type in ('timestamp', 'timestamp_ntz', 'date') then 'time' when data_type in ('int', 'bigint', 'double') then 'numeric' else 'categorical' end"
@@ -69,6 +70,19 @@ def column_catalog(t):
     return _catalog(t)
 
 
+@query(_SQL + "select table_name, column_name, data_type, true as nullable, case when column_name = 'mktsegment' then 'market segment' else '' end as comment from c")
+def column_comments(t):
+    tables = {k: _plain(t, k) for k in TABLES}
+    tables["customer"] = tables["customer"].withMetadata("mktsegment", {"comment": "market segment"})
+    return P.column_catalog(tables, comments=True).select("table_name", "column_name", "data_type", "nullable", "comment")
+
+
+@query(" union all ".join(f"select '{x}' as table_name, 1 as files, true as sized from (select 1)" for x in COLUMNS))
+def table_bytes(t):
+    sizes = S.folder_bytes(t.spark, {x: f"{t.dir}/{x}.parquet" for x in TABLES})
+    return sizes.select("table_name", F.col("files").cast("int").alias("files"), (F.col("bytes") > 0).alias("sized"))
+
+
 @query(_SQL + ", " + _KEY_RANK + " select table_name, column_name, cast(kind as integer) as kind, cast(rank as integer) as rank from r")
 def pk_candidates(t):
     return R.key_candidates(_catalog(t))

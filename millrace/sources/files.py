@@ -31,7 +31,9 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file below path; contents are not read. Empty files, which Spark's readers skip, have no modification time."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = read.select("path", "modificationTime", "length")
-    empty = _named(spark, read).select("path").join(files.select(F.replace("path", F.lit(" "), F.lit("%20")).alias("path")), "path", "left_anti")
+    # the listing writes file:/// and %20 where the reader writes file:/ and a space
+    same = lambda c: F.regexp_replace(F.replace(F.col(c), F.lit("%20"), F.lit(" ")), "^file:/+", "file:/").alias("path")
+    empty = _named(spark, read).select(same("path")).join(files.select(same("path")), "path", "left_anti")
     files = files.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length")))
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("file_name"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"), "length", "modificationTime").withColumn("supported", F.col("extension").isin(*FORMATS))
@@ -42,6 +44,15 @@ def job_files(files: DataFrame, job: str) -> DataFrame:
     return files.where(F.col("path").contains(f"jobs/{job}/") & F.col("supported"))
 
 
+def folder_bytes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Files and bytes of each table's folder or file."""
+    out = None
+    for name, path in paths.items():
+        one = inventory(spark, path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(F.lit(name).alias("table_name"), "files", "bytes")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def accessible(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """The wanted files (path) that the inventory still has, with what it knows of them now; files without a size are left out."""
     return files.where(F.col("length").isNotNull()).join(wanted.select("path").distinct(), "path", "left_semi")

@@ -185,7 +185,7 @@ def test_write_validation_and_ragged(spark, tmp_path):
     shapes = {r.file_name: (r.rows, r.empty, r.header_only, r.ragged, r.first_ragged) for r in S.csv_shapes(spark, str(tmp_path)).collect()}
     assert shapes == {"a.csv": (4, False, False, 2, [2, 4]), "b.csv": (0, False, True, 0, []), "c.csv": (0, True, False, 0, [])}
     files = S.inventory(spark, str(tmp_path)).orderBy("file_name").collect()
-    assert [(f.file_name, f.extension, f.supported) for f in files][:1] == [("a.csv", "csv", True)]
+    assert [(f.file_name, f.extension, f.length > 0, f.supported) for f in files] == [("a.csv", "csv", True, True), ("b.csv", "csv", True, True), ("c.csv", "csv", False, True)]
 
 
 def test_csv_rows_are_numbered_over_splits(spark, tmp_path):
