@@ -1,43 +1,29 @@
 """A training-data pipeline over `documents`: quality rules, near duplicates, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of
-documents. Rows with a null doc_id pass the stages like others, but in near_duplicates only equal texts among them are merged.
+documents, whatever there are besides doc_id and text. Rows are told by doc_id and text: a null doc_id is the largest, and rows that
+share one are apart unless their texts are near copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import decontaminate
-from millrace.llm.jaccard_join import near_duplicates
+from millrace.llm.jaccard_join import one_of_each_class
 from millrace.llm.quality import keep_good
 from millrace.llm.secret_scan import redact
 from millrace.llm.sentencepiece_codec import encoded_and_decoded
 from millrace.llm.shared import materialise
 
-#: Ids up to this number (32 MB) are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least doc_id. Rows that share a doc_id are one document, of which one row stays."""
-    found = materialise(near_duplicates(docs.select("doc_id", "text")), "near")
-    named = found.where("doc_id is not null")
-    removed = named.where("doc_id != component_id").select("doc_id").distinct()
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    apart = materialise(removed.unionByName(repeated).distinct(), "apart")
-    side = F.broadcast(apart) if apart.count() <= BROADCAST_IDS else apart
-    lone = docs.where("doc_id is not null").join(side, "doc_id", "left_anti")
-    once = repeated.join(removed, "doc_id", "left_anti")
-    again = docs.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return lone.unionByName(again).unionByName(unnamed).select(docs.columns)
+    """Of each class of near duplicates the row of the least doc_id."""
+    return one_of_each_class(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
