@@ -7,14 +7,15 @@ for about six windows.
 
 For each batch of documents:
 
-1. Its anchors' hashes are counted and written as a sorted immutable run.
-2. The run is merge-joined with the runs of earlier batches; a hash met twice is a candidate.
-3. Candidates are verified on the texts: the *span* of an anchor is the words of all windows that it stands for. Equal
-   (anchor, span) pairs mean equal windows, of which all but the earliest go. Where one anchor has several spans (at the
-   ends of copied passages), the spans' windows are compared one by one.
-4. Once there are more than `max_runs` runs, they are compacted into one.
-
-What "earlier" means: smaller doc_id, or the same document and an earlier start. A null doc_id counts as the largest.
+1. Its anchors' hashes are counted and written as an immutable run, bucketed and sorted by hash.
+2. The run is merge-joined, bucket by bucket, with the runs of earlier batches; a hash met twice is a candidate.
+3. Candidates are verified on the texts, which are read again: the *span* of an anchor is a second, independent hash of the words of
+   all windows that it stands for. Equal (anchor, span) pairs mean equal windows, of which all but the earliest go. Where one anchor
+   has several spans (at the ends of copied passages), the spans' windows are compared one by one, by anchor and window hash.
+4. Once there are more than `max_runs` runs, they are compacted into one, and the old ones removed.
+
+What "earlier" means: smaller doc_id, or the same document and an earlier start. doc_id is a number (one that isn't, or a text that
+holds none, counts as null); a null doc_id counts as the largest. Words are bytes: those that aren't UTF-8 are kept as they are.
 Rows that share a doc_id are ordered by a hash of their text; wholly equal rows are judged as one document each, not
 against each other. Null or empty texts have no words; texts of fewer than `window` words have no window. Columns other
 than doc_id and text are ignored. Hashes are of 64 bits for the anchor and 64 independent bits for the span.
@@ -29,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.shared import BloomFilter, materialise
+from millrace.llm.shared import BloomFilter, bucketed, discard, lean, materialise
 from millrace.llm.words import gram_hashes, mix, text_batches, word_hashes
 
 LAST = (1 << 63) - 1
@@ -105,23 +107,24 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tkey"))
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tkey"))
 
 
 class FingerprintIndex:
-    """The index and the texts behind it. Runs are Parquet tables (g, n) in the shared folder, sorted by g."""
+    """The index and the texts behind it. Runs are tables (g, n) in the shared folder, bucketed and sorted by g."""
 
-    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 8, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 8, max_runs: int = 2):
         self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
         self.runs: list[DataFrame] = []
         self.history: list[DataFrame] = []
+        self.compactions = 0
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in documents (doc_id, text), later than all before, and return (doc, tkey, removed): for each that loses
+        """Take in documents (doc_id, text), later than all before, and return (doc, tkey, removed), written: for each that loses
         words the removed ranges, as a flat list of begin and end."""
         batch = keyed(batch)
-        prints = batch.select("text").mapInArrow(_fingerprints(self.window, self.gram), "g long, n long")
-        run = materialise(prints.groupBy("g").agg(F.sum("n").alias("n")).sortWithinPartitions("g"), "run")
+        prints = batch.select("text").mapInArrow(lean(_fingerprints(self.window, self.gram)), "g long, n long")
+        run = bucketed(prints.groupBy("g").agg(F.sum("n").alias("n")), "g", "run")
         repeated = run.where("n > 1").select("g")
         for old in self.runs:
             repeated = repeated.unionByName(run.hint("merge").join(old.select("g"), "g", "left_semi").select("g"))
@@ -130,18 +133,24 @@ class FingerprintIndex:
         for old in self.history:
             texts = texts.unionByName(old.withColumn("new", F.lit(False)))
         schema = "g long, span long, doc long, tkey long, new boolean, start int, n int, windows array<long>"
-        spans = materialise(texts.drop("doc_id").mapInArrow(_spans(self.window, self.gram, bloom), schema), "spans")
+        spans = materialise(texts.drop("doc_id").mapInArrow(lean(_spans(self.window, self.gram, bloom)), schema), "spans")
+        bloom.destroy()
         self.runs.append(run)
         self.history.append(batch)
         if len(self.runs) > self.max_runs:
             self.compact()
-        return self._verified(spans)
+        removed = self._verified(spans)
+        discard(spans)
+        return removed
 
     def compact(self) -> None:
+        """Merge all runs into one."""
         whole = self.runs[0]
         for run in self.runs[1:]:
             whole = whole.unionByName(run)
-        self.runs = [materialise(whole.groupBy("g").agg(F.sum("n").alias("n")).sortWithinPartitions("g"), "run")]
+        merged = bucketed(whole.groupBy("g").agg(F.sum("n").alias("n")), "g", "run")
+        discard(*self.runs)
+        self.runs, self.compactions = [merged], self.compactions + 1
 
     def _verified(self, spans: DataFrame) -> DataFrame:
         place = F.struct("doc", "tkey", "start")
@@ -150,12 +159,14 @@ class FingerprintIndex:
         later = held.where("new and place != first").select("place.*", F.expr("place.start + n + %d" % (self.window - 1)).alias("end"))
         several = firsts.groupBy("g").agg(F.count("*").alias("spans")).where("spans > 1").select("g")
         mixed = firsts.join(several, "g", "left_semi").select("g", "span", F.col("first.doc").alias("doc"), F.col("first.tkey").alias("tkey"), F.col("first.start").alias("start"))
-        windows = spans.join(mixed, ["g", "span", "doc", "tkey", "start"], "left_semi").select("doc", "tkey", "new", F.posexplode("windows").alias("i", "w"), "start")
-        windows = materialise(windows.select("doc", "tkey", "new", (F.col("start") + F.col("i")).alias("start"), "w"), "windows")
-        earliest = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-        lone = windows.where("new").select("w", place.alias("place")).join(earliest, "w").where("place != first").select("place.*", F.expr("place.start + %d" % self.window).alias("end"))
+        windows = spans.join(mixed, ["g", "span", "doc", "tkey", "start"], "left_semi").select("g", "doc", "tkey", "new", F.posexplode("windows").alias("i", "w"), "start")
+        windows = materialise(windows.select("g", "doc", "tkey", "new", (F.col("start") + F.col("i")).alias("start"), "w"), "windows")
+        earliest = windows.groupBy("g", "w").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+        lone = windows.where("new").select("g", "w", place.alias("place")).join(earliest, ["g", "w"]).where("place != first").select("place.*", F.expr("place.start + %d" % self.window).alias("end"))
         ranges = later.unionByName(lone).groupBy("doc", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-        return ranges.mapInArrow(_merged, "doc long, tkey long, removed array<int>")
+        removed = materialise(ranges.mapInArrow(lean(_merged), "doc long, tkey long, removed array<int>"), "removed")
+        discard(firsts, windows)
+        return removed
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +182,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = e
                 words = left + words[at:]
             n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            kept.append(b" ".join(words))
+        yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _hash_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +201,13 @@ def dedup(batches: list[DataFrame], index: FingerprintIndex, digest: bool = Fals
     batches; kept is the remaining words joined by one space, or with digest kept_sha256 is its SHA-256."""
     out = None
     for batch in batches:
-        removed = materialise(index.add(batch), "removed")
+        removed = index.add(batch)
         size = removed.agg(F.count("*") * 48 + F.coalesce(F.sum(F.size("removed")), F.lit(0)) * 4).first()[0]
         side = F.broadcast(removed) if size <= BROADCAST_BYTES else removed
         joined = keyed(batch).join(side, ["doc", "tkey"], "left").select("doc_id", "text", "removed")
         run, last = (_hash_kept, "kept_sha256") if digest else (_cut, "kept")
-        part = joined.mapInArrow(run, f"doc_id {batch.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, {last} string")
+        schema = T.StructType([batch.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
+        part = joined.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -203,23 +215,28 @@ def dedup(batches: list[DataFrame], index: FingerprintIndex, digest: bool = Fals
 def by_doc_id(docs: DataFrame, n: int) -> list[DataFrame]:
     """Split the documents into n batches of rising doc_id, of about equal counts; a null doc_id goes to the last."""
     docs = docs.select("doc_id", "text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)])).first()[0] if n > 1 else None
+    key = F.col("doc_id").try_cast("long")
+    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)])).first()[0] if n > 1 else None
     cuts = sorted(set(cuts or []))
     bounds = [None, *cuts, None]
     out = []
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = docs
         if hi is not None:
-            part = part.where(F.col("doc_id") <= hi)
+            part = part.where(key <= hi)
         if lo is not None:
-            part = part.where((F.col("doc_id") > lo) | F.col("doc_id").isNull())
+            part = part.where((key > lo) | key.isNull())
         out.append(part)
     return out
 
 
+#: Batches of the query: more than the index has runs, so that the last is joined with a compacted run.
+BATCHES = 4
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup(by_doc_id(docs, 2), FingerprintIndex(spark), digest=True)
+    return dedup(by_doc_id(docs, BATCHES), FingerprintIndex(spark), digest=True)
 
 
 SQL = r"""
