@@ -59,7 +59,7 @@ _TOGETHER = {
 #: Metrics of each shared step.
 _OF = {"of_words": ("n_words", "n_repeat_words"), "of_lines": ("n_lines", "n_dup_lines")}
 
-SAMPLE_ROWS, REPEATS, FLOOR = 1000, 3, 0.01
+SAMPLE_ROWS, REPEATS, FLOOR = 1000, 2, 0.01
 
 
 @dataclass(frozen=True)
