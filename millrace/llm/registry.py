@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, html_extract, jaccard_join, quality, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter, warc
+from millrace.llm import decontaminate, html_extract, jaccard_join, markov_lm, quality, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_lm_scoring": markov_lm.op11_lm_scoring,
 }
 
 ORACLE_SQL = {
