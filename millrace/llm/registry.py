@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, html_extract, jaccard_join, markov_lm, quality, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter, warc
+from millrace.llm import decontaminate, html_extract, jaccard_join, lexical_search, markov_lm, quality, secret_scan, sentencepiece_codec, substring_dedup, token_alignment, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_lm_scoring": markov_lm.op11_lm_scoring,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op7_url_filter": url_filter.SQL,
     "op8_quality_rules": quality.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }

@@ -88,6 +88,20 @@ def _remove_all() -> None:
             _remove(spark, path)
 
 
+def least_of_most_frequent(table: DataFrame, column: str, most: int) -> int:
+    """The least count in a column of counts such that no more than `most` rows have it or a higher one, told from a histogram of at
+    most 512 bars; greater than any count if even the highest are too many."""
+    bar = F.floor(F.log2(F.col(column)) * 8).alias("bar")
+    bars = table.where(F.col(column) > 0).groupBy(bar).agg(F.min(column).alias("least"), F.count("*").alias("rows")).collect()
+    total, least = 0, np.iinfo(np.int64).max
+    for r in sorted(bars, key=lambda r: -r["bar"]):
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["least"]
+    return int(least)
+
+
 def lean(run: Callable) -> Callable:
     """A task's function over batches that gives the memory which it no longer needs back to the system: workers are kept and used again."""
 
