@@ -110,6 +110,11 @@ class Pieces:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
+@lru_cache(maxsize=2)
+def vocabularies(a_file: str, b_file: str) -> tuple[ByteLevel, Pieces]:
+    return ByteLevel(a_file), Pieces(b_file)
+
+
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
     """How many of a's values are among the first d of the merge of a and b, for each diagonal d; of equal values a's comes first."""
     low, high = np.maximum(0, diagonals - len(b)), np.minimum(diagonals, len(a))
@@ -201,7 +206,7 @@ class Stretches:
     """The stretches that a task has aligned, with what texts add up: tokens, groups and links, the groups' text, and the pairs."""
 
     def __init__(self, a_file: str, b_file: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.a, self.b, self.counts = ByteLevel(a_file), Pieces(b_file), counts
+        (self.a, self.b), self.counts = vocabularies(a_file, b_file), counts
         self.split = _STRETCH.findall if self.a.separable and self.b.separable else lambda s: [s]
         self.size_a, self.size_b = (np.array([len(x) for x in t.spelt]) for t in (self.a, self.b))
         self.clear()
