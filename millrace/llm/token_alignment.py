@@ -13,9 +13,9 @@ Texts are cut where no token of either vocabulary can reach across: before a spa
 space after another character. Such a stretch is encoded and aligned once as long as a task keeps it. A vocabulary without that
 property works on whole texts.
 
-1. Tasks count the distinct id pairs of each text; Spark sums them to the number of texts for each pair, bucketed by pair.
-2. At most KNOWN of the most frequent pairs are broadcast with their counts. Texts are aligned again with them; a text's other pairs are kept
-   as (pair, links) and meet the table in a join.
+1. Each text is aligned once and written with its distinct pairs and their links.
+2. Tasks count the texts of each pair; Spark sums the counts and buckets them by pair.
+3. At most KNOWN of the most frequent pairs are broadcast with their counts and added up for each text; its other pairs meet the table in a join.
 
 Null and empty texts have no tokens; neither have texts whose joined bytes of A or B differ from the space and the text (say, with U+2581 in
 them, which B spells as a space). Rows that share a doc_id are aligned, and counted as texts, each for itself. Bytes that aren't UTF-8 are read
@@ -29,13 +29,14 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import bucketed, lean, least_of_most_frequent, materialise
+from millrace.llm.shared import bucketed, discard, lean, least_of_most_frequent, materialise
 from millrace.llm.words import text_batches
 
 #: Most pairs that are broadcast with their counts.
@@ -43,7 +44,7 @@ KNOWN = 1 << 20
 #: Steps of a merge between two diagonals.
 STEPS = 4096
 #: Stretches, and their characters, that a task keeps; distinct pairs that it counts before it hands them on.
-KEPT, KEPT_CHARS, COUNTED = 150_000, 8_000_000, 1 << 20
+KEPT, KEPT_CHARS, COUNTED = 400_000, 16_000_000, 1 << 20
 #: Groups with more links than this are first reduced to their distinct ids.
 LARGE_GROUP = 256
 # Fixed value: how byte-level BPE splits a text before it merges.
@@ -163,7 +164,7 @@ def groups(a: np.ndarray, b: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.cumsum([0, *map(len, lists)])
-    return np.fromiter((x for some in lists for x in some), dtype=np.int64, count=int(bounds[-1])), bounds
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(bounds[-1])), bounds
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -205,16 +206,18 @@ class _Codes(dict):
 class Stretches:
     """The stretches that a task has aligned, with what texts add up: tokens, groups and links, the groups' text, and the pairs."""
 
-    def __init__(self, a_file: str, b_file: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        (self.a, self.b), self.counts = vocabularies(a_file, b_file), counts
+    def __init__(self, a_file: str, b_file: str):
+        self.a, self.b = vocabularies(a_file, b_file)
         self.split = _STRETCH.findall if self.a.separable and self.b.separable else lambda s: [s]
         self.size_a, self.size_b = (np.array([len(x) for x in t.spelt]) for t in (self.a, self.b))
+        # ids as text, followed by a comma or by what ends a group's A tokens and its B tokens
+        self.told_a, self.told_b = (np.array([[f"{i},", f"{i}{end}"] for i in range(len(t.spelt))], dtype=object) for t, end in ((self.a, "|"), (self.b, ";")))
         self.clear()
 
     def clear(self) -> None:
-        self.code, self.chars, self.text, self.ids = _Codes(), 0, [], []
-        #: columns: is right, n_a, n_b, n_groups, n_links, best links, sum of counts, has pairs beyond those broadcast
-        self.sums = np.zeros((0, 8), dtype=np.int64)
+        self.code, self.chars, self.text = _Codes(), 0, []
+        #: columns: is right, n_a, n_b, n_groups, n_links
+        self.sums = np.zeros((0, 5), dtype=np.int64)
         self.pair, self.times, self.bounds = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def full(self) -> bool:
@@ -224,7 +227,7 @@ class Stretches:
         """Numbers of the stretches of the texts, and the texts' bounds among them; new stretches are aligned."""
         parts = [self.split(f" {t}") if t else [] for t in texts]
         bounds = np.cumsum([0, *map(len, parts)])
-        codes = np.fromiter((x for p in parts for x in map(self.code.__getitem__, p)), dtype=np.int64, count=int(bounds[-1]))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(bounds[-1]))
         if self.code.new:
             self._align(self.code.new)
             self.code.new = []
@@ -233,12 +236,18 @@ class Stretches:
     def _align(self, new: list[str]) -> None:
         self.chars += sum(map(len, new))
         in_a, in_b = [self.a.encode(s) for s in new], self.b.encode(new)
-        spelt_a, spelt_b = self.a.spelt, self.b.spelt
-        right = np.array([b"".join([spelt_a[i] for i in x]) == (s_ := s.encode()) and b"".join([spelt_b[i] for i in y]) == s_ for s, x, y in zip(new, in_a, in_b, strict=True)], dtype=bool)
-        for k in np.flatnonzero(~right):
-            in_a[k], in_b[k] = [], []
         a, bounds_a = _flat(in_a)
         b, bounds_b = _flat(in_b)
+        spelt = [s.encode() for s in new]
+        right = np.ones(len(new), dtype=bool)
+        ends = np.cumsum([0, *map(len, spelt)])
+        same = all(
+            np.array_equal(np.concatenate(([0], np.cumsum(size[ids])))[bounds], ends) and b"".join(map(t.spelt.__getitem__, ids.tolist())) == b"".join(spelt)
+            for t, size, ids, bounds in ((self.a, self.size_a, a, bounds_a), (self.b, self.size_b, b, bounds_b))
+        )
+        if not same:  # some stretch is spelt otherwise: told one by one
+            right = np.array([b"".join(map(self.a.spelt.__getitem__, x)) == s and b"".join(map(self.b.spelt.__getitem__, y)) == s for s, x, y in zip(spelt, in_a, in_b, strict=True)], dtype=bool)
+            (a, bounds_a), (b, bounds_b) = (_flat([x if ok else [] for x, ok in zip(ids, right, strict=True)]) for ids in (in_a, in_b))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         of_a, of_b, n = groups(ends_a, ends_b)
         n_a, n_b = np.diff(bounds_a), np.diff(bounds_b)
@@ -256,23 +265,18 @@ class Stretches:
         first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, dtype=np.int64)
         at, pair, times = at[first], pair[first], np.add.reduceat(times, first) if len(first) else times
         links = np.bincount(owner, p * q, len(new)).astype(np.int64)
-        best, total, rest = np.zeros((3, len(new)), dtype=np.int64)
-        if self.counts is not None:
-            keys, count, is_best = self.counts
-            where = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-            known = keys[where] == pair if len(keys) else np.zeros(len(pair), dtype=bool)
-            c = count[where] if len(keys) else where
-            np.add.at(total, at[known], times[known] * c[known])
-            np.add.at(best, at[known], times[known] * is_best[where][known] if len(keys) else times[known])
-            rest = np.bincount(at[~known], minlength=len(new))
-            at, pair, times = at[~known], pair[~known], times[~known]  # only what must be joined is kept
-        self.sums = np.concatenate((self.sums, np.stack((right, n_a, n_b, np.diff(last), links, best, total, rest), axis=1)))
+        self.sums = np.concatenate((self.sums, np.stack((right, n_a, n_b, np.diff(last), links), axis=1)))
         self.pair, self.times = np.concatenate((self.pair, pair)), np.concatenate((self.times, times))
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(np.bincount(at, minlength=len(new)))))
-        begin_p, begin_q = np.cumsum(p) - p, np.cumsum(q) - q
-        named_a, named_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        joined = [f"{','.join(named_a[i : i + k])}|{','.join(named_b[j : j + m])}" for i, k, j, m in zip(begin_p.tolist(), p.tolist(), begin_q.tolist(), q.tolist(), strict=True)]
-        self.text += [";".join(joined[s:e]) for s, e in zip(last[:-1].tolist(), last[1:].tolist(), strict=True)]
+        # the groups' text: of each group its A tokens, then its B tokens, each with what follows it
+        before = np.concatenate(([0], np.cumsum(p + q)))
+        place_a = before[of_a] + np.arange(len(a)) - (np.cumsum(p) - p)[of_a]
+        place_b = before[of_b] + p[of_b] + np.arange(len(b)) - (np.cumsum(q) - q)[of_b]
+        told = np.empty(len(a) + len(b), dtype=object)
+        told[place_a] = self.told_a[a, np.append(of_a[1:] != of_a[:-1], True).astype(int)[: len(a)]]
+        told[place_b] = self.told_b[b, np.append(of_b[1:] != of_b[:-1], True).astype(int)[: len(b)]]
+        told, cut = told.tolist(), before[last].tolist()
+        self.text += ["".join(told[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
     def right(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which texts have all their stretches spelt as they are, and some."""
@@ -299,44 +303,69 @@ def _texts(raw: list[bytes]) -> list[str]:
     return [t.decode(errors="replace") for t in raw]
 
 
-def _count(a_file: str, b_file: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, held, size = Stretches(a_file, b_file), [], 0
+_SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 
-        def united(parts):
-            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
-        def rows(parts):
-            keys, n = united(parts)
-            return pa.record_batch([pa.array(keys), pa.array(n)], ["pair", "n"])
+def _measure(a_file: str, b_file: str):
+    """uid, doc_id, the sums, the digest of the groups, and the distinct pairs with their links."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Stretches(a_file, b_file)
         for batch, raw in text_batches(batches, "text"):
             codes, bounds = s.codes(_texts(raw))
             right = s.right(codes, bounds)
             owner = np.repeat(np.arange(len(raw)), np.diff(bounds))
             mine = right[owner]
-            _, pair, _ = s.pairs(codes[mine], owner[mine])
-            held.append(np.unique(pair, return_counts=True))
-            size += len(held[-1][0])
-            if size > 2 * COUNTED:
-                held = [united(held)]
-                size = len(held[0][0])
-                if size > COUNTED:
-                    yield rows(held)
-                    held, size = [], 0
+            codes, owner = codes[mine], owner[mine]
+            sums = [pa.array(x) for x in np.ascontiguousarray(_sums(s.sums[codes, 1:], owner, len(raw)).T)]
+            cut = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
+            text, number = s.text, codes.tolist()
+            digests = [hashlib.sha256("".join([text[c] for c in number[b:e]])[:-1].encode()).hexdigest() if ok else "" for ok, b, e in zip(right.tolist(), cut[:-1], cut[1:], strict=True)]
+            of, pair, times = s.pairs(codes, owner)
+            offsets = pa.array(np.searchsorted(of, np.arange(len(raw) + 1)).astype(np.int32))
+            pairs, links = pa.ListArray.from_arrays(offsets, pa.array(pair)), pa.ListArray.from_arrays(offsets, pa.array(times))
+            yield pa.record_batch([batch.column("uid"), batch.column("doc_id"), *sums, pa.array(digests, pa.string()), pairs, links], ["uid", "doc_id", *_SUMS, "groups_sha256", "pairs", "links"])
             if s.full():
                 s.clear()
-        if held:
-            yield rows(held)
 
     return run
 
 
-def count_pairs(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """The bucketed table of (pair, n: texts that hold it, best: whether n is the highest of its A id)."""
-    counted = docs.select("text").mapInArrow(lean(_count(a_file, b_file)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counted = materialise(counted, "pairs")
+def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of whole numbers by owner (rising)."""
+    total = np.concatenate((np.zeros((1, *values.shape[1:]), dtype=np.int64), np.cumsum(values, axis=0)))
+    cut = np.searchsorted(owner, np.arange(n + 1))
+    return total[cut[1:]] - total[cut[:-1]]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def united(parts):
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def rows(parts):
+        keys, n = united(parts)
+        return pa.record_batch([pa.array(keys), pa.array(n)], ["pair", "n"])
+
+    for batch in batches:
+        held.append(np.unique(batch.column("pairs").flatten().to_numpy(), return_counts=True))
+        size += len(held[-1][0])
+        if size > 2 * COUNTED:
+            held = [united(held)]
+            size = len(held[0][0])
+            if size > COUNTED:
+                yield rows(held)
+                held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+def count_pairs(measured: DataFrame) -> DataFrame:
+    """Texts' distinct pairs to the bucketed table of (pair, n: texts that hold it, best: whether n is the highest of its A id)."""
+    counted = materialise(measured.select("pairs").mapInArrow(lean(_count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     a = F.shiftright("pair", 32)
     # a row for each id of A: bounded by its vocabulary
     highest = counted.groupBy(a.alias("a")).agg(F.max("n").alias("highest"))
@@ -344,30 +373,23 @@ def count_pairs(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     return bucketed(table.select("pair", "n", (F.col("n") == F.col("highest")).alias("best")).repartition("pair"), "pair", "pairs")
 
 
-_SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+def _add(shared):
+    """Add what the broadcast pairs come to for each text, and keep the others to be joined."""
 
-
-def _measure(shared, a_file: str, b_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Stretches(a_file, b_file, shared.value)
-        for batch, raw in text_batches(batches, "text"):
-            codes, bounds = s.codes(_texts(raw))
-            right = s.right(codes, bounds)
-            owner = np.repeat(np.arange(len(raw)), np.diff(bounds))
-            mine = right[owner]
-            codes, owner = codes[mine], owner[mine]
-            cut = np.searchsorted(owner, np.arange(len(raw) + 1))
-            total = np.concatenate((np.zeros((1, 6), dtype=np.int64), np.cumsum(s.sums[codes, 1:7], axis=0)))
-            sums = [pa.array(x) for x in np.ascontiguousarray((total[cut[1:]] - total[cut[:-1]]).T)]
-            text, number = s.text, codes.tolist()
-            digests = [hashlib.sha256(";".join([text[c] for c in number[b:e]]).encode()).hexdigest() if ok else "" for ok, b, e in zip(right.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            more = s.sums[codes, 7] > 0
-            of, pair, times = s.pairs(codes[more], owner[more])
-            offsets = pa.array(np.searchsorted(of, np.arange(len(raw) + 1)).astype(np.int32))
-            tail, links = pa.ListArray.from_arrays(offsets, pa.array(pair)), pa.ListArray.from_arrays(offsets, pa.array(times))
-            yield pa.record_batch([batch.column("uid"), batch.column("doc_id"), *sums, pa.array(digests, pa.string()), tail, links], ["uid", "doc_id", *_SUMS, "groups_sha256", "tail", "links"])
-            if s.full():
-                s.clear()
+        keys, count, best = shared.value
+        for batch in batches:
+            lists = batch.column("pairs")
+            pair, times = lists.flatten().to_numpy(), batch.column("links").flatten().to_numpy()
+            n = batch.num_rows
+            owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            where = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            known = keys[where] == pair if len(keys) else np.zeros(len(pair), dtype=bool)
+            at, links = where[known], times[known]
+            sums = [pa.array(_sums(links * x[at], owner[known], n)) for x in (best, count)]
+            offsets = pa.array(np.searchsorted(owner[~known], np.arange(n + 1)).astype(np.int32))
+            rest = [pa.ListArray.from_arrays(offsets, pa.array(x[~known])) for x in (pair, times)]
+            yield pa.record_batch([*(batch.column(c) for c in ("uid", "doc_id", *_SUMS, "groups_sha256")), *sums, *rest], ["uid", "doc_id", *_SUMS, "groups_sha256", "n_best", "count_sum", "tail", "links"])
 
     return run
 
@@ -379,7 +401,7 @@ def _list_groups(a_file: str, b_file: str):
             codes, bounds = s.codes(_texts(raw))
             out = []
             for ok, b, e in zip(s.right(codes, bounds), bounds[:-1], bounds[1:], strict=True):
-                rows = ";".join([s.text[c] for c in codes[b:e]]).split(";") if ok else []
+                rows = "".join([s.text[c] for c in codes[b:e]])[:-1].split(";") if ok else []
                 out.append([dict(zip("ab", ([int(x) for x in side.split(",")] for side in g.split("|")), strict=True)) for g in rows])
             kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "groups"])
@@ -398,21 +420,22 @@ def aligned_groups(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 def align_tokens(docs: DataFrame, a_file: str, b_file: str, known: int = KNOWN) -> DataFrame:
     """(doc_id, text) to doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair has the highest count of its A id), count_sum (over
     links) and groups_sha256 (of `a1,a2|b1;a3|b2,b3`). A pair's count is the number of texts that hold it linked."""
-    docs = docs.select("doc_id", "text")
-    table = count_pairs(docs, a_file, b_file)
+    docs = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    fixed = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in _SUMS)}, groups_sha256 string"
+    measured = materialise(docs.mapInArrow(lean(_measure(a_file, b_file)), f"{fixed}, pairs array<long>, links array<long>"), "aligned")
+    table = count_pairs(measured)
     least = least_of_most_frequent(table, "n", known)
     top = table.where(F.col("n") >= least).select("pair", "n", "best").toArrow()  # at most `known` rows
     keys = top["pair"].to_numpy()
     order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], top["best"].to_numpy(zero_copy_only=False).astype(np.int64)[order]))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"uid long, doc_id {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups_sha256 string, tail array<long>, links array<long>"
-    measured = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), "*").mapInArrow(lean(_measure(shared, a_file, b_file)), schema), "aligned")
+    added = materialise(measured.mapInArrow(lean(_add(shared)), f"{fixed}, n_best long, count_sum long, tail array<long>, links array<long>"), "added")
     shared.destroy()
-    rest = measured.select("uid", F.explode(F.arrays_zip("tail", "links")).alias("t")).select("uid", F.col("t.tail").alias("pair"), F.col("t.links").alias("links"))
+    discard(measured)
+    rest = added.select("uid", F.explode(F.arrays_zip("tail", "links")).alias("t")).select("uid", F.col("t.tail").alias("pair"), F.col("t.links").alias("links"))
     rest = rest.join(table, "pair").groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("more_best"), F.sum(F.col("links") * F.col("n")).alias("more_sum"))
-    added = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-    return measured.join(rest, "uid", "left").select("doc_id", *_SUMS[:4], added("n_best", "more_best"), added("count_sum", "more_sum"), "groups_sha256")
+    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
+    return added.join(rest, "uid", "left").select("doc_id", *_SUMS, plus("n_best", "more_best"), plus("count_sum", "more_sum"), "groups_sha256")
 
 
 @lru_cache(maxsize=1)
