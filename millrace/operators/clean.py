@@ -70,8 +70,8 @@ def fill_defaults(df: DataFrame, specs: tuple[ColumnSpec, ...]) -> DataFrame:
     return df.fillna(values) if values else df
 
 
-def clean_entity(df: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Drop all-NULL rows, fill defaults, blank and NaN to NULL, standard values, then drop duplicates."""
+def clean_entity(df: DataFrame, spec: EntitySpec, infinite_to_null: bool = False) -> DataFrame:
+    """Drop all-NULL rows, fill defaults, blank and NaN (if asked for, infinite values, too) to NULL, standard values, then drop duplicates."""
     df = fill_defaults(df.dropna(how="all"), spec.columns)
     specs = {s.name: s for s in spec.columns}
 
@@ -82,7 +82,7 @@ def clean_entity(df: DataFrame, spec: EntitySpec) -> DataFrame:
             if s is None or s.nullable:
                 c = C.empty_to_null(c)
         if isinstance(f.dataType, FLOATING):
-            c = C.nan_to_null(c)
+            c = C.nan_to_null(c, infinite_to_null)
         if s is not None and "standardize" in s.rules:
             c = C.standardised(c, s.rules["standardize"])
         return c.alias(f.name)
@@ -188,8 +188,10 @@ def older_than(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.where(F.col(ts) < now - F.expr(f"interval {int(days)} days"))
 
 
-def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def union_by_name(frames: list[DataFrame], dedupe_across_files: bool = False) -> DataFrame:
+    """The rows of all frames, columns told by name; with dedupe_across_files equal rows of different frames count once, too."""
+    rows = reduce(lambda a, b: a.unionByName(b), frames)
+    return rows.dropDuplicates() if dedupe_across_files else rows
 
 
 def transformation_summary(before: DataFrame, after: DataFrame) -> DataFrame:

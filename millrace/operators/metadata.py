@@ -243,14 +243,21 @@ def audit_queries(log: DataFrame, known: DataFrame, catalog: str = "spark_catalo
 
 
 def relation_types(relationships: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Type of each relationship (from_table, from_column, to_table, to_column): by the distinct counts of its ends, then by which ends are unique."""
+    """Type of each relationship (from_table, from_column, to_table, to_column), by relation_type."""
     ends = catalog.select("table_name", "column_name", "distinct_count", unique().alias("u"))
     out = relationships.join(ends.toDF("from_table", "from_column", "n", "nu"), ["from_table", "from_column"]).join(ends.toDF("to_table", "to_column", "m", "mu"), ["to_table", "to_column"])
-    ratio = F.col("n") / F.greatest(F.col("m"), F.lit(1))
-    kind = F.when(ratio > 2, "many_to_one").when(ratio < 0.5, "one_to_many").when(F.col("nu") & F.col("mu"), "one_to_one").when(F.col("mu"), "many_to_one").when(F.col("nu"), "one_to_many").otherwise("many_to_many")
+    kind = relation_type(F.col("n"), F.col("m"), F.col("nu"), F.col("mu"))
     return out.select("from_table", "from_column", "to_table", "to_column", kind.alias("relation"))
 
 
+def relation_type(n: Column, m: Column, unique_from: Column, unique_to: Column) -> Column:
+    """By the distinct counts of two columns, where neither is empty: over twice as many on one side make it the many; else one unique side is
+    `one` in the name's first place for the first column, in its last for the second; two unique sides, or none, are many to many."""
+    some = (n > 0) & (m > 0)
+    by_count = F.when(some & (n > 2 * m), "many_to_one").when(some & (2 * n < m), "one_to_many")
+    return by_count.when(unique_from & ~unique_to, "one_to_many").when(unique_to & ~unique_from, "many_to_one").otherwise("many_to_many")
+
+
 def entity_descriptions(catalog: DataFrame) -> DataFrame:
     """A line for each table: what its kind of entity stands for, else whether it is a fact or a dimension."""
     e = entity_names(catalog).join(entity_types(catalog), "table_name")
@@ -340,6 +347,38 @@ def related(relationships: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("a", "b", F.coalesce("exists", F.lit(False)).alias("exists"))
 
 
+# ---- one job over a catalog
+
+
+def discovered_tables(catalog: DataFrame) -> DataFrame:
+    """All that discovery tells of each table: entity, class, description, key, columns, rows, relationships that start there, and
+    the tags of its columns, sorted. The catalog should be written once; nothing here reads data again."""
+    from millrace.operators.relate import key_candidates
+
+    keys = primary_keys(key_candidates(catalog), catalog)
+    links = discovered_relationships(catalog, keys).groupBy(F.col("from_table").alias("table_name")).agg(F.count("*").alias("relationships"))
+    sizes = catalog.groupBy("table_name").agg(F.count("*").alias("columns"), F.max("total").alias("n_rows"))
+    listed = F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("tags", ","), lambda x: x != ""))))
+    tags = column_tags(catalog, keys).groupBy("table_name").agg(F.array_join(F.sort_array(listed), ",").alias("tags"))
+    out = keys.select("table_name", "primary_key")
+    for part in (entity_names(catalog), entity_types(catalog), entity_descriptions(catalog), sizes, tags):
+        out = out.join(part, "table_name")
+    out = out.join(links, "table_name", "left")
+    return out.select("table_name", "entity", "entity_type", "description", "primary_key", "columns", "n_rows", F.coalesce("relationships", F.lit(0)).alias("relationships"), "tags")
+
+
+def discovered_columns(catalog: DataFrame, samples: DataFrame, numbers: DataFrame) -> DataFrame:
+    """All that discovery tells of each column: definition with its first values (samples, as of profile.column_samples, with table_name), tags,
+    description and context, and what numbers (table_name, column_name, ...) adds for numeric ones."""
+    from millrace.operators.relate import column_definitions, key_candidates
+
+    keys = primary_keys(key_candidates(catalog), catalog)
+    out = column_definitions(catalog, keys, samples)
+    for part in (column_tags(catalog, keys), column_descriptions(catalog, keys), column_context(catalog)):
+        out = out.join(part, ["table_name", "column_name"])
+    return out.join(numbers, ["table_name", "column_name"], "left")
+
+
 # ---- schema documents
 
 

@@ -96,27 +96,77 @@ def similarity(entity: Column, file: Column) -> Column:
     return F.coalesce(tier(entity, file), F.least(F.lit(1.0), F.pandas_udf(_ratio, "double")(entity, file) + 0.3 * words))
 
 
-#: Distinct names up to this number are broadcast; more are paired block by block, each block of one side with each of the other.
-BROADCAST_NAMES = 100_000
-#: Pairs of names that one task scores, about.
-TASK_PAIRS = 1_000_000
+#: Names of one side that a block holds: a character that many names share is dealt to blocks of names of either side.
+BLOCK_NAMES = 2_000
 #: Fixed value: names match above this score.
 MATCH_ABOVE = 0.3
 
 
+def _characters(name: Column) -> Column:
+    """The characters of a name, each with how often it came before: as many of these are shared by two names as their multisets share."""
+    each = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(name, i, F.lit(1)))
+    return F.transform(each, lambda c, i: F.concat(c, F.size(F.filter(F.slice(each, F.lit(1), i), lambda x: x == c)).cast("string")))
+
+
+def _indexed(names: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(name) to its tokens, rarest first, and how many of them, `kept`, must be indexed so that no pair above MATCH_ABOVE by its characters
+    is missed: a ratio 2 m / (la + lb) above r needs m > r / (2 - r) * la shared characters, however long the other name is."""
+    tokens = names.select("name", F.explode(_characters(F.col("name"))).alias("token")).join(rarity, "token")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
+    share = MATCH_ABOVE / (2 - MATCH_ABOVE)
+    sized = tokens.groupBy("name").agg(listed.alias("tokens"))
+    # a shared word counts as well, so words are tokens of an index of their own, which all names are in
+    words = F.transform(F.array_distinct(F.split("name", "_")), lambda w: F.concat(F.lit("_"), w))
+    return sized.select("name", "tokens", (F.size("tokens") - F.floor(F.size("tokens") * share)).cast("int").alias("kept"), words.alias("words"))
+
+
+def _met(a: DataFrame, b: DataFrame, left: Column, right: Column, first: Column) -> DataFrame:
+    """Pairs of a and b that share an entry of the two lists, once each: where the shared entry is the first one. An entry's names
+    are dealt to blocks, and each block of one side meets each of the other in a task of its own."""
+    a, b = a.withColumn("token", F.explode(left)), b.withColumn("token", F.explode(right))
+    many = lambda df, n: df.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_NAMES).cast("int").alias(n))
+    blocks = many(a, "na").join(many(b, "nb"), "token")
+    dealt = lambda df, mine, other, i, j: df.join(blocks, "token").withColumn(i, F.pmod(F.xxhash64("name"), mine).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("na", "nb")
+    x = dealt(a, F.col("na"), "nb", "i", "j").select(*(F.col(c).alias(f"{c}_a") for c in ("name", "tokens", "kept", "words")), "token", "i", "j")
+    y = dealt(b, F.col("nb"), "na", "j", "i").select(*(F.col(c).alias(f"{c}_b") for c in ("name", "tokens", "kept", "words")), "token", "i", "j")
+    return x.join(y.hint("shuffle_hash"), ["token", "i", "j"]).where(F.col("token") == first)
+
+
+def name_candidates(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """(entity) and (file) to the pairs (entity, file) of distinct names whose score can be above MATCH_ABOVE: those that share enough characters or a word for the bound
+    min(1, 2 * shared characters / lengths + 0.3 * shared words), or of which one holds the other. Found by an inverted
+    index on characters, rarest first, and on words; no pair is looked at that shares none of either."""
+    a, b = (df.select(F.col(c).alias("name")).where("name is not null and name != ''").distinct() for df, c in ((entities, "entity"), (files, "file")))
+    counts = a.unionByName(b).select(F.explode(_characters(F.col("name"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    a, b = _indexed(a, counts), _indexed(b, counts)
+    prefix = lambda side="": F.slice(F.col(f"tokens{side}"), F.lit(1), F.col(f"kept{side}"))
+    common = lambda x, y: F.array_intersect(x, y)[0]
+    in_prefix = F.arrays_overlap(prefix("_a"), prefix("_b"))
+    by_character = _met(a, b, prefix(), prefix(), common(prefix("_a"), prefix("_b")))
+    by_word = _met(a, b, F.col("words"), F.col("words"), common(F.col("words_a"), F.col("words_b"))).where(~in_prefix)
+    # what is held whole shares all its characters, its rarest among them, wherever that stands in the longer name
+    rarest = lambda side="": F.slice(F.col(f"tokens{side}"), 1, 1)
+    new = ~in_prefix & ~F.arrays_overlap("words_a", "words_b")
+    inside = _met(a, b, rarest(), F.col("tokens"), F.col("tokens_a")[0]).where(new & F.contains("name_b", "name_a"))
+    around = _met(a, b, F.col("tokens"), rarest(), F.col("tokens_b")[0]).where(new & F.contains("name_a", "name_b") & (F.col("name_a") != F.col("name_b")))
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    words = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
+    bound = 2 * shared / (F.size("tokens_a") + F.size("tokens_b")) + 0.3 * words
+    held = F.contains("name_a", "name_b") | F.contains("name_b", "name_a")
+    met = by_character.unionByName(by_word).unionByName(inside).unionByName(around)
+    return met.where((bound > MATCH_ABOVE - 1e-9) | held).select(F.col("name_a").alias("entity"), F.col("name_b").alias("file"))
+
+
 def name_matches(entities: DataFrame, files: DataFrame) -> DataFrame:
-    """(entity) and (file) to (entity, file, score): all pairs of distinct names that score above MATCH_ABOVE. Every pair is scored; blocks
-    only say which task does it. A null name matches nothing."""
+    """(entity) and (file) to (entity, file, score): all pairs of distinct names that score above MATCH_ABOVE. Python scores only what the
+    exact bound of name_candidates leaves and the cheap kinds don't settle. A null name matches nothing; an empty one is in every name."""
+    pairs = name_candidates(entities, files)
     a, b = entities.select("entity").where("entity is not null").distinct(), files.select("file").where("file is not null").distinct()
-    n, m = a.count(), b.count()
-    few, many, least = (a, b, n) if n <= m else (b, a, m)
-    tasks = max(1, -(-n * m // TASK_PAIRS))
-    if least <= BROADCAST_NAMES:
-        pairs = many.repartition(min(max(n, m, 1), tasks), many.columns[0]).crossJoin(F.broadcast(few))
-    else:
-        blocks = -(-least // BROADCAST_NAMES)
-        pairs = many.repartition(max(1, tasks // blocks), many.columns[0]).crossJoin(few.repartition(blocks, few.columns[0]).hint("shuffle_replicate_nl"))
-    return pairs.select("entity", "file", similarity(F.col("entity"), F.col("file")).alias("score")).where(F.col("score") > MATCH_ABOVE)
+    empty_a, empty_b = a.where("entity = ''"), b.where("file = ''")  # a row each at most
+    pairs = pairs.unionByName(b.join(F.broadcast(empty_a)).select("entity", "file")).unionByName(a.where("entity != ''").join(F.broadcast(empty_b)).select("entity", "file"))
+    cheap = pairs.withColumn("score", tier(F.col("entity"), F.col("file")))
+    rest = cheap.where("score is null").select("entity", "file", similarity(F.col("entity"), F.col("file")).alias("score"))
+    return cheap.where("score is not null").unionByName(rest).where(F.col("score") > MATCH_ABOVE)
 
 
 # A file name's additions to an entity's name, and what looks like a date in it.
@@ -160,7 +210,7 @@ def common_columns(catalog: DataFrame, keys: DataFrame | None = None, both_ways:
     """Pairs of tables that share a column name, with a confidence from type, name and distinct counts; of each pair the one way by
     table name, or both. With keys (table_name, primary_key), a column that is the key of both tables makes no pair. The pairs of a
     name that many tables share grow with their square: shared_names has such names in a row each."""
-    from millrace.operators.metadata import LINK_WORDS
+    from millrace.operators.metadata import LINK_WORDS, relation_type
 
     c = catalog.withColumn("name", F.lower("column_name"))
     c = c.withColumn("is_key", F.lit(False)) if keys is None else c.join(keys.select("table_name", "primary_key"), "table_name", "left").withColumn("is_key", F.coalesce(F.col("primary_key") == F.col("column_name"), F.lit(False)))
@@ -172,7 +222,7 @@ def common_columns(catalog: DataFrame, keys: DataFrame | None = None, both_ways:
     part = lambda when, x: F.when(when, x).otherwise(0.0)
     score = F.lit(0.4) + part(F.col("a.data_type") == F.col("b.data_type"), 0.3) + part(likely, 0.2) + part(some & (F.greatest(n, m) / F.least(n, m) > 2), 0.1)
     lone = lambda t: (F.col(f"{t}.distinct_count") == F.col(f"{t}.total")) & (F.col(f"{t}.null_count") == 0)
-    kind = F.when(some & (n / m > 2), "many_to_one").when(some & (n / m < 0.5), "one_to_many").when(lone("a") & ~lone("b"), "one_to_many").when(lone("b") & ~lone("a"), "many_to_one").otherwise("many_to_many")
+    kind = relation_type(n, m, lone("a"), lone("b"))
     return pairs.select(F.col("a.table_name").alias("from_table"), F.col("b.table_name").alias("to_table"), F.col("a.column_name").alias("column_name"), F.col("b.column_name").alias("to_column"), F.round(score, 2).alias("confidence"), kind.alias("relation"))
 
 
@@ -182,7 +232,8 @@ def shared_names(catalog: DataFrame) -> DataFrame:
 
 
 def key_candidates(catalog: DataFrame) -> DataFrame:
-    """Columns that may be a primary key: named like a key, or nearly all distinct and never NULL; ranked id, *_id, *id*, others."""
+    """Columns that may be a primary key: named like a key, or nearly all distinct and never NULL; ranked id, *_id, *id*, others. A name is
+    enough, whatever the values: uniqueness (distinct values by rows) lets a caller ask for more."""
     from millrace.operators.metadata import KEY_WORDS
 
     low = F.lower("column_name")
@@ -190,7 +241,8 @@ def key_candidates(catalog: DataFrame) -> DataFrame:
     rank = F.when(low == "id", 0).when(low.endswith("_id"), 1).when(low.contains("id"), 2).otherwise(3)
     w = Window.partitionBy("table_name").orderBy("kind", "ordinal")
     named = reduce(or_, (low.contains(w) for w in KEY_WORDS))
-    return catalog.where(named | unique).select("table_name", "column_name", "ordinal", rank.alias("kind")).withColumn("rank", F.row_number().over(w)).drop("ordinal")
+    share = F.round(F.when(F.col("total") > 0, F.col("distinct_count") / F.col("total")).otherwise(0.0), 4).alias("uniqueness")
+    return catalog.where(named | unique).select("table_name", "column_name", "ordinal", share, rank.alias("kind")).withColumn("rank", F.row_number().over(w)).drop("ordinal")
 
 
 def column_definitions(catalog: DataFrame, keys: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:

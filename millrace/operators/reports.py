@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,20 @@ def archived_jobs(folders: DataFrame, folder: str, at: str) -> DataFrame:
     return runs.groupBy("job").agg(listed.alias("runs"), F.count("*").alias("total_runs"))
 
 
+def restore_manifest(archived: DataFrame, path: str) -> DataFrame:
+    """The inverse of archive_manifest, from the archive's paths alone: (job, run, archive_path, path) of each file of an archived run. Folders
+    and the archive's own manifests are not restored."""
+    job, run = run_parts(F.split_part(F.col(path), F.lit("/"), F.lit(2)))
+    inside = F.regexp_extract(path, "^archived_jobs/[^/]+/(.+)$", 1)
+    found = archived.select(job.alias("job"), run.alias("run"), F.col(path).alias("archive_path"), inside.alias("inside")).where("run != '' and inside != '' and not endswith(inside, '/') and not endswith(inside, '_manifest.json')")
+    return found.select("job", "run", "archive_path", F.concat_ws("/", F.lit("jobs"), "job", "inside").alias("path"))
+
+
+def files_of_jobs(manifest: DataFrame, job: str, run: str) -> DataFrame:
+    """archive_manifest's rows to a row for each job and run: its files, and the first and last of them by path."""
+    return manifest.groupBy(F.col(job).alias("job"), F.col(run).alias("run")).agg(F.count("*").alias("files"), F.min("archive_path").alias("first"), F.max("archive_path").alias("last"))
+
+
 def archive_manifest(files: DataFrame, job: str, run: str, path: str) -> DataFrame:
     """Where each of a job's files (path `jobs/job/...`) goes in the archive: (job, run, path, archive_path)."""
     inside = F.replace(F.col(path), F.concat(F.lit("jobs/"), F.col(job).cast("string"), F.lit("/")), F.lit(""))
@@ -158,10 +172,20 @@ def series(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return long.groupBy("series").agg(F.array_join(points, ",").alias("points"))
 
 
-def nested_listing(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, order: list[str], payload: dict[str, Column]) -> DataFrame:
-    """Each parent with the number of its children and a list of them, in order, as structs of the payload; no children are an empty list."""
+def nested_listing(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, order: list[str], payload: dict[str, Column], first: int | None = None) -> DataFrame:
+    """Each parent with the number of its children and a list of them, in order, as structs of the payload; no children are an empty list.
+
+    With `first`, the list is a preview of so many children, beside the exact number of all: each task ranks what it has and hands on at
+    most `first` children of a parent, and counts are summed in tasks first, so a parent with a third of all children is no larger
+    than another. Without it the list is whole, and as long as the parent's children are many."""
     entry = F.struct(*order, F.struct(*(c.alias(n) for n, c in payload.items())).alias("entry"))
-    lists = child.groupBy(F.col(child_key).alias("__key")).agg(F.array_sort(F.collect_list(entry)).alias("held"), F.count("*").alias("children"))
+    rows = child.select(F.col(child_key).alias("__key"), entry.alias("__entry"))
+    if first is None:
+        lists = rows.groupBy("__key").agg(F.array_sort(F.collect_list("__entry")).alias("held"), F.count("*").alias("children"))
+    else:
+        ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__entry"))).where(F.col("__n") <= first)
+        counts = rows.groupBy("__key").agg(F.count("*").alias("children"))
+        lists = counts.join(ranked.groupBy("__key").agg(F.array_sort(F.collect_list("__entry")).alias("held")), "__key")
     joined = parent.join(lists, parent[parent_key] == F.col("__key"), "left")
     none = F.array().cast(T.ArrayType(child.select(*(c.alias(n) for n, c in payload.items())).schema))
     return joined.select(parent["*"], F.coalesce("children", F.lit(0)).alias("children"), F.coalesce(F.transform("held", lambda x: x["entry"]), none).alias("preview"))

@@ -85,16 +85,17 @@ def pass_through(spark: SparkSession, sql: str, tables: dict[str, DataFrame], ca
 
 
 def refresh_saved(spark: SparkSession, saved: dict[str, str], tables: dict[str, DataFrame], cap: int = 1000) -> DataFrame:
-    """Rows that each saved query now gives, up to the cap, with the seconds it took, or that it failed and with which error; a failure
-    leaves the others alone. Loops over the saved queries only; each is a Spark job of which a count comes back."""
+    """Rows that each saved query now gives, up to the cap, whether there were more (`truncated`), the seconds it took, or that it failed and
+    with which error; a failure leaves the others alone. Loops over the saved queries only; each is a Spark job of which a count comes back."""
     log = []
     for name, sql in saved.items():
         began = time.perf_counter()
         try:
-            log.append((name, "success", pass_through(spark, sql, tables, cap).count(), time.perf_counter() - began, None))
+            n = pass_through(spark, sql, tables, cap + 1).count()
+            log.append((name, "success", min(n, cap), n > cap, time.perf_counter() - began, None))
         except Exception as e:  # whatever a stored query may raise is its entry in the log
-            log.append((name, "error", 0, time.perf_counter() - began, str(e).split("\n")[0][:200]))
-    return spark.createDataFrame(log, "query_name string, status string, n_rows long, seconds double, error string")
+            log.append((name, "error", 0, False, time.perf_counter() - began, str(e).split("\n")[0][:200]))
+    return spark.createDataFrame(log, "query_name string, status string, n_rows long, truncated boolean, seconds double, error string")
 
 
 # The codes of a result's outcome.

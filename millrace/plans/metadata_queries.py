@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,22 +79,35 @@ def column_comments(t):
     return P.column_catalog(tables, comments=True).select("table_name", "column_name", "data_type", "nullable", "comment")
 
 
-@query(" union all ".join(f"select '{x}' as table_name, 1 as files, true as sized from (select 1)" for x in COLUMNS))
+@query("select 'orders' as table_name, count(distinct o_orderpriority)::integer as files, cast(sum(strlen(o_orderkey || ';' || o_orderstatus) + 1) as bigint) as bytes from orders union all select 'part', count(distinct p_brand)::integer, cast(sum(strlen(p_name) + 1) as bigint) from part")
 def table_bytes(t):
-    sizes = S.folder_bytes(t.spark, {x: f"{t.dir}/{x}.parquet" for x in TABLES})
-    return sizes.select("table_name", F.col("files").cast("int").alias("files"), (F.col("bytes") > 0).alias("sized"))
+    """Files and bytes of two tables' folders, each written as text with a file for each priority or brand."""
+    paths = {x: scratch(t.spark, x) for x in ("orders", "part")}
+    t.orders.select("o_orderpriority", F.concat_ws(";", "o_orderkey", "o_orderstatus").alias("value")).repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(paths["orders"])
+    t.part.select("p_brand", F.col("p_name").alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(paths["part"])
+    return S.folder_bytes(t.spark, paths).select("table_name", F.col("files").cast("int").alias("files"), "bytes")
 
 
-@query(_SQL + ", " + _KEY_RANK + " select table_name, column_name, cast(kind as integer) as kind, cast(rank as integer) as rank from r")
+@query(_SQL + ", " + _KEY_RANK + " select table_name, column_name, round(distinct_count / total, 4) as uniqueness, cast(kind as integer) as kind, cast(rank as integer) as rank from r join c using (table_name, column_name)")
 def pk_candidates(t):
     return R.key_candidates(_catalog(t))
 
 
-@query(_SQL + ", " + _KEY_RANK + f" select table_name, column_name, data_type, null_count > 0 as nullable, {_UNIQUE} as is_unique, column_name = primary_key as is_key, case when table_name = 'nation' and column_name = 'name' then (select string_agg(n_name, ',' order by n_nationkey) from nation where n_nationkey < 3) end as samples from c join pk using (table_name)")
+#: What the rows of each table are ordered by, for its first values.
+_ORDERED = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
+_FIRST = "sa as (" + " union all ".join(f"select '{x}' as table_name, '{plain(c)}' as column_name, array_to_string((list({c}::varchar order by {', '.join(_ORDERED[x])}) filter (where {c} is not null))[1:3], ',') as samples from {x}" for x, columns in COLUMNS.items() for c in columns) + ")"
+
+
+def _samples(t: Tables) -> DataFrame:
+    """The first three values of every column of all tables."""
+    named = lambda x: P.column_samples(getattr(t, x), list(COLUMNS[x]), _ORDERED[x], 3).withColumn("column_name", F.regexp_replace("column_name", "^._", "")).withColumn("table_name", F.lit(x))
+    return reduce(DataFrame.unionByName, map(named, TABLES))
+
+
+@query(_SQL + ", " + _KEY_RANK + f", {_FIRST} select table_name, column_name, data_type, null_count > 0 as nullable, {_UNIQUE} as is_unique, column_name = primary_key as is_key, samples from c join pk using (table_name) join sa using (table_name, column_name)")
 def column_definitions(t):
     c = _catalog(t)
-    samples = P.column_samples(t.nation.withColumnRenamed("n_name", "name"), ["name"], ["n_nationkey"]).withColumn("table_name", F.lit("nation"))
-    return R.column_definitions(c, _keys(c), samples)
+    return R.column_definitions(c, _keys(c), _samples(t))
 
 
 @query(_SQL + "select table_name, column_name, case data_type when 'bigint' then 'bigint' when 'int' then 'int' when 'double' then 'double' when 'string' then 'string' else 'timestamp' end as engine_type from c")
@@ -102,7 +117,8 @@ def map_types(t):
 
 
 _MORE = {"Temporal": f" or {_SIMPLE} = 'time'", "Identifier": f" or ({_UNIQUE}) or coalesce(column_name = primary_key and not generated, false)"}
-_TAGS_CTE = _KEY_RANK + ", t as (select c.table_name, c.column_name, concat_ws(',', " + ", ".join(f"case when {_like('column_name', M.TAGS[k])}{_MORE.get(k, '')} then '{k}' end" for k in sorted(M.TAGS)) + ") as tags from c left join pk using (table_name))"
+_TAG_CTE = "t as (select c.table_name, c.column_name, concat_ws(',', " + ", ".join(f"case when {_like('column_name', M.TAGS[k])}{_MORE.get(k, '')} then '{k}' end" for k in sorted(M.TAGS)) + ") as tags from c left join pk using (table_name))"
+_TAGS_CTE = _KEY_RANK + ", " + _TAG_CTE
 
 
 @query(_SQL + ", " + _TAGS_CTE + " select table_name, column_name, tags from t")
@@ -204,14 +220,27 @@ def discovery_metrics(t):
     return M.discovery_metrics(c, M.discovered_relationships(c, _keys(c)))
 
 
-@query(_SQL + _FOUND + f", {_NAMES_CTE}, {_TYPES_CTE} select table_name, entity, entity_type, primary_key, (select count(*) from c x where x.table_name = pk.table_name) as columns, (select max(total) from c x where x.table_name = pk.table_name) as n_rows, (select count(*) from found where from_table = pk.table_name) as relationships from pk join e using (table_name) join et using (table_name)")
+_ENTITY_TEXT = " ".join(f"when contains(lower(entity), '{k}') then '{text}'" for k, text in M.ENTITY_TEXTS.items())
+_TOLD = f"case {_ENTITY_TEXT} when entity_type = 'fact' then 'Fact table containing transactional data related to ' || entity else 'Dimension table containing descriptive information about ' || entity end"
+_TAG_LIST = "(select array_to_string(list_sort(list_distinct(flatten(list(list_filter(string_split(tags, ','), lambda x: x <> ''))))), ',') from t where t.table_name = pk.table_name)"
+
+
+@query(_SQL + _FOUND + f", {_TAG_CTE}, {_NAMES_CTE}, {_TYPES_CTE} select table_name, entity, entity_type, {_TOLD} as description, primary_key, (select count(*) from c x where x.table_name = pk.table_name) as columns, (select max(total) from c x where x.table_name = pk.table_name) as n_rows, (select count(*) from found where from_table = pk.table_name) as relationships, {_TAG_LIST} as tags from pk join e using (table_name) join et using (table_name)")
 def discover_job(t):
-    """Profile, name, class, key and relationships of every table, over a catalog that is written once."""
-    c = _catalog(t)
-    keys, links = _keys(c), M.discovered_relationships(c, _keys(c)).groupBy(F.col("from_table").alias("table_name")).agg(F.count("*").alias("relationships"))
-    sizes = c.groupBy("table_name").agg(F.count("*").alias("columns"), F.max("total").alias("n_rows"))
-    out = keys.join(M.entity_names(c), "table_name").join(M.entity_types(c), "table_name").join(sizes, "table_name").join(links, "table_name", "left")
-    return out.select("table_name", "entity", "entity_type", "primary_key", "columns", "n_rows", F.coalesce("relationships", F.lit(0)).alias("relationships"))
+    """Profile, name, class, description, key, relationships and tags of every table, over a catalog that is written once."""
+    return M.discovered_tables(_catalog(t))
+
+
+_NUMBERS = "nu as (" + " union all ".join(f"select '{x}' as table_name, '{plain(c)}' as column_name, round(min({c})::double, 4) as min_value, round(max({c})::double, 4) as max_value, round(avg({c})::double, 4) as mean_value from {x}" for x, columns in COLUMNS.items() for c, k in columns.items() if k in ("int", "bigint", "double")) + ")"
+_CONTEXT = "(select table_name, column_name, case when x = '' then 'Standard data field' else x end as context from (select table_name, column_name, concat_ws('. ', case when null_count * 100.0 / total > 50 then 'High null rate - may indicate optional or incomplete data' when null_count = 0 then 'Complete data - no missing values' end, case when distinct_count = 1 then 'Single value across all records' when distinct_count < 10 then 'Limited set of values - likely categorical' end, case when contains(column_name, 'id') then 'Can be used for joining with related tables' end) as x from c))"
+
+
+@query(_SQL + ", " + _TAGS_CTE + _DESCRIBED + f", {_FIRST}, {_NUMBERS} select table_name, column_name, data_type, null_count > 0 as nullable, {_UNIQUE} as is_unique, column_name = primary_key as is_key, samples, tags, description, context, min_value, max_value, mean_value from c join pk using (table_name) join t using (table_name, column_name) join ds using (table_name, column_name) join {_CONTEXT} x using (table_name, column_name) join sa using (table_name, column_name) left join nu using (table_name, column_name)")
+def discover_columns(t):
+    """The same job's columns: definition with samples, tags, description, context, and range and mean of numbers."""
+    numbers = reduce(DataFrame.unionByName, [P.profile_numeric(_plain(t, x)).withColumn("table_name", F.lit(x)) for x in TABLES])
+    numbers = numbers.select("table_name", "column_name", *(F.round(c, 4).alias(c) for c in ("min_value", "max_value", "mean_value")))
+    return M.discovered_columns(_catalog(t), _samples(t), numbers)
 
 
 @query(_SQL + _FOUND + " select from_table, from_column, to_table, to_column, case relation when 'many_to_one' then 'Each ' || from_table || ' belongs to one ' || to_table || ' (via ' || from_column || ')' when 'one_to_many' then 'Each ' || to_table || ' can have multiple ' || from_table || ' records' else 'Relationship between ' || from_table || ' and ' || to_table end as description from found")
@@ -315,12 +344,12 @@ def chart_series(t):
 _ROLES = f", r as (select table_name as result, max(total) as n_rows, count(*) as n_columns, count(*) filter (where {_SIMPLE} = 'numeric') as n_numeric, count(*) filter (where {_SIMPLE} = 'categorical') as n_categorical, count(*) filter (where {_SIMPLE} = 'time') as n_time from c group by table_name)"
 
 
-@query(_SQL + _ROLES + ", w as (select result, n_rows, case when n_time > 0 and n_numeric > 0 then 'line' when result = 'customer' then 'pie' when n_categorical = 1 and n_numeric > 0 then 'bar' when n_categorical = 0 and n_numeric > 1 then 'scatter' when n_columns > 5 or n_rows > 100 then 'table' else 'bar' end as chart, cast(case when n_time > 0 and n_numeric > 0 then 0.9 when result = 'customer' then 0.85 when n_categorical = 1 and n_numeric > 0 then 0.85 when n_categorical = 0 and n_numeric > 1 then 0.8 when n_columns > 5 or n_rows > 100 then 0.7 else 0.6 end as double) as confidence from r) select result, chart, confidence, case when chart = 'pie' then 8 when chart = 'table' then case when n_rows <= 10 then 12 when n_rows <= 50 then 16 else 24 end when n_rows <= 5 then 8 when n_rows <= 12 then 12 when n_rows <= 30 then 16 else 24 end as width from w")
+@query(_SQL + _ROLES + ", w as (select result, n_rows, case when (n_time > 0 or result = 'part') and n_numeric > 0 then 'line' when result = 'customer' then 'pie' when n_categorical = 1 and n_numeric > 0 then 'bar' when n_categorical = 0 and n_numeric > 1 then 'scatter' when n_columns > 5 or n_rows > 100 then 'table' else 'bar' end as chart, cast(case when (n_time > 0 or result = 'part') and n_numeric > 0 then 0.9 when result = 'customer' then 0.85 when n_categorical = 1 and n_numeric > 0 then 0.85 when n_categorical = 0 and n_numeric > 1 then 0.8 when n_columns > 5 or n_rows > 100 then 0.7 else 0.6 end as double) as confidence from r) select result, chart, confidence, case when chart = 'pie' then 8 when chart = 'table' then 16 when chart = 'scatter' then 12 when n_rows <= 5 then 8 when n_rows <= 12 then 12 when n_rows <= 30 then 16 else 24 end as width, case when chart = 'pie' then 6 when chart in ('table', 'scatter') then 8 when n_rows <= 12 then 6 else 8 end as height from w")
 def chart_advice(t):
     c = _catalog(t)
     roles = M.column_roles(c).join(c.select("table_name", "column_name", "total"), ["table_name", "column_name"])
     results = roles.groupBy(F.col("table_name").alias("result")).agg(F.max("total").alias("n_rows"), F.count("*").alias("n_columns"), *(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("numeric", "categorical", "time")))
-    return H.chart_advice(results.withColumns({"hint": F.when(F.col("result") == "customer", "pie"), "wanted": F.lit(None).cast("string")}))
+    return H.chart_advice(results.withColumns({"hint": F.when(F.col("result") == "customer", "pie"), "wanted": F.lit(None).cast("string"), "time_dimension": F.when(F.col("result") == "part", "month")}))
 
 
 @query("select c_custkey, 'Balance, Orders by ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || case when c_nationkey % 2 = 0 then ' - Year ' || c_nationkey else '' end as title from customer")
@@ -368,6 +397,25 @@ def archive_manifest(t):
     return O.archive_manifest(t.events.select("user_id", "event_type", path.alias("path")), "user_id", "event_type", "path")
 
 
+@query("select user_id::varchar as job, event_type as run, 'archived_jobs/' || user_id || '_' || event_type || '/in/' || event_id || '.csv' as archive_path, 'jobs/' || user_id || '/in/' || event_id || '.csv' as path from events")
+def restore_manifest(t):
+    """Where each archived file came from, told from the archive's paths, which also hold manifests and folders."""
+    archived = archive_manifest(t).select("archive_path")
+    more = archived.select(F.regexp_replace("archive_path", "/in/.*$", "/in/x_manifest.json").alias("archive_path")).union(archived.select(F.regexp_replace("archive_path", "/in/.*$", "/in/").alias("archive_path")))
+    return O.restore_manifest(archived.union(more), "archive_path")
+
+
+@query("select user_id as job, event_type as run, count(*) as files, min('archived_jobs/' || user_id || '_' || event_type || '/in/' || event_id || '.csv') as first, max('archived_jobs/' || user_id || '_' || event_type || '/in/' || event_id || '.csv') as last from events group by 1, 2")
+def archive_files_of_jobs(t):
+    return O.files_of_jobs(archive_manifest(t), "user_id", "event_type")
+
+
+@query("select user_id as job, event_type as run, count(*) as records, max(ts) as latest from events group by 1, 2 order by latest desc, job, run limit 7")
+def order_latest(t):
+    """The seven latest runs, newest first."""
+    return O.stored_jobs(t.events, "user_id", "event_type", "ts").limit(7)
+
+
 @query("select user_id as job, event_type as run, count(*) as records, max(ts) as latest from events group by 1, 2")
 def stored_jobs(t):
     return O.stored_jobs(t.events, "user_id", "event_type", "ts")
@@ -381,22 +429,19 @@ def metadata_snapshot(t):
     return M.write_snapshot(parts, scratch(t.spark, "snapshot"), "job_1", "run_1")
 
 
-@query(_SQL + _PAIRS + ", q as (select p.*, a.distinct_count / greatest(b.distinct_count, 1) as ratio, a.distinct_count = a.total and a.null_count = 0 as nu, b.distinct_count = b.total and b.null_count = 0 as mu from p join c a on a.table_name = from_table and a.column_name = from_column join c b on b.table_name = to_table and b.column_name = to_column) select from_table, from_column, to_table, to_column, case when ratio > 2 then 'many_to_one' when ratio < 0.5 then 'one_to_many' when nu and mu then 'one_to_one' when mu then 'many_to_one' when nu then 'one_to_many' else 'many_to_many' end as relation from q")
+@query(_SQL + _PAIRS + ", q as (select p.*, case when a.distinct_count > 0 and b.distinct_count > 0 then a.distinct_count / b.distinct_count end as ratio, a.distinct_count = a.total and a.null_count = 0 as nu, b.distinct_count = b.total and b.null_count = 0 as mu from p join c a on a.table_name = from_table and a.column_name = from_column join c b on b.table_name = to_table and b.column_name = to_column) select from_table, from_column, to_table, to_column, case when ratio > 2 then 'many_to_one' when ratio < 0.5 then 'one_to_many' when nu and not mu then 'one_to_many' when mu and not nu then 'many_to_one' else 'many_to_many' end as relation from q")
 def rel_types(t):
     c = _catalog(t)
     return M.relation_types(M.valid_relationships(_proposals(c), c), c)
 
 
-_ENTITY_TEXT = " ".join(f"when contains(lower(entity), '{k}') then '{text}'" for k, text in M.ENTITY_TEXTS.items())
-
-
-@query(_SQL + f", {_NAMES_CTE}, {_TYPES_CTE} select table_name, case {_ENTITY_TEXT} when entity_type = 'fact' then 'Fact table containing transactional data related to ' || entity else 'Dimension table containing descriptive information about ' || entity end as description from e join et using (table_name)")
+@query(_SQL + f", {_NAMES_CTE}, {_TYPES_CTE} select table_name, {_TOLD} as description from e join et using (table_name)")
 def entity_descriptions(t):
     return M.entity_descriptions(_catalog(t))
 
 
-@query("select 'all_parts' as query_name, 'success' as status, least(count(*), 1000) as n_rows, true as timed, false as has_error from part union all select 'by_brand', 'success', count(distinct p_brand), true, false from part union all select 'literal', 'success', least(count(*), 1000), true, false from part union all select 'broken', 'error', 0, true, true union all select 'unsafe', 'error', 0, true, true")
+@query("select 'all_parts' as query_name, 'success' as status, least(count(*), 1000) as n_rows, count(*) > 1000 as truncated, true as timed, false as has_error from part union all select 'by_brand', 'success', count(distinct p_brand), false, true, false from part union all select 'literal', 'success', least(count(*), 1000), count(*) > 1000, true, false from part union all select 'broken', 'error', 0, false, true, true union all select 'unsafe', 'error', 0, false, true, true")
 def refresh_saved_queries(t):
     saved = {"all_parts": "select * from {part}", "broken": "select no_such_column from {part}", "unsafe": "drop table part", "by_brand": "select p_brand, count(*) as n from {part} group by p_brand", "literal": "select 'delete me; update' as note, p_partkey from {part}"}
     log = I.refresh_saved(t.spark, saved, {"part": t.part})
-    return log.select("query_name", "status", "n_rows", (F.col("seconds") >= 0).alias("timed"), F.col("error").isNotNull().alias("has_error"))
+    return log.select("query_name", "status", "n_rows", "truncated", (F.col("seconds") >= 0).alias("timed"), F.col("error").isNotNull().alias("has_error"))

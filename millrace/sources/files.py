@@ -23,16 +23,16 @@ def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def _named(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """(file_name, path) of all files that a frame would read, empty ones included, from its listing."""
-    return spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]), p) for p in df.inputFiles()], "file_name string, path string")
+    """(file_name, path) of all files that a frame would read, empty ones included, from its listing, as they are named (a listing encodes them)."""
+    return spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]), unquote(p)) for p in df.inputFiles()], "file_name string, path string")
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file below path; contents are not read. Empty files, which Spark's readers skip, have no modification time."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = read.select("path", "modificationTime", "length")
-    # the listing writes file:/// and %20 where the reader writes file:/ and a space
-    same = lambda c: F.regexp_replace(F.replace(F.col(c), F.lit("%20"), F.lit(" ")), "^file:/+", "file:/").alias("path")
+    # the listing writes file:/// where the reader writes file:/
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("path")
     empty = _named(spark, read).select(same("path")).join(files.select(same("path")), "path", "left_anti")
     files = files.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length")))
     name = F.element_at(F.split("path", "/"), -1)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.scratch import kept
+
 
 def append(df: DataFrame, table: str) -> int:
     """Append to a table that exists and return the rows written, observed by the write's own job; an empty frame is no error."""
@@ -83,3 +87,86 @@ def within(expected: DataFrame, written: DataFrame, tolerance: float = 0.05) ->
     """Whether the numbers of rows differ by no more than the tolerance."""
     both = expected.agg(F.count("*").alias("expected")).crossJoin(written.agg(F.count("*").alias("written")))  # one row by one row
     return both.withColumn("valid", F.abs(F.col("written") - F.col("expected")) <= tolerance * F.col("expected"))
+
+
+# ---- appends that may be run again
+
+
+def append_run(df: DataFrame, root: str, run: str) -> int:
+    """Append df to the table of runs below root as one run, and return that run's rows. Rows are first written to a folder of their own; the run
+    counts once its manifest stands, which is put in place by one rename. A run that is committed is not written again, so
+    a retry adds nothing, and an attempt that fails leaves files that no reader takes."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    manifest = path(f"{root}/manifest/{run}.json")
+    if fs.exists(manifest):
+        return json.loads(_text(spark, fs, manifest))["rows"]
+    attempt = uuid.uuid4().hex
+    seen = Observation(f"run-{attempt}")
+    df.observe(seen, F.count("*").alias("rows")).write.parquet(f"{root}/data/run={run}/attempt={attempt}")
+    entry = {"run": run, "attempt": attempt, "rows": seen.get["rows"]}
+    staged = path(f"{root}/staged/{attempt}.json")
+    out = fs.create(staged, True)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    fs.mkdirs(manifest.getParent())
+    if not fs.exists(manifest) and fs.rename(staged, manifest):
+        return entry["rows"]
+    return json.loads(_text(spark, fs, manifest))["rows"]  # another attempt was first
+
+
+def _text(spark: SparkSession, fs, path) -> str:
+    with_stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(with_stream)).decode()
+    finally:
+        with_stream.close()
+
+
+def committed(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows of all committed runs below root, with the column `run`. Which attempts count comes from the manifests (a line for each run); the
+    folders of other attempts are neither listed nor read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+    if not fs.exists(path(f"{root}/manifest")):
+        return spark.createDataFrame([], full)
+    runs = spark.read.schema("run string, attempt string").json(f"{root}/manifest").collect()
+    folders = [f"{root}/data/run={r['run']}/attempt={r['attempt']}" for r in runs]
+    if not folders:
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(T.StructType([*full.fields, T.StructField("attempt", T.StringType())])).option("basePath", f"{root}/data").parquet(*folders)
+    return rows.select(*schema.names, "run")
+
+
+# ---- a table of current rows, kept up by batches
+
+
+def apply_batch(batch: DataFrame, root: str, keys: list[str], order: list[str], buckets: int = 64) -> int:
+    """Bring the current table below root (one row a key, that of the highest order) up to date with a batch, and return how many of its buckets were rewritten.
+    Rows are dealt to buckets by key; the batch is cut to its latest row a key, and only the buckets that it has keys of are read,
+    joined with it and written again. Applying a batch twice changes nothing."""
+    spark = batch.sparkSession
+    newest = [F.desc(c) for c in order]
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    new = kept(_latest(batch.select("*", place), keys, newest), "batch")
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most `buckets`
+    if not touched:
+        return 0
+    full = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType())])
+    try:
+        old = spark.read.schema(full).parquet(root).where(F.col("bucket").isin(touched))
+        new = kept(_latest(old.unionByName(new), keys, newest), "merged")
+    except AnalysisException:  # the first batch
+        pass
+    new.repartition(min(len(touched), buckets), "bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
+    return len(touched)
+
+
+def _latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def current(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(root).select(*schema.names)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # Words that tell a status, in a stage's name and in its message.
 FAILED_STAGE = ("failed", "error", "exception")
@@ -37,10 +39,16 @@ def latest_status(events: DataFrame, keys: list[str], ts: str, value: str, tie:
     return events.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))).alias("m")).select(*keys, F.col("m.ts").alias("ts"), F.col("m.value").alias("value"))
 
 
-def stream_files(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+def stream_files(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once_by: tuple[str, ...] = (), ts: str | None = None, delay: str = "30 days") -> None:
     """Take in all Parquet files below path that were not taken in before, once, and append what transform makes of each micro-batch.
-    A micro-batch that is run again overwrites its own folder, so a restart writes nothing twice."""
+    A micro-batch that is run again overwrites its own folder, so a restart writes nothing twice.
+
+    With once_by (columns) and ts, a row is taken once even if other files deliver it again: its keys stay in the state until the
+    watermark, `delay` behind the newest ts, has passed it. Rows older than the watermark are late and dropped, so the delay must
+    be longer than files may be late; rows without a ts are never late, and are taken once as long as their keys are held."""
     stream = spark.readStream.schema(schema).parquet(path)
+    if once_by:
+        stream = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay).dropDuplicatesWithinWatermark(list(once_by)).drop("__ts")
 
     def put(df: DataFrame, number: int) -> None:
         transform(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -64,3 +72,78 @@ def latest_of(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     rows = spark.read.parquet(out)
     names = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("m")).select(*keys, "m.*")
+
+
+# ---- state that ends
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Runs(StatefulProcessor):
+    """Of one run: the newest value of each stage, until a timer that the run's end sets."""
+
+    def __init__(self, key: str, value_type: str, ended: tuple[str, ...], grace_ms: int):
+        self.key, self.value_type, self.ended, self.grace_ms = key, value_type, ended, grace_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.stages = handle.getMapState("stages", "stage string", f"at long, tie long, value {self.value_type}")
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["at", "tie"])
+        changed = []
+        for r in new.drop_duplicates("stage", keep="last").itertuples():
+            held = self.stages.getValue((r.stage,)) if self.stages.containsKey((r.stage,)) else None
+            if held is None or (r.at, r.tie) > (held[0], held[1]):
+                self.stages.updateValue((r.stage,), (int(r.at), int(r.tie), r.value))
+                changed.append((key[0], r.stage, int(r.at), int(r.tie), r.value))
+        ends = new[new["stage"].isin(self.ended)]
+        if self.due.exists() or len(ends):
+            # a run that goes on after its end is held until its newest event is old enough
+            due = max(int(new["at"].max()) // 1000 + self.grace_ms, *(self.due.get() or (0,)))
+            if self.due.exists():
+                self.handle.deleteTimer(self.due.get()[0])
+            self.handle.registerTimer(due)
+            self.due.update((due,))
+        yield pd.DataFrame(changed, columns=[self.key, "stage", "at", "tie", "value"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.stages.clear()
+        self.due.clear()
+        yield pd.DataFrame([], columns=[self.key, "stage", "at", "tie", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_run_states(spark: SparkSession, path: str, schema, key: str, stage: str, ts: str, value: str, tie: str, ended: tuple[str, ...], out: str, checkpoint: str, delay: str = "1 day", grace_ms: int = 86_400_000, files: int | None = None) -> list[int]:
+    """The newest value for each run (key) and stage over all files, with a state in RocksDB that ends: a run with an event of one of the `ended` stages is
+    dropped once the watermark is grace_ms past its newest event, so the state holds the runs that go on, not all there ever were. Each
+    micro-batch (of at most `files` files) writes what it changed to a folder of its own; newest_of reads the newest of all. Returns the rows
+    in the state after each micro-batch. A run's late event after its end is told apart by its time, as newest_of compares times. Null stages are
+    named ''; rows without a key or a ts are left out."""
+    kinds = dict(spark.createDataFrame([], schema).dtypes)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    when = F.col(ts).cast("timestamp")
+    rows = stream.select(F.col(key).alias(key), when.alias("when"), F.coalesce(F.col(stage), F.lit("")).alias("stage"), F.unix_micros(when).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(value).alias("value")).withWatermark("when", delay)
+    processor = _Runs(key, kinds[value], ended, grace_ms)
+    states = rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kinds[key]}, stage string, at long, tie long, value {kinds[value]}", "Update", "EventTime")
+
+    def put(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    try:
+        query = states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def newest_of(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """What stream_run_states has written: for each run and stage the newest event's row, with its time as microseconds."""
+    return spark.read.parquet(out).groupBy(key, "stage").agg(F.max(F.struct("at", "tie", "value")).alias("m")).select(key, "stage", "m.at", "m.tie", "m.value")

@@ -210,7 +210,7 @@ def test_chart_advice_rules(spark):
 
     rows = [("none", 0, 2, 1, 1, 0, None, None), ("one", 1, 1, 1, 0, 0, None, None), ("time", 9, 2, 1, 0, 1, "pie", None), ("hint", 9, 2, 1, 1, 0, "pie", None), ("bar", 9, 2, 1, 1, 0, "odd", None), ("two", 40, 2, 2, 0, 0, None, None), ("wide", 9, 6, 2, 4, 0, None, None), ("rest", 9, 2, 0, 2, 0, None, None), ("own", 0, 0, 0, 0, 0, None, "area"), ("null", None, None, None, None, None, None, None)]
     got = {r.result: (r.chart, r.confidence, r.width) for r in chart_advice(spark.createDataFrame(rows, "result string, n_rows long, n_columns long, n_numeric long, n_categorical long, n_time long, hint string, wanted string")).collect()}
-    assert got == {"none": ("table", 0.5, 12), "one": ("kpi", 0.95, 6), "time": ("line", 0.9, 12), "hint": ("pie", 0.85, 8), "bar": ("bar", 0.85, 12), "two": ("scatter", 0.8, 24), "wide": ("table", 0.7, 12), "rest": ("bar", 0.6, 12), "own": ("area", 1.0, 8), "null": ("table", 0.5, 12)}
+    assert got == {"none": ("table", 0.5, 12), "one": ("kpi", 0.95, 6), "time": ("line", 0.9, 12), "hint": ("pie", 0.85, 8), "bar": ("bar", 0.85, 12), "two": ("scatter", 0.8, 12), "wide": ("table", 0.7, 16), "rest": ("bar", 0.6, 12), "own": ("area", 1.0, 8), "null": ("table", 0.5, 12)}
 
 
 def test_audit_of_queries(spark):
@@ -247,12 +247,24 @@ def test_name_similarity_brute_force(spark):
     assert len(rows) == len(want) and {(r.entity, r.file): r.score for r in rows} == pytest.approx(want, abs=2e-6)
 
 
-@pytest.mark.parametrize("bound,pairs", [(100_000, 1_000_000), (2, 3)])
-def test_name_matches_need_no_common_start(spark, monkeypatch, bound, pairs):
-    monkeypatch.setattr(R, "BROADCAST_NAMES", bound)  # the second pairs blocks
-    monkeypatch.setattr(R, "TASK_PAIRS", pairs)
-    entities, files = ["old_plate", "plate_cold", "users", "users", None, "zzz"], ["cold_plate_data", "users", "all_users_2020", "qqq", None]
+@pytest.mark.parametrize("block", [2_000, 2])
+def test_name_matches_need_no_common_start(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(R, "BLOCK_NAMES", block)
+    rng = random.Random(5)
+    made = ["".join(rng.choices("abcdefgh_", k=rng.randint(1, 24))) for _ in range(60)]
+    entities = ["old_plate", "plate_cold", "users", "users", None, "zzz", "", "q", "_x", "x" * 9, "é日本", *made[:30]]
+    files = ["cold_plate_data", "users", "all_users_2020", "qqq", None, "", "y_", "abcdefghijklmnoq" * 3, "x", "日本é_data", *made[30:]]
     found = R.name_matches(spark.createDataFrame([(x,) for x in entities], "entity string"), spark.createDataFrame([(x,) for x in files], "file string"))
     got = {(r.entity, r.file): r.score for r in found.collect()}
     want = {(a, b): s for a in set(entities) - {None} for b in set(files) - {None} if (s := scored(a, b)) > 0.3}
     assert found.count() == len(want) and got == pytest.approx(want) and got["old_plate", "cold_plate_data"] == 0.9
+
+
+def test_name_candidates_have_no_cross_join(spark):
+    names = spark.createDataFrame([("".join(x),) for x in ("abc", "abd", "xyz", "uvw")], "entity string")
+    pairs = R.name_candidates(names, names.select(F.col("entity").alias("file")))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    assert {(r.entity, r.file) for r in pairs.collect()} == {(a, b) for a in ("abc", "abd") for b in ("abc", "abd")} | {("xyz", "xyz"), ("uvw", "uvw")}
