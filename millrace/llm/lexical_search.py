@@ -9,8 +9,9 @@ document's score for an item sums weight * impact over the item's distinct terms
 2. A document's impacts are folded into a sketch: coordinate h holds the greatest impact of the terms hashed to h. With the items' weights
    summed by coordinate, one matrix product bounds the scores of a batch of documents for all items from above.
 3. A task goes through each item's candidates by falling bound, in rounds, and scores them exactly until the bound is below the item's
-   threshold: its k-th best score so far, and no less than the k-th best in a sample of about SAMPLE documents, which is scored first. The
-   sample only sets where the search may stop; every document is bounded, and none that could be among the k best is left out.
+   threshold: its k-th best score so far, and no less than the k-th best in one of EVERY documents, which are searched first. These
+   only set where the search may stop; every document is bounded, and none that could be among the k best is left out. About
+   k * EVERY rows an item pass the threshold, however many documents there are.
 4. Tasks hand on at most k rows an item; Spark ranks those.
 
 Bounds, weights and scores are whole numbers below 2**53, so that the products in floating point are exact. Terms are told by 64-bit
@@ -36,7 +37,7 @@ from millrace.llm.words import text_batches, word_hashes
 BLOCK_ITEMS, BLOCK_TERMS = 1024, 1 << 20
 #: Coordinates of a sketch; documents that are bounded together; candidates of an item in the first round.
 WIDTH, TOGETHER, FIRST = 1024, 2048, 64
-SAMPLE = 50_000
+EVERY = 64
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def _k_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(docs: DataFrame, queries: pa.Table, k: int, width: int, sample: int) -> DataFrame:
+def _block(docs: DataFrame, queries: pa.Table, k: int, width: int, every: int) -> DataFrame:
     """Search with one block of items: item (place in the block), h."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -199,9 +200,9 @@ def _block(docs: DataFrame, queries: pa.Table, k: int, width: int, sample: int)
     least = np.zeros(len(x), dtype=np.int64)
     columns = "item int, score long, doc_id long"
     some = postings.where("size(terms) > 0")
-    if n > 2 * sample:
+    if n > 2 * k * every:
         first = sc.broadcast((x, least))
-        found = _k_best(some.where(F.pmod(F.xxhash64("doc_id"), F.lit(n // sample)) == 0).mapInArrow(lean(_search(first, k)), columns), k).where(F.col("rank") == k)
+        found = _k_best(some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(lean(_search(first, k)), columns), k).where(F.col("rank") == k)
         for r in found.collect():  # at most a row an item
             least[r["item"]] = r["score"]
         first.destroy()
@@ -209,7 +210,7 @@ def _block(docs: DataFrame, queries: pa.Table, k: int, width: int, sample: int)
     return _k_best(some.mapInArrow(lean(_search(held, k)), columns), k)
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 50, width: int = WIDTH, block_items: int = BLOCK_ITEMS, block_terms: int = BLOCK_TERMS, sample: int = SAMPLE) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 50, width: int = WIDTH, block_items: int = BLOCK_ITEMS, block_terms: int = BLOCK_TERMS, every: int = EVERY) -> DataFrame:
     """docs (doc_id, text) and items (item_id, text) to item_id, rank, doc_id, score: each item's k best documents with a score above 0."""
     spark = docs.sparkSession
     kind = items.schema["item_id"].dataType.simpleString()
@@ -225,7 +226,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, width: int = WIDTH, b
         names = names.dictionary_encode(null_encoding="encode")
         number = names.indices.to_numpy()
         ids = spark.createDataFrame(pa.table({"item": pa.array(np.arange(len(names.dictionary)), pa.int32()), "item_id": names.dictionary}))
-        found = _block(docs, pa.table({"item": number, "h": mine["h"]}), k, width, sample).join(F.broadcast(ids), "item")  # a row for each item of the block
+        found = _block(docs, pa.table({"item": number, "h": mine["h"]}), k, width, every).join(F.broadcast(ids), "item")  # a row for each item of the block
         found = found.select(F.col("item_id").cast(kind).alias("item_id"), "rank", "doc_id", "score")
         if blocks > 1:
             found = materialise(found, "found")

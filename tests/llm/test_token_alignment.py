@@ -70,11 +70,16 @@ def wanted(libraries, docs):
     return sorted((d is None, d or 0, *row) for (d, _), row in zip(docs, brute(libraries, [t for _, t in docs]), strict=True))
 
 
-@pytest.mark.parametrize("known", [300, 0])
-def test_documents_against_the_libraries(spark, libraries, known):
+@pytest.fixture(scope="module")
+def documents(spark, libraries):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    held = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert got(T.align_tokens(docs, A_FILE, B_FILE, known)) == wanted(libraries, held)
+    return docs, wanted(libraries, [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("known", [300, 0])
+def test_documents_against_the_libraries(documents, known):
+    docs, want = documents
+    assert got(T.align_tokens(docs, A_FILE, B_FILE, known)) == want
 
 
 def test_odd_texts(spark, libraries):
