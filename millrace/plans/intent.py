@@ -33,8 +33,8 @@ class Intent:
     aggregations: dict[str, str] = field(default_factory=dict)
     order_by: str | None = None
     limit: int = 10_000
-    #: Whether a column `truncated` says if there were more rows than the limit.
-    flag: bool = False
+    #: Whether a column `truncated` says if there were more rows than the limit. Without it rows are cut silently.
+    flag: bool = True
 
 
 def join_relation(fact: DataFrame, r: Relation) -> DataFrame:
@@ -76,8 +76,8 @@ def read_only(spark: SparkSession, sql: str) -> bool:
     return plan.getClass().getSimpleName() in _QUERY_NODES and not re.search(r"(?m)^[\s:+|'-]*Insert\w+ ", plan.toString())
 
 
-def pass_through(spark: SparkSession, sql: str, tables: dict[str, DataFrame], cap: int = 10_000, flag: bool = False) -> DataFrame:
-    """The query's rows up to the cap; with flag, a column `truncated` says whether there were more."""
+def pass_through(spark: SparkSession, sql: str, tables: dict[str, DataFrame], cap: int = 10_000, flag: bool = True) -> DataFrame:
+    """The query's rows up to the cap, and in a column `truncated` whether there were more; without the flag they are cut silently."""
     if not read_only(spark, re.sub(r"\{(\w+)\}", r"\1", sql)):
         raise ValueError("only SELECT statements are run")
     rows = spark.sql(sql, **tables)
@@ -91,7 +91,7 @@ def refresh_saved(spark: SparkSession, saved: dict[str, str], tables: dict[str,
     for name, sql in saved.items():
         began = time.perf_counter()
         try:
-            n = pass_through(spark, sql, tables, cap + 1).count()
+            n = pass_through(spark, sql, tables, cap + 1, flag=False).count()
             log.append((name, "success", min(n, cap), n > cap, time.perf_counter() - began, None))
         except Exception as e:  # whatever a stored query may raise is its entry in the log
             log.append((name, "error", 0, False, time.perf_counter() - began, str(e).split("\n")[0][:200]))

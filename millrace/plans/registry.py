@@ -531,7 +531,7 @@ def semi_used_suppliers(t):
     return R.matched(t.supplier, t.lineitem, "s_suppkey", "l_suppkey").select("s_suppkey")
 
 
-@query("select r_name, count(*) as customers from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey group by r_name")
+@query("select r_name, count(*) as customers, count(*) over () > 10000 as truncated from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey group by r_name")
 def sql_passthrough_join(t):
     return I.pass_through(t.spark, "select r_name, count(*) as customers from {region} join {nation} on r_regionkey = n_regionkey join {customer} on n_nationkey = c_nationkey group by r_name", {x: getattr(t, x) for x in ("region", "nation", "customer")})
 
@@ -645,7 +645,7 @@ def agg_multi_dim(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.count("*").alias("n"))
 
 
-@query("select l_linestatus, count(*) as visits from lineitem group by l_linestatus")
+@query("select l_linestatus, count(*) as visits, count(*) over () > 10000 as truncated from lineitem group by l_linestatus")
 def agg_fallback_count(t):
     return I.run_intent(t.lineitem, I.Intent(("visits",), ("l_linestatus",)))
 
@@ -822,14 +822,14 @@ def pattern_score(t):
 # ---- requests, shapes
 
 
-@query("select c_mktsegment, round(sum(l_extendedprice), 2) as l_extendedprice from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where lower(o_orderstatus) = 'f' group by c_mktsegment")
+@query("select c_mktsegment, round(sum(l_extendedprice), 2) as l_extendedprice, count(*) over () > 10000 as truncated from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where lower(o_orderstatus) = 'f' group by c_mktsegment")
 def intent_revenue_by_segment(t):
     relations = (I.Relation(t.orders, "l_orderkey", "o_orderkey"), I.Relation(t.customer, "o_custkey", "c_custkey"))
     out = I.run_intent(t.lineitem, I.Intent(("l_extendedprice",), ("c_mktsegment",), {"o_orderstatus": "f"}, order_by="l_extendedprice"), relations)
-    return out.select("c_mktsegment", F.round("l_extendedprice", 2).alias("l_extendedprice"))
+    return out.select("c_mktsegment", F.round("l_extendedprice", 2).alias("l_extendedprice"), "truncated")
 
 
-@query("select event_type, count(*) as n from events group by event_type")
+@query("select event_type, count(*) as n, count(*) over () > 10000 as truncated from events group by event_type")
 def sql_passthrough(t):
     return I.pass_through(t.spark, "select event_type, count(*) as n from {events} group by event_type", {"events": t.events})
 
