@@ -6,7 +6,7 @@ a length of `n` (13) or more means that the last n words are a window of some it
 window as a whole. Words inside any window are hit; a document is contaminated when it has a hit word and the hit
 share is at least the coverage limit.
 
-Items are dealt to blocks of about `block_chars` characters; an item longer than a piece of PIECE_WORDS words is cut in pieces that
+Items, each text of one once, are dealt to blocks of about `block_chars` characters; an item longer than a piece of PIECE_WORDS words is cut in pieces that
 overlap by n - 1 words and so have the same windows. Each block gets an automaton of its own, and one is held at a time: the
 blocks but the last each scan the documents in a job of their own, which writes the hits found by the text's hash; the last block's
 scan starts from the hits of all others. The driver and each task so hold one block's automaton, however large the benchmark.
@@ -74,6 +74,10 @@ class SuffixAutomaton:
             if len(code) < n:
                 self.short[v] = len(code)
                 self.ids.setdefault(v, set()).update([item] if item is not None else [])
+        #: of a state: the first on its chain of suffix links, itself included, that is a whole short item, or the root
+        self.near = [0] * len(self.next)
+        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            self.near[v] = v if v in self.short else self.near[self.link[v]]
         hashed = word_hashes(list(number))[0] if number else np.zeros(0, dtype=np.uint64)
         order = np.argsort(hashed)
         self.vocabulary, self.number = hashed[order], order
@@ -122,13 +126,13 @@ class SuffixAutomaton:
                 if size >= n:
                     spans.append((i - n, i))
                     ids |= self.ids[self.window[v]]
-                if self.short:
-                    u = v
-                    while u > 0:
-                        if (m := self.short.get(u, n)) < n and m <= size:
-                            spans.append((i - m, i))
-                            ids |= self.ids[u]
-                        u = link[u]
+                # short items that end here: at most n - 1, as each is shorter than the one before
+                u = self.near[v]
+                while u:
+                    if (m := self.short[u]) <= size:
+                        spans.append((i - m, i))
+                        ids |= self.ids[u]
+                    u = self.near[link[u]]
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -193,7 +197,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, block
     spans as a flat list of begin and end in words, and the ids of the items met, as strings."""
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = materialise(items.mapInArrow(_pieces(n), "item string, words binary"), "pieces")
+    pieces = materialise(items.mapInArrow(_pieces(n), "item string, words binary").dropDuplicates(), "pieces")
     blocks = max(1, -(-(pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // block_chars))
 
     def automaton(block: int):

@@ -269,6 +269,20 @@ def test_long_items_and_many_blocks(spark, monkeypatch):
         assert {r["row"]["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in found.collect()} == want
 
 
+def test_repeated_rows_and_repetitive_items_cost_no_more(spark):
+    import time
+
+    bench = spark.createDataFrame([(1, " ".join(WORDS[:15]))] * 3000 + [(2, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one two " + " ".join(WORDS)), (2, "x")], "doc_id long, text string")
+    found = decontaminate.judged(decontaminate.find_contamination(docs, bench, block_chars=400)).collect()
+    assert {(r["row"]["doc_id"], r["n_hit"], tuple(r["items"])) for r in found} == {(1, 17, ("1", "2")), (2, 0, ())}
+    words = [b"a"] * 8000
+    automaton = decontaminate.SuffixAutomaton([("long", words), ("short", [b"a", b"a"]), ("one", [b"a"])])
+    began, spans, ids = time.perf_counter(), [], set()
+    automaton.scan([0] * 8000, 0, spans, ids)
+    assert ids == {"long", "short", "one"} and decontaminate.united(spans) == [(0, 8000)] and time.perf_counter() - began < 0.5
+
+
 def test_cutting_spans(spark):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a " * 40 + "Red, GREEN blue! b")], "doc_id long, text string")
