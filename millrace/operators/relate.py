@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
+from millrace.sources.scratch import kept
 
 
 def count_related(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, child_id: str, name: str) -> DataFrame:
@@ -138,7 +139,8 @@ def name_candidates(entities: DataFrame, files: DataFrame) -> DataFrame:
     index on characters, rarest first, and on words; no pair is looked at that shares none of either."""
     a, b = (df.select(F.col(c).alias("name")).where("name is not null and name != ''").distinct() for df, c in ((entities, "entity"), (files, "file")))
     counts = a.unionByName(b).select(F.explode(_characters(F.col("name"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    a, b = _indexed(a, counts), _indexed(b, counts)
+    counts = kept(counts, "tokens")
+    a, b = kept(_indexed(a, counts), "names"), kept(_indexed(b, counts), "names")  # each is read by four joins
     prefix = lambda side="": F.slice(F.col(f"tokens{side}"), F.lit(1), F.col(f"kept{side}"))
     common = lambda x, y: F.array_intersect(x, y)[0]
     in_prefix = F.arrays_overlap(prefix("_a"), prefix("_b"))

@@ -806,6 +806,18 @@ def name_similarity(t):
     return R.name_matches(a, b).withColumn("score", F.round("score", 6))
 
 
+_NAMES = "with a as (select distinct lower(replace(p_name, ' ', '_')) as entity from part), b as (select distinct lower(replace(p_name, ' ', '_')) || case when p_partkey % 2 = 0 then '_data' else '' end as file from part union select distinct lower(p_brand) from part)"
+
+
+@query(_NAMES + " select entity, file, case when entity = file then 1.0 when contains(file, entity) then 0.9 else 0.8 end::double as score from a, b where contains(file, entity) or contains(entity, file)")
+def name_tiers(t):
+    """Pairs of names that are equal or of which one holds the other, found by the index that the similarity join uses."""
+    low = F.lower(F.replace("p_name", F.lit(" "), F.lit("_")))
+    files = t.part.select(F.concat(low, F.when(F.col("p_partkey") % 2 == 0, "_data").otherwise("")).alias("file")).union(t.part.select(F.lower("p_brand")))
+    pairs = R.name_candidates(t.part.select(low.alias("entity")), files)
+    return pairs.withColumn("score", R.tier(F.col("entity"), F.col("file"))).where("score is not null")
+
+
 @query(None)
 def match_entities(t):
     files = t.part.select(F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("-")), F.lit("_export_20240101.csv")).alias("file"))
