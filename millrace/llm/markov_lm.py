@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import bucketed, lean, materialise
+from millrace.llm.shared import bucketed, lean, least_of_most_frequent, materialise
 from millrace.llm.words import text_batches, word_hashes
 
 #: Most words with a class of their own, and most words that are broadcast with their counts.
@@ -103,25 +103,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return bucketed(counted.groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "h", "words")
 
 
-def _least(counts: DataFrame, column: str, most: int) -> int:
-    """The least number of times for which no more than `most` words stand, told from a histogram of at most 512 bars."""
-    bar = F.floor(F.log2(F.col(column)) * 8).alias("bar")
-    bars = sorted(((r["bar"], r["least"], r["words"]) for r in counts.where(F.col(column) > 0).groupBy(bar).agg(F.min(column).alias("least"), F.count("*").alias("words")).collect()), reverse=True)
-    total, least = 0, np.iinfo(np.int64).max
-    for _, low, words in bars:
-        total += words
-        if total > most:
-            break
-        least = low
-    return least
-
-
 class Lexicon:
     """What is broadcast of the counts: the frequent words with their counts and classes, and the totals of the shared classes.
     Class 0 is the end, then come the words with a class of their own, then the shapes."""
 
     def __init__(self, counts: DataFrame, own: int = OWN, known: int = KNOWN):
-        t_own, t_all = _least(counts, "n", own), _least(counts, "n_all", known)
+        t_own, t_all = least_of_most_frequent(counts, "n", own), least_of_most_frequent(counts, "n_all", known)
         top = counts.where(((F.col("n") >= t_own) | (F.col("n_all") >= t_all)) & (F.col("shape") >= 0)).select("h", "shape", "n").toArrow()
         h = top["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
@@ -430,7 +417,8 @@ def score_texts(docs: DataFrame, states: int = 8, rounds: int = 4, own: int = OW
     lexicon = sc.broadcast(x)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_c double, log_shared double, codes binary, tail array<long>, times array<long>"
-    coded = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), "*").mapInArrow(lean(_code(lexicon)), schema), "coded")
+    coded = docs.select(F.monotonically_increasing_id().alias("uid"), "*").mapInArrow(lean(_code(lexicon)), schema)
+    coded = materialise(coded.sortWithinPartitions(F.length("codes")), "coded")  # texts of like length work side by side
     lexicon.destroy()
     m, _ = baum_welch(coded, x, states, rounds)
     # words that aren't broadcast; those never seen add nothing
