@@ -121,7 +121,7 @@ def stream_run_states(spark: SparkSession, path: str, schema, key: str, stage: s
     """The newest value for each run (key) and stage over all files, with a state in RocksDB that ends: a run with an event of one of the `ended` stages is
     dropped once the watermark is grace_ms past its newest event, so the state holds the runs that go on, not all there ever were. Each
     micro-batch (of at most `files` files) writes what it changed to a folder of its own; newest_of reads the newest of all. Returns the rows
-    in the state after each micro-batch. A run's late event after its end is told apart by its time, as newest_of compares times. Null stages are
+    in the state after each micro-batch. Events that come later than `delay` behind the newest are dropped, as the watermark has passed them. A run's late event after its end is told apart by its time, as newest_of compares times. Null stages are
     named ''; rows without a key or a ts are left out."""
     kinds = dict(spark.createDataFrame([], schema).dtypes)
     reader = spark.readStream.schema(schema)
