@@ -37,6 +37,7 @@ from millrace.llm.words import text_batches, word_hashes
 BLOCK_ITEMS, BLOCK_TERMS = 1024, 1 << 20
 #: Coordinates of a sketch; documents that are bounded together; candidates of an item in the first round.
 WIDTH, TOGETHER, FIRST = 1024, 2048, 64
+#: One of so many documents is searched first, for the thresholds.
 EVERY = 64
 
 
