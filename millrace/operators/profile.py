@@ -182,12 +182,28 @@ def infer_types(df: DataFrame) -> DataFrame:
     return _per_column(df, {"inferred_type": kind}).select("column_name", "inferred_type")
 
 
+#: Rows, first by the order, in which samples are looked for before a column's own first values are.
+FIRST_ROWS = 1000
+
+
 def column_samples(df: DataFrame, columns: list[str], order: list[str], n: int = 5) -> DataFrame:
-    """The first n non-null values of each column by the given order, as text; the window keeps n rows of each column in every task before the shuffle."""
-    long = df.select(*order, *(F.col(c).cast("string").alias(f"v_{c}") for c in columns)).unpivot(order, [f"v_{c}" for c in columns], "column_name", "value").where("value is not null")
-    long = long.withColumn("column_name", F.substring("column_name", 3, 1000))
-    w = Window.partitionBy("column_name").orderBy(*order)
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("column_name", "rank", "value")
+    """The first n non-null values of each column by the given order, as text. Rows that the order leaves equal are told apart by their other columns,
+    so that all values come from the same rows, however df is dealt. Every task keeps its first rows only (orderBy().limit()): the first FIRST_ROWS
+    serve all columns but those with fewer than n values in them, which have a pass of their own. Counts those values at once."""
+    order = [*order, *(f.name for f in df.schema.fields if f.name not in order and isinstance(f.dataType, T.AtomicType))]
+    head = df.orderBy(*order).limit(max(FIRST_ROWS, n))
+    counts = head.agg(F.count("*"), *(F.count(c) for c in columns)).first()
+    some = [c for c, k in zip(columns, counts[1:], strict=True) if k >= n or counts[0] < FIRST_ROWS]
+    keys = [F.col(c).alias(f"__{i}") for i, c in enumerate(order)]
+
+    def values(rows: DataFrame, of: list[str]) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in of))
+        return rows.select(*keys, F.inline(each)).where("value is not null")
+
+    long = [values(head, some)] if some else []
+    long += [values(df.where(F.col(c).isNotNull()).orderBy(*order).limit(n), [c]) for c in columns if c not in some]
+    w = Window.partitionBy("column_name").orderBy(*(f"__{i}" for i in range(len(order))))
+    return reduce(DataFrame.unionByName, long).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("column_name", "rank", "value")
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
