@@ -92,10 +92,10 @@ def united_profile(kept: DataFrame) -> DataFrame:
     return out.withColumns({"null_pct": share("null_count"), "blank_pct": share("blank_count")})
 
 
-def refresh_profile(spark: SparkSession, path: str, schema: T.StructType, store: str) -> tuple[DataFrame, int]:
-    """The profile of the Parquet files below path, and how many of them were read for it: those that the store (a folder of earlier profiles, made by
-    the first call) doesn't have, or has of another size or time. Files that are gone no longer count. Only the listing and the names
-    of new files come to the driver. A call that fails has added nothing."""
+def refresh_profile(spark: SparkSession, path: str, schema: T.StructType, store: str, folders: bool = False) -> tuple[DataFrame, int]:
+    """The profile of the Parquet files below path, and how many of them (or, with folders, in how many folders) were read for it: those that the store
+    (a folder of earlier profiles, made by the first call) doesn't have, or has of another size or time. Files that are gone no longer count. Only the
+    listing and the names of new files come to the driver. A call that fails has added nothing."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
     same = F.regexp_replace("path", "^file:/+", "file:/")
     listing = listing.withColumn("key", same)
@@ -110,7 +110,7 @@ def refresh_profile(spark: SparkSession, path: str, schema: T.StructType, store:
         file_profiles(spark.read.schema(schema).parquet(*paths)).write.mode("append").parquet(store)
     kept = spark.read.schema(_KEPT).parquet(store).withColumn("key", same)
     now = kept.join(listing.select("key", "length", "modified"), ["key", "length", "modified"], "left_semi")
-    return united_profile(now), len(paths)
+    return united_profile(now), len({p.rsplit("/", 1)[0] for p in paths}) if folders else len(paths)
 
 
 def profile_numeric(df: DataFrame) -> DataFrame:
