@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -79,39 +78,48 @@ def latest_of(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _tie(x: int | None) -> tuple:
+    return x is not None, x or 0  # as Spark orders NULLs
+
+
 class _Runs(StatefulProcessor):
-    """Of one run: the newest value of each stage, until a timer that the run's end sets."""
+    """Of one run: the newest value of each stage, in one row of the state, until a timer that the run's end sets. Calls of the state are what a run costs,
+    so a batch reads and writes a run's row once, and a timer that rings before the run is old enough is set again only then."""
 
     def __init__(self, key: str, value_type: str, ended: tuple[str, ...], grace_ms: int):
         self.key, self.value_type, self.ended, self.grace_ms = key, value_type, ended, grace_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.stages = handle.getMapState("stages", "stage string", f"at long, tie long, value {self.value_type}")
-        self.due = handle.getValueState("due", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["at", "tie"])
-        changed = []
-        for r in new.drop_duplicates("stage", keep="last").itertuples():
-            held = self.stages.getValue((r.stage,)) if self.stages.containsKey((r.stage,)) else None
-            if held is None or (r.at, r.tie) > (held[0], held[1]):
-                self.stages.updateValue((r.stage,), (int(r.at), int(r.tie), r.value))
-                changed.append((key[0], r.stage, int(r.at), int(r.tie), r.value))
-        ends = new[new["stage"].isin(self.ended)]
-        if self.due.exists() or len(ends):
+        self.run = handle.getValueState("run", f"stages array<struct<stage:string,at:bigint,tie:bigint,value:{self.value_type}>>, due bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict = {}
+        for r in rows:
+            held = new.get(r.stage)
+            if held is None or (r.at, _tie(r.tie)) > (held[1], _tie(held[2])):
+                new[r.stage] = (r.stage, r.at, r.tie, r.value)
+        stages, due = self.run.get() or ((), None)
+        kept = {x[0]: tuple(x) for x in stages}
+        changed = [x for s, x in new.items() if s not in kept or (x[1], _tie(x[2])) > (kept[s][1], _tie(kept[s][2]))]
+        if due is not None or any(s in new for s in self.ended):
             # a run that goes on after its end is held until its newest event is old enough
-            due = max(int(new["at"].max()) // 1000 + self.grace_ms, *(self.due.get() or (0,)))
-            if self.due.exists():
-                self.handle.deleteTimer(self.due.get()[0])
+            late = max(x[1] for x in new.values()) // 1000 + self.grace_ms
+            if due is None:
+                self.handle.registerTimer(late)
+            due = max(late, due or 0)
+        self.run.update(([*(kept | {x[0]: x for x in changed}).values()], due))
+        names = (self.key, "stage", "at", "tie", "value")
+        for x in changed:
+            yield Row(**dict(zip(names, (key[0], *x), strict=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        stages, due = self.run.get()
+        if due > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(due)
-            self.due.update((due,))
-        yield pd.DataFrame(changed, columns=[self.key, "stage", "at", "tie", "value"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.stages.clear()
-        self.due.clear()
-        yield pd.DataFrame([], columns=[self.key, "stage", "at", "tie", "value"])
+        else:
+            self.run.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -129,7 +137,7 @@ def stream_run_states(spark: SparkSession, path: str, schema, key: str, stage: s
     when = F.col(ts).cast("timestamp")
     rows = stream.select(F.col(key).alias(key), when.alias("when"), F.coalesce(F.col(stage), F.lit("")).alias("stage"), F.unix_micros(when).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(value).alias("value")).withWatermark("when", delay)
     processor = _Runs(key, kinds[value], ended, grace_ms)
-    states = rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kinds[key]}, stage string, at long, tie long, value {kinds[value]}", "Update", "EventTime")
+    states = rows.groupBy(key).transformWithState(processor, f"{key} {kinds[key]}, stage string, at long, tie long, value {kinds[value]}", "Update", "EventTime")
 
     def put(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={number}")
